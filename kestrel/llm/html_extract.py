@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -39,7 +40,6 @@ CLOSED_BY = {  # an open element that a start tag ends
     "tr": {"tr", "td", "th"},
     "option": {"option"},
 }
-SPACE = re.compile(r"[\s​﻿]+")
 
 
 class Lines(HTMLParser):
@@ -51,6 +51,10 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, shut out, article
         self.articles = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers of the source aren't used."""
+        return j
+
     def _line(self) -> None:
         shut, article = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
         if self.lines[-1][0] or self.lines[-1][1]:
@@ -67,8 +71,12 @@ class Lines(HTMLParser):
         return False
 
     def _pop(self, k: int) -> None:
-        changed = any(e[0] in BLOCKS or e[1] for e in self.open[k:])
-        del self.open[k:]
+        if k == len(self.open) - 1:
+            tag, shut, _ = self.open.pop()
+            changed = shut or tag in BLOCKS
+        else:
+            changed = any(shut or tag in BLOCKS for tag, shut, _ in self.open[k:])
+            del self.open[k:]
         if changed:
             self._line()
 
@@ -111,32 +119,32 @@ class Lines(HTMLParser):
         self.lines[-1][0].append(data)
 
 
-def smooth(values: list[float], radius: int, sigma: float) -> list[float]:
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total, n = sum(weights), len(values)
-    return [
-        sum(weights[k + radius] * values[min(max(i + k, 0), n - 1)] for k in range(-radius, radius + 1)) / total for i in range(n)
-    ]
+@lru_cache
+def kernel(radius: int, sigma: float) -> np.ndarray:
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    return weights / weights.sum()
+
+
+def smooth(values: list[float], radius: int, sigma: float) -> np.ndarray:
+    """Gaussian mean of each value and its neighbours; beyond an end the end's value counts."""
+    padded = [values[0]] * radius + values + [values[-1]] * radius
+    return np.convolve(padded, kernel(radius, sigma), "valid")
 
 
-def main_text(html: str | None, radius: int = 2, sigma: float = 1.0) -> tuple[str, list[float], float]:
+def main_text(html: str | None, radius: int = 2, sigma: float = 1.0) -> tuple[str, np.ndarray, float]:
     """(text, smoothed ratio a line, threshold)."""
     parser = Lines()
-    parser.feed((html or "").replace("\x00", "�"))
+    parser.feed(html or "")
     parser.close()
-    lines = [(SPACE.sub(" ", "".join(pieces)).strip(), tags, shut, article) for pieces, tags, shut, article in parser.lines]
-    if not lines:
-        return "", [], 0.0
-    ratios = [0.0 if shut else len(t) / max(1, tags) for t, tags, shut, _ in lines]
-    smoothed = smooth(ratios, radius, sigma)
-    mean = sum(smoothed) / len(smoothed)
-    threshold = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
-    # Lines at or over the threshold seed the content cluster; a declared article that holds or has any text is one whole.
+    lines = [(" ".join("".join(pieces).split()), tags, shut, article) for pieces, tags, shut, article in parser.lines]
+    smoothed = smooth([0.0 if shut else len(t) / (tags or 1) for t, tags, shut, _ in lines], radius, sigma)
+    threshold = float(smoothed.std())
+    # Lines at or over the threshold are the content cluster; a declared article that has any text is one cluster, whole.
     declared = {a for t, _, shut, a in lines if a and t and not shut}
     if declared:
-        keep = [bool(a in declared) for *_, a in lines]
+        keep = [a in declared for *_, a in lines]
     else:
-        keep = [s >= threshold and s > 0 for s in smoothed]
+        keep = [bool(k) for k in (smoothed >= threshold) & (smoothed > 0)]
         for k in range(1, len(keep) - 1):  # a short line between two content lines belongs to them
             keep[k] = keep[k] or (keep[k - 1] and keep[k + 1])
     return "\n".join(t for (t, _, shut, _), k in zip(lines, keep) if k and t and not shut), smoothed, threshold
