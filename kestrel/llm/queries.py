@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, html_extract, sharding, url_filter
+from kestrel.llm import chat, decontaminate, html_extract, packing, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -34,6 +34,29 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def vocabulary() -> str:
+    """Where the public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -131,6 +154,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
+    "op3_toxicity": op3_toxicity,
+    "op4_pattern_packing": op4_pattern_packing,
     "op5_chat_format": op5_chat_format,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
