@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, html_extract, packing, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, html_extract, ngram_join, packing, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -89,6 +89,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, url_filter.rules_table(spark, URL_RULES))
@@ -157,6 +161,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_chat_format": op5_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
 }
