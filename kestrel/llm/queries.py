@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, html_extract, ngram_join, packing, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -89,6 +89,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -161,6 +165,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
