@@ -50,3 +50,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it."""
+    own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if own not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (own, held)))
