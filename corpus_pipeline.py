@@ -1,2 +1,52 @@
+"""The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, contaminated documents go, the
+rest is packed. Every stage's result is written and read again before the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kestrel.llm import decontaminate, ngram_join, packing, toxicity
+from kestrel.llm.common import table
+from kestrel.llm.queries import vocabulary
+from kestrel.session import materialise
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under 0.5."""
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.where("toxicity < 0.5").select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group linked by similar shingles; repeated rows of one id stay one row."""
+    joined = ngram_join.join(docs)
+    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if repeated else left
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 1024."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("toxicity", clean), ("ngram_join", distinct), ("decontaminate", uncontaminated), ("packing", packed)]
+
+#: The toxicity scorer is trained, which SQL cannot express; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

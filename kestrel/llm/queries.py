@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, ngram_join, packing, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, ngram_join, packing, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -103,6 +103,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -159,6 +163,27 @@ best AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_ma
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)
 """
 
+
+
+def _canonical_sql(column: str) -> str:
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate(coalesce({column}, ''), '{licences.UPPER}', '{licences.LOWER}')"
+    for pattern, to in [(licences.COPYRIGHT_LINE, " "), *licences.SPELLINGS, ("[^a-z0-9]+", " ")]:
+        out = f"regexp_replace({out}, '{quoted(pattern)}', '{to}', 'g')"
+    return f"trim({out}, ' ')"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in [*licences.TEXTS, *licences.NOTICES])
+OP9_SQL = f"""
+WITH k(licence, body) AS (VALUES {_KNOWN_SQL}),
+known AS (SELECT {_canonical_sql('body')} AS c, min(licence) AS licence FROM k GROUP BY 1),
+d AS (SELECT doc_id, text, {_canonical_sql('text')} AS c FROM documents),
+lines AS (SELECT doc_id, {_canonical_sql('line')} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+stated AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines JOIN known USING (c) WHERE c <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS canonical_sha256, known.licence AS licence, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known USING (c) LEFT JOIN stated USING (doc_id)
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
@@ -168,6 +193,7 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filter": op8_url_filter,
+    "op9_licence_scan": op9_licence_scan,
     "op10_sharding": op10_sharding,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL}
