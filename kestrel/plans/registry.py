@@ -1,4 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from kestrel.plans import features
+
+MODULES = (features,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
