@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kestrel.plans import features
+from kestrel.plans import features, rings
 
-MODULES = (features,)
+MODULES = (features, rings)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
