@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kestrel.plans import correlation, features, rings
+from kestrel.plans import correlation, features, messages, rings
 
-MODULES = (features, rings, correlation)
+MODULES = (features, rings, correlation, messages)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
