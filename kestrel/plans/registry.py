@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kestrel.plans import correlation, features, messages, records, rings
+from kestrel.plans import correlation, features, messages, networks, records, rings
 
-MODULES = (features, rings, correlation, messages, records)
+MODULES = (features, rings, correlation, messages, records, networks)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
