@@ -142,24 +142,43 @@ def modularity(tx: DataFrame, labels: DataFrame) -> float:
     return inside - ends.groupBy("l").agg(F.sum("w").alias("d")).agg(F.sum(F.pow(F.col("d") / (2 * total), 2))).first()[0]
 
 
-def communities(tx: DataFrame, rounds: int = 6) -> DataFrame:
-    """K3: synchronous modularity moves over the undirected transfer graph (weight = amount). In each round half of the accounts, by
-    hash, move to the neighbouring community of the largest gain; the result is one partition of the accounts."""
-    e = tx.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("amount").cast("double")).alias("w"))
-    both = materialise(e.select("a", "b", "w").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    degree = both.groupBy("a").agg(F.sum("w").alias("d"))
-    label = materialise(degree.select(F.col("a").alias("account_id"), "d", F.col("a").alias("label")))
-    total = both.agg(F.sum("w")).first()[0] or 1.0
+def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, label) after synchronous modularity moves over edges (a, b, w), a loop counting on both ends. In each round half
+    of the nodes, by hash, move to the neighbouring community of the largest gain."""
+    apart = edges.where("a <> b")
+    both = materialise(apart.select("a", "b", "w").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    ends = edges.select("a", "w").unionByName(edges.select(F.col("b").alias("a"), "w"))
+    label = materialise(ends.groupBy("a").agg(F.sum("w").alias("d")).select(F.col("a").alias("node"), "d", F.col("a").alias("label")))
+    total = label.agg(F.sum("d")).first()[0] or 1.0
     for k in range(rounds):
-        weight = label.groupBy("label").agg(F.sum("d").alias("dl"))
-        seen = both.join(label.select(F.col("account_id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        own = label.select(F.col("account_id").alias("a"), F.col("label").alias("own"), "d")
-        options = seen.join(own, "a", "right").join(weight, "label", "left")
+        weight = label.groupBy("label").agg(F.sum("d").alias("dl"), F.count("*").alias("size"))
+        seen = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
+        own = label.select(F.col("node").alias("a"), F.col("label").alias("own"), "d")
+        alone = weight.select(F.col("label").alias("own"), (F.col("size") == 1).alias("alone"))
+        # Two lone nodes that join each other at once would only swap: the one with the smaller label waits.
+        options = own.join(alone, "own").join(seen, "a", "left").join(weight, "label", "left").where("label IS NULL OR NOT (alone AND size = 1 AND label > own)")
         gain = F.col("w") - F.col("d") * (F.col("dl") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0)) / total
         ranked = options.withColumn("gain", gain).groupBy("a").agg(
             F.max_by("label", F.struct("gain", "label")).alias("best"), F.max("gain").alias("top"),
             F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"), F.first("own").alias("own"), F.first("d").alias("d"),
         )
         moves = (F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-        label = materialise(ranked.select(F.col("a").alias("account_id"), "d", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("label")))
-    return label.select("account_id", "label")
+        moved = ranked.select("a", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("new"))
+        label = materialise(label.join(moved.withColumnRenamed("a", "node"), "node", "left").select("node", "d", F.coalesce("new", "label").alias("label")))
+    return label.select("node", "label")
+
+
+def communities(tx: DataFrame, rounds: int = 6, levels: int = 3) -> DataFrame:
+    """K3: (account_id, label) by modularity (weight = amount): local moves, then each community becomes a node, and again."""
+    edges = tx.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("amount").cast("double")).alias("w"))
+    mapping = None
+    for _ in range(levels):
+        found = local_moves(edges, rounds)
+        if mapping is None:
+            mapping = found.withColumnRenamed("node", "account_id")
+        else:
+            mapping = materialise(mapping.withColumnRenamed("label", "node").join(found, "node").select("account_id", "label"))
+        la, lb = found.select(F.col("node").alias("a"), F.col("label").alias("la")), found.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        merged = edges.join(la, "a").join(lb, "b")
+        edges = materialise(merged.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w")))
+    return mapping
