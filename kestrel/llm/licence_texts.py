@@ -90,14 +90,15 @@ NOTICES = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
-#: (pattern over lower-case text, replacement): spellings that the public matching guidelines hold equal.
+#: (letters without which the pattern cannot match, pattern over lower-case text, replacement): spellings that the public
+#: matching guidelines hold equal.
 SPELLINGS = [
-    ("https?://", ""),
-    ("&", " and "),
-    ("\\blicence", "license"),
-    ("\\bsub[- ]licen[cs]e", "sublicense"),
-    ("\\backnowledgement", "acknowledgment"),
-    ("\\bnon[- ]infringement", "noninfringement"),
-    ("\\bmerchantibility", "merchantability"),
-    ("\\bversion\\b", "v"),
+    ("://", "https?://", " "),
+    ("&", "&", " and "),
+    ("licence", "\\blicence", "license"),
+    ("licen", "\\bsub[- ]licen[cs]e", "sublicense"),
+    ("acknowledgement", "\\backnowledgement", "acknowledgment"),
+    ("infringement", "\\bnon[- ]infringement", "noninfringement"),
+    ("merchantib", "\\bmerchantibility", "merchantability"),
+    ("version", "\\bversion\\b", "v"),
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,19 +10,31 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z\n]*(\([c]\)|©|[0-9])|\([c]\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """Case, copyright lines, equivalent spellings, punctuation and white space made equal: words of a-z and 0-9 with one
-    space between."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT_LINE, " ")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
+    space between. A pattern is only tried where letters that it needs occur."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for letters, pattern, to in [("copyright", COPYRIGHT_LINE, " "), ("(c)", COPYRIGHT_LINE, " "), ("©", COPYRIGHT_LINE, " "), *SPELLINGS]:
+        # The lambda names the text so far; written out, each step would hold three copies of all steps before it.
+        step = lambda x: F.when(F.contains(x, F.lit(letters)), F.regexp_replace(x, pattern, to)).otherwise(x)  # noqa: B023, E731
+        out = F.get(F.transform(F.array(out), step), F.lit(0))
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
+def plain(text: str) -> list[str]:
+    """Words of a text that no spelling touches."""
+    touched = "licen acknowledg infringement merchant version copyright and http".split()
+    return [w for w in re.findall("[a-z0-9]+", text.lower()) if not any(t in w for t in touched)]
+
+
+def anchors(texts: Sequence[tuple[str, str]]) -> str:
+    """A pattern that every text equal to a known one holds: of each known text its longest plain word."""
+    return "|".join(sorted({max(plain(body), key=lambda w: (len(w), w), default="") for _, body in texts}))
+
+
 def digest(text: Column) -> Column:
     """Null where nothing is left of the text."""
     words = canonical(text)
@@ -53,8 +66,11 @@ def scan(
     """
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    anchor = anchors([*notices, *texts])
     stated = (
-        body.select("id", F.xxhash64("text").alias("version"), F.explode(F.split("text", "\n")).alias("line"))
+        body.where(F.lower("text").rlike(anchor))
+        .select("id", F.xxhash64("text").alias("version"), F.explode(F.split("text", "\n")).alias("line"))
+        .where(F.lower("line").rlike(anchor))
         .select("id", "version", digest(F.col("line")).alias("digest"))
         .join(F.broadcast(known(spark, [*notices, *texts])), "digest")
         .groupBy("id", "version")

@@ -167,8 +167,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 def _canonical_sql(column: str) -> str:
     quoted = lambda x: x.replace("'", "''")
-    out = f"translate(coalesce({column}, ''), '{licences.UPPER}', '{licences.LOWER}')"
-    for pattern, to in [(licences.COPYRIGHT_LINE, " "), *licences.SPELLINGS, ("[^a-z0-9]+", " ")]:
+    out = f"lower(coalesce({column}, ''))"
+    for _, pattern, to in [("", licences.COPYRIGHT_LINE, " "), *licences.SPELLINGS, ("", "[^a-z0-9]+", " ")]:
         out = f"regexp_replace({out}, '{quoted(pattern)}', '{to}', 'g')"
     return f"trim({out}, ' ')"
 
