@@ -1,6 +1,6 @@
 """N-gram Jaccard join (operator 7): count vectors in an R-tree bound the overlap, surviving pairs are verified.
 
-A count vector says how many of a document's shingles fall into each of GROUPS hash groups; the sum of the smaller
+A count vector says how many of a document's shingles fall into each of its hash groups; the sum of the smaller
 counts bounds the overlap of two sets from above. An R-tree over such vectors alone does not separate documents of like
 size at corpus scale (in many dimensions all boxes meet), so the join is first cut into buckets of documents that share
 one of their rarest shingles, which no pair over the threshold can avoid; inside a bucket the tree does the search.
@@ -20,7 +20,12 @@ from kestrel.llm.common import with_columns_in_arrow
 from kestrel.operators.components import components
 from kestrel.session import materialise
 
+#: Least number of groups; a set of n has the power of two from n / 8 on, which is what keeps sets without a common text apart.
+#: Vectors of two sizes meet at the smaller one.
 GROUPS = 64
+#: Bits of the map of listed shingles that may occur twice. Its size is fixed; a fuller map lets more listings through to
+#: the exact count and loses none.
+BITS = 1 << 28
 #: Documents (about) whose shingles are counted to find the frequent ones, and how many of those are kept. Both only
 #: set the order of shingles, so they decide the cost and never the result.
 SAMPLE, FREQUENT = 4000, 500_000
@@ -72,6 +77,21 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """One byte a group; there are more groups where a count would not fit one."""
+    groups = GROUPS
+    while groups * 8 < len(s):
+        groups *= 2
+    while (counts := np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max(initial=0) > 255:
+        groups *= 2
+    return counts.astype(np.uint8)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups: a group keeps the low bits of its number."""
+    return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0, dtype=np.int64)
+
+
 class CountTree:
     """An R-tree over count vectors, packed by sorting on size and then on the widest coordinate. A node keeps the largest count in
     each coordinate and the smallest and largest set size below it."""
@@ -142,8 +162,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
                     s_ordered = np.concatenate([s[~late], s[late]])
                 else:
                     s_ordered = s
-                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
-                row = n, xxhash.xxh3_128_digest(s.tobytes()), counts.tobytes(), s_ordered[:take].view(np.int64)
+                row = n, xxhash.xxh3_128_digest(s.tobytes()), count_vector(s).tobytes(), s_ordered[:take].view(np.int64)
                 for column, value in zip(made, row):
                     column.append(value)
             return made
@@ -153,6 +172,52 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     return with_columns_in_arrow(body, ["text"], fields, start).drop("text")
 
 
+def bitmap(places: DataFrame) -> np.ndarray:
+    """The bits at the distinct values of ``places`` (p, an integer under BITS), BITS / 8 bytes on the driver."""
+    maps = places.groupBy(F.floor(F.col("p") / 32768).alias("bucket")).agg(F.collect_set((F.col("p") % 32768).cast("int")).alias("at"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for at in batch.column(1):
+                bits = np.zeros(32768, bool)
+                bits[at.values.to_numpy()] = True
+                made.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["bucket", "bits"])
+
+    whole = np.zeros(BITS // 8, np.uint8)
+    for r in maps.mapInArrow(packed, "bucket long, bits binary").collect():
+        whole[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return whole
+
+
+def set_in(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+
+
+def repeated_listings(sig: DataFrame, id_type: T.DataType) -> DataFrame:
+    """(s, id, n): the listings of shingles that more than one document lists, and a few others.
+
+    Most listed shingles occur once. They are counted by a 28-bit hash, which is all that is shuffled, and the hashes
+    met twice become a bitmap of fixed size; listings outside it cannot have a partner and are never moved.
+    """
+    place = F.shiftrightunsigned("s", 20).bitwiseAND(BITS - 1)
+    twice = sig.select(F.explode("prefix").alias("s")).select(place.cast("int").alias("p")).groupBy("p").count().where("count > 1")
+    sent = sig.sparkSession.sparkContext.broadcast(bitmap(twice))
+    schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType())])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64))
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(row), batch.column(1).take(row)], names=["s", "id", "n"])
+
+    return sig.select("id", "n", "prefix").mapInArrow(kept, schema)
+
+
 def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose count vectors allow the similarity."""
     left = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
@@ -160,12 +225,13 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, na, ca, nb, cb = (batch.column(n) for n in ("a", "b", "na", "ca", "nb", "cb"))
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, GROUPS) for c in (ca, cb))
-            ok = np.minimum(x, y).sum(1) >= least_overlap(na.to_numpy(), nb.to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+            ok = []
+            for n, x, m, y in zip(*(batch.column(c) for c in ("na", "ca", "nb", "cb"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                groups = min(len(x), len(y))
+                ok.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64)) >= least_overlap(n.as_py(), m.as_py(), percent))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     return joined.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(run, pairs.select("a", "b").schema)
@@ -175,19 +241,26 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     """Pairs (a, b) that hold on the whole sets, computed again from the texts of the documents concerned."""
     pairs = materialise(pairs)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # Texts are filtered where they are read, by a bitmap of fixed size; only the sets of documents in pairs are moved.
+    place = F.xxhash64("id").bitwiseAND(BITS - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p"))))
+    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select("id", "text", place.alias("p"))
 
-    def start():
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
-        return lambda texts: [[shingle(t).tobytes() for t in texts]]
+        for batch in batches:
+            rows = pa.array(np.flatnonzero(set_in(sent.value, batch.column(2).to_numpy())))
+            made = [shingle(t).tobytes() for t in batch.column(1).take(rows).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(made, pa.binary())], names=["id", "s"])
 
-    sets = materialise(with_columns_in_arrow(body, ["text"], [T.StructField("s", T.BinaryType())], start).drop("text"))
+    schema = T.StructType([wanted.schema["id"], T.StructField("s", T.BinaryType())])
+    sets = materialise(body.mapInArrow(shingled, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             keep = pa.array(ok, pa.bool_())
@@ -210,13 +283,23 @@ def searched(blocks: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
                 block = np.array([m["block"] for m in members])
                 group = np.unique([m["component"] for m in members], return_inverse=True)[1]
                 sizes = np.array([m["n"] for m in members], np.int64)
-                counts = np.frombuffer(b"".join(m["counts"] for m in members), "<u4").reshape(-1, GROUPS).astype(np.int64)
+                counts = [np.frombuffer(m["counts"], np.uint8).astype(np.int64) for m in members]
                 left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 if not len(left) or not len(right):
                     continue
-                tree, a, b = CountTree(sizes[left], counts[left]), [], []
+                trees, a, b = {}, [], []
+                for g in {len(counts[p]) for p in left}:
+                    own = np.array([p for p in left if len(counts[p]) == g])
+                    for at in {g, max(GROUPS, g // 2)}:
+                        trees[g, at] = own, CountTree(sizes[own], np.stack([folded(counts[p], at) for p in own]))
                 for q in right:
-                    for p in left[tree.search(int(sizes[q]), counts[q], percent)]:
+                    g, near = len(counts[q]), []
+                    # Sets that can be similar differ by less than a factor of two, and so by one step of their vectors.
+                    for h in {max(GROUPS, g // 2), g, 2 * g}:
+                        if (h, min(g, h)) in trees:
+                            own, tree = trees[h, min(g, h)]
+                            near += own[tree.search(int(sizes[q]), folded(counts[q], min(g, h)), percent)].tolist()
+                    for p in near:
                         if group[p] != group[q] and (i != j or ids[p] < ids[q]):
                             a.append(min(ids[p], ids[q]))
                             b.append(max(ids[p], ids[q]))
@@ -247,12 +330,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """
     sig = materialise(signatures(docs, key, text, width, percent))
     id_type = sig.schema["id"].dataType
-    classes = sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes)
-    reps = sig.join(classes.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"])
-    points = materialise(reps.select("id", "n", "counts", "prefix"))
-    listed = points.select("id", "n", F.explode("prefix").alias("s"))
-    buckets = listed.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("lead")).where("members > 1")
+    classes = materialise(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    points = materialise(sig.where("n > 0").select("id", "n", "counts").join(reps, "id", "left_semi").dropDuplicates(["id"]))
+    listed = repeated_listings(sig, id_type).join(reps, "id", "left_semi")
+    digest = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    buckets = listed.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("lead"), *digest).where("members > 1")
+    # Shingles of one passage have the same members; one of them stands for all.
+    buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("s").alias("s"), F.min("lead").alias("lead")).drop("h1", "h2")
     shared = materialise(listed.join(buckets, "s"))
     similar = (F.col("n") * 100 >= F.col("lead.n") * percent) & (F.col("lead.n") * 100 >= F.col("n") * percent)
     stars = shared.where(similar & (F.col("id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
