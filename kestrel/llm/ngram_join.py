@@ -26,6 +26,8 @@ GROUPS = 64
 #: Bits of the map of listed shingles that may occur twice. Its size is fixed; a fuller map lets more listings through to
 #: the exact count and loses none.
 BITS = 1 << 28
+#: The same for the ids of documents whose sets are compared.
+ID_BITS = 1 << 26
 #: Documents (about) whose shingles are counted to find the frequent ones, and how many of those are kept. Both only
 #: set the order of shingles, so they decide the cost and never the result.
 SAMPLE, FREQUENT = 4000, 500_000
@@ -54,7 +56,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -172,8 +174,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     return with_columns_in_arrow(body, ["text"], fields, start).drop("text")
 
 
-def bitmap(places: DataFrame) -> np.ndarray:
-    """The bits at the distinct values of ``places`` (p, an integer under BITS), BITS / 8 bytes on the driver."""
+def bitmap(places: DataFrame, size: int) -> np.ndarray:
+    """The bits at the distinct values of ``places`` (p, an integer under ``size``): size / 8 bytes on the driver."""
     maps = places.groupBy(F.floor(F.col("p") / 32768).alias("bucket")).agg(F.collect_set((F.col("p") % 32768).cast("int")).alias("at"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,7 @@ def bitmap(places: DataFrame) -> np.ndarray:
                 made.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["bucket", "bits"])
 
-    whole = np.zeros(BITS // 8, np.uint8)
+    whole = np.zeros(size // 8, np.uint8)
     for r in maps.mapInArrow(packed, "bucket long, bits binary").collect():
         whole[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return whole
@@ -203,7 +205,7 @@ def repeated_listings(sig: DataFrame, id_type: T.DataType) -> DataFrame:
     """
     place = F.shiftrightunsigned("s", 20).bitwiseAND(BITS - 1)
     twice = sig.select(F.explode("prefix").alias("s")).select(place.cast("int").alias("p")).groupBy("p").count().where("count > 1")
-    sent = sig.sparkSession.sparkContext.broadcast(bitmap(twice))
+    sent = sig.sparkSession.sparkContext.broadcast(bitmap(twice, BITS))
     schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType())])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +244,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     pairs = materialise(pairs)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # Texts are filtered where they are read, by a bitmap of fixed size; only the sets of documents in pairs are moved.
-    place = F.xxhash64("id").bitwiseAND(BITS - 1)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p"))))
+    place = F.xxhash64("id").bitwiseAND(ID_BITS - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p")), ID_BITS))
     body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select("id", "text", place.alias("p"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +335,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     classes = materialise(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
     points = materialise(sig.where("n > 0").select("id", "n", "counts").join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    listed = repeated_listings(sig, id_type).join(reps, "id", "left_semi")
+    listed = materialise(repeated_listings(sig, id_type).join(reps, "id", "left_semi"))
     digest = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     buckets = listed.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("lead"), *digest).where("members > 1")
     # Shingles of one passage have the same members; one of them stands for all.
