@@ -9,6 +9,7 @@ from kestrel.operators import correlate as J
 from kestrel.operators import resolve as E
 from kestrel.operators import rings as K
 from kestrel.operators.components import components
+from kestrel.plans.rings import parts
 from kestrel.sources.bindings import oracle, view
 
 #: The eight printed features of a note.
@@ -21,12 +22,14 @@ def hav(a, b, c, d):
 
 
 def ring_inflows(spark, sf):
-    """Transfers to an account that ends in 3 from one that does not: the ring of these queries."""
-    return view(spark, sf, "p2p").where("target LIKE '%3' AND source NOT LIKE '%3'")
+    """Transfers into the detected rings from outside them, as in j01."""
+    tx, _, rings = parts(spark, sf)
+    return K.inflows(tx, rings)
 
 
 def ring_places(spark, sf):
-    return view(spark, sf, "members").where("account_id LIKE '%3'").select(F.concat(F.lit("r"), F.substring("account_id", 2, 1)).alias("ring_id"), "account_id", "district", "score")
+    _, scores, rings = parts(spark, sf)
+    return rings.join(scores, "account_id", "left").select("ring_id", "account_id", "district", "score")
 
 
 def j02_money_trails(spark, sf):
@@ -120,9 +123,7 @@ pr AS (SELECT a.denomination, a.id AS a, b.id AS b, len(list_intersect(a.f, b.f)
 
 
 def e02_plate_families(spark, sf):
-    # One district at a time keeps families apart: the day's seizures of the first region.
-    notes = view(spark, sf, "notes").where("t % 86400 < 3600")
-    made = E.plate_families(notes, FEATURES)
+    made = E.plate_families(view(spark, sf, "notes"), FEATURES)
     return made.select("family", "notes", "denomination", "districts", "first_seen", "last_seen", "common", F.round("span_km", 3).alias("span_km"))
 
 
@@ -136,13 +137,13 @@ SELECT sz.*, coalesce(common, '') AS common, round(span_km, 3) AS span_km FROM s
 
 
 def e03_family_summary(spark, sf):
-    return E.plate_families(view(spark, sf, "notes").where("t % 86400 < 3600"), FEATURES).agg(
+    return E.plate_families(view(spark, sf, "notes"), FEATURES).agg(
         F.count("*").alias("families"), F.sum("notes").alias("linked_notes"), F.sum((F.col("districts") > 1).cast("long")).alias("multi_district")
     )
 
 
 def scripts(spark, sf):
-    return view(spark, sf, "messages").where("length(text) < 1500").select(F.col("doc_id").alias("event_id"), "text")
+    return view(spark, sf, "messages").select(F.col("doc_id").alias("event_id"), "text")
 
 
 def e04_script_links(spark, sf):

@@ -31,11 +31,11 @@ sn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, corrid
 
 
 def seizures(spark, sf):
-    return view(spark, sf, "notes").where("verdict = 'fake' AND k > 90").select("event_id", "lat", "lon", "t")
+    return view(spark, sf, "notes").where("verdict = 'fake'").select("event_id", "lat", "lon", "t")
 
 
 def reports(spark, sf):
-    return view(spark, sf, "points").where("event_type = 'click' AND k = 7").select("event_id", "lat", "lon")
+    return view(spark, sf, "points").where("event_type = 'click'").select("event_id", "lat", "lon")
 
 
 def w01_snapped(spark, sf):

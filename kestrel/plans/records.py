@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from kestrel.operators import correlate as J
 from kestrel.operators import evaluate as M
 from kestrel.operators import records as A
+from kestrel.operators import rings as K
 from kestrel.operators.features import is_round
 from kestrel.plans.correlation import TRAILS_SQL, ring_inflows
+from kestrel.plans.rings import parts
 from kestrel.sources.bindings import oracle, view
 
 lab = lambda spark, sf: view(spark, sf, "labelled")
@@ -73,8 +75,7 @@ def q02_sightings(spark, sf):
 
 
 def rings_of(spark, sf):
-    m = view(spark, sf, "members").where("account_id LIKE '%3'")
-    return m.groupBy("district").agg(F.avg("score").alias("risk"), F.array_join(F.array_sort(F.collect_set("account_id")), ",").alias("account_ids")).withColumnRenamed("district", "ring_id")
+    return K.summarise(*parts(spark, sf)).select("ring_id", "risk", "account_ids")
 
 
 def actions(spark, sf):
