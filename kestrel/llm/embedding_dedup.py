@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from kestrel.session import materialise
 
 #: Length of a neighbour list, rows of a leaf, trees a pass, queries of the recall audit, the recall that ends the passes.
 NEIGHBOURS, LEAF, TREES, AUDITED, RECALL = 10, 256, 6, 256, 0.97
+#: Passes that meet no link between saturated components before none is taken to be left.
+QUIET = 2
 #: Rows of one side of an exact block.
 BLOCK = 1000
 
@@ -46,7 +49,9 @@ def vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def leaves(nodes: DataFrame, total: int, seeds: range) -> DataFrame:
-    """(leaf, members) of random-projection trees: a leaf is a sign pattern, cut at random where more than LEAF rows share it."""
+    """(leaf, members) of random-projection trees: a leaf is a sign pattern, cut at random where more than LEAF rows share it.
+    Members carry their component where ``nodes`` has it."""
+    own = [c for c in ("id", "v", "component") if c in nodes.columns]
     depth = max(0, math.ceil(math.log2(max(1, total / LEAF))))
     fields = [T.StructField("codes", T.ArrayType(T.LongType()))]
 
@@ -71,22 +76,23 @@ def leaves(nodes: DataFrame, total: int, seeds: range) -> DataFrame:
 
         return step
 
-    coded = with_columns_in_arrow(nodes.select("id", "v"), ["v"], fields, start)
-    placed = coded.select("id", "v", F.octet_length("v").alias("dim"), F.posexplode("codes").alias("tree", "code"))
+    coded = with_columns_in_arrow(nodes.select(*own), ["v"], fields, start)
+    placed = coded.select(*own, F.octet_length("v").alias("dim"), F.posexplode("codes").alias("tree", "code"))
     sizes = placed.groupBy("tree", "dim", "code").agg(F.count("*").alias("n"))
     cut = placed.join(sizes, ["tree", "dim", "code"]).withColumn(
         "part", F.pmod(F.xxhash64("id", "tree", F.lit(seeds.start)), F.ceil(F.col("n") / LEAF))
     )
-    return cut.groupBy("tree", "dim", "code", "part").agg(F.collect_list(F.struct("id", "v")).alias("members"))
+    return cut.groupBy("tree", "dim", "code", "part").agg(F.collect_list(F.struct(*own)).alias("members"))
 
 
 def edges_type(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("src", id_type), T.StructField("dst", id_type), T.StructField("sim", T.DoubleType())])
 
 
-def compared(groups: DataFrame, id_type: T.DataType, keep: int, bounded: bool) -> DataFrame:
+def compared(groups: DataFrame, id_type: T.DataType, keep: int, bounded: bool, foreign: float | None = None) -> DataFrame:
     """Edges (src, dst, sim) from all pairs of each group's few members: the best ``keep`` of each member, or with
-    ``bounded`` those that beat the member's own list."""
+    ``bounded`` those that beat the member's own list. With ``foreign`` only pairs of different components count, from that
+    similarity on."""
     arrow = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +105,18 @@ def compared(groups: DataFrame, id_type: T.DataType, keep: int, bounded: bool) -
                 x = unit([m["v"] for m in members])
                 s = x @ x.T
                 np.fill_diagonal(s, -2.0)
+                if foreign is not None:
+                    group = np.unique([m["component"] for m in members], return_inverse=True)[1]
+                    s[group[:, None] == group] = -2.0
                 if bounded:
                     a, b = np.nonzero(s > np.array([m["least"] for m in members])[:, None])
                 else:
                     k = min(keep, len(ids) - 1)
                     b = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
                     a = np.repeat(np.arange(len(ids)), k)
+                    if foreign is not None:
+                        near = s[a, b] >= foreign
+                        a, b = a[near], b[near]
                 src += [ids[i] for i in a]
                 dst += [ids[i] for i in b]
                 sim += s[a, b].tolist()
@@ -218,10 +230,34 @@ def dense_counts(crowd: DataFrame, id_type: T.DataType, threshold: float) -> Dat
     return certain.unionByName(counted).groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def joined_crowds(links: DataFrame, full: DataFrame, nodes: DataFrame, id_type: T.DataType, threshold: float, first_seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(links, components, components with a saturated list, their members) after links between saturated components are added.
+
+    A link that neither end's list holds has two saturated ends, so only components with such nodes can lack one. Their members are
+    dealt into leaves of new trees and compared with members of other components alone, which no list of their own can
+    crowd out; what is met joins the components, until nothing is met in QUIET passes running.
+    """
+    quiet = 0
+    for turn in itertools.count():
+        found = materialise(components(links))
+        crowded = materialise(found.join(full, "node", "left_semi").select("component").distinct())
+        crowd = materialise(found.join(crowded, "component", "left_semi").withColumnRenamed("node", "id").join(nodes, "id"))
+        if crowded.limit(2).count() < 2:
+            return links, found, crowded, crowd
+        seeds = range(first_seed + turn * TREES, first_seed + (turn + 1) * TREES)
+        met = materialise(compared(leaves(crowd, crowd.count(), seeds), id_type, NEIGHBOURS, False, threshold).distinct())
+        quiet = 0 if met.limit(1).count() else quiet + 1
+        if quiet == QUIET:
+            return links, found, crowded, crowd
+        links = links.unionByName(met)
+
+
 def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDITED nodes (the first by hash) that ``found`` (id, links) has; their vectors are compared
-    with every row."""
-    asked = nodes.orderBy(F.xxhash64("id", F.lit(77)), "id").limit(AUDITED)
+    """Share of the true links of AUDITED nodes and of AUDITED that have links (the first by hash) that ``found`` (id, links to
+    other nodes) has; their vectors are compared with every row."""
+    first = lambda df: df.orderBy(F.xxhash64("id", F.lit(77)), "id").limit(AUDITED)
+    linked = nodes.join(found.where("links > 0").select("id").distinct(), "id", "left_semi")
+    asked = first(nodes.select("id", "v")).unionByName(first(linked.select("id", "v"))).distinct()
     rows = [(r.id, bytes(r.v)) for r in asked.select("id", "v").collect()]
     sent = nodes.sparkSession.sparkContext.broadcast(rows)
 
@@ -257,8 +293,9 @@ def near_duplicates(
 
     Equal vectors form a class with one node. A neighbour graph starts from the leaves of random-projection trees and is refined by
     rounds of NN-descent until few lists change. Edges over the threshold make components; a component with a
-    saturated list (NEIGHBOURS links and so perhaps more) is counted exactly, see dense_counts. The recall is audited
-    against brute force for AUDITED rows, and while it is under RECALL another pass with more trees refines the graph.
+    saturated list (NEIGHBOURS links and so perhaps more) is joined with others like it, see joined_crowds, and counted exactly, see
+    dense_counts. The recall is audited against brute force, and while it is under RECALL another pass with more trees
+    refines the graph; after ``max_passes`` this is an error.
 
     Null, zero, and non-finite vectors link with nothing, nor do vectors of different lengths; repeated ids of equal vectors count as
     copies. Other columns are ignored. An empty table gives an empty table.
@@ -268,7 +305,7 @@ def near_duplicates(
     nodes = materialise(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     # Two classes may share a repeated id; the id then stands for the first of them.
     total, floor = nodes.count(), 2 * threshold**2 - 1
-    graph = None
+    graph, joined = None, None
     for turn in range(max_passes):
         start = compared(leaves(nodes, total, range(turn * TREES, (turn + 1) * TREES)), id_type, NEIGHBOURS, False)
         graph = materialise(best(start if graph is None else start.unionByName(graph), NEIGHBOURS))
@@ -279,21 +316,22 @@ def near_duplicates(
             graph = materialise(best(graph.unionByName(improved), NEIGHBOURS))
             if changed < 0.005 * NEIGHBOURS * max(1, total):
                 break
-        links = materialise(graph.where(F.col("sim") >= threshold))
+        links = graph.where(F.col("sim") >= threshold)
+        links = materialise(links if joined is None else links.unionByName(joined).dropDuplicates(["src", "dst"]))
         both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        found = materialise(components(links))
-        full = links.groupBy("src").count().where(F.col("count") >= NEIGHBOURS).select(F.col("src").alias("node"))
-        crowded = found.join(full, "node", "left_semi").select("component").distinct()
-        crowd = found.join(crowded, "component", "left_semi").withColumnRenamed("node", "id").join(nodes, "id")
+        full = materialise(links.groupBy("src").count().where(F.col("count") >= NEIGHBOURS).select(F.col("src").alias("node")))
+        joined, found, crowded, crowd = joined_crowds(links, full, nodes, id_type, threshold, (max_passes + turn) * 1000)
         sparse = (
             both.join(found.join(crowded, "component", "left_anti").select(F.col("node").alias("src")), "src", "left_semi")
             .join(nodes.select(F.col("id").alias("dst"), "copies"), "dst")
             .groupBy(F.col("src").alias("id")).agg(F.sum("copies").alias("links"))
         )
         counts = materialise(sparse.unionByName(dense_counts(crowd.select("id", "v", "copies", "component"), id_type, threshold)))
-        with_copies = nodes.select("id", "copies").join(counts, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-        if audit(nodes, with_copies, threshold) >= RECALL:
+        recall = audit(nodes, counts, threshold)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"recall of links is {recall:.3f} after {max_passes} passes, under {RECALL}")
     rep = nodes.select("v", F.col("id").alias("rep"), "copies")
     done = (
         rows.join(rep, "v", "left")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from kestrel.llm import embedding_dedup as E
 from kestrel.llm import licences as L
@@ -89,6 +90,24 @@ def test_embeddings_against_brute_force(spark):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_saturated_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.standard_normal((48, 48)))[0]
+    far = rng.standard_normal((600, 48))
+    x = [axes[0] * np.cos(t) + axes[1] * np.sin(t) + rng.standard_normal(48) * 0.008 for t in (0.0, 0.36, 0.72) for _ in range(40)] + list(far)
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert hit[:40, 40:80].all() and not hit[:40, 80:].any()
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.near_duplicates(df).collect()}
+    assert all(got[k].n_links == hit[k].sum() for k in range(len(x))) and {got[k].component_id for k in range(120)} == {0}
+    assert sum(r.kept for r in got.values()) == 601
+    monkeypatch.setattr(E, "RECALL", 1.01)
+    with pytest.raises(RuntimeError, match="recall"):
+        E.near_duplicates(df.where("vec_id < 150"), max_passes=1)
+
+
 def test_licences(spark):
     mit = LT.TEXTS[0][1]
     texts = [
