@@ -13,6 +13,7 @@ from kestrel.operators import messages as T
 from kestrel.operators import records as A
 from kestrel.operators import resolve as E
 from kestrel.operators import rings as K
+from kestrel.operators import spectral as P
 from kestrel.operators.components import components
 
 TX = "tx_id long, source string, target string, amount decimal(18,2), t long"
@@ -134,3 +135,20 @@ def test_curves(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)], "label int, score double")
     assert M.auc(df).first().auc == pytest.approx(0.875)
     assert M.precision_floor(df, 0.6).first().score == 0.8 and M.precision_floor(df, 1.1).first().ok is False
+
+
+def test_spectrum_of_large_communities(spark):
+    import numpy as np
+
+    n = 450
+    edges = [("x", f"a{i:03d}", f"a{j:03d}", 1.0 + (i * j) % 3) for i in range(n - 5) for j in {i * 7 % (n - 5), i + 1} if i < j < n - 5] + [("y", "p", "q", 2.0)]
+    names = [("x", f"a{i:03d}") for i in range(n)] + [("y", "p"), ("y", "q"), ("z", "r")]
+    df, lab = spark.createDataFrame(edges, "community string, a string, b string, w double"), spark.createDataFrame(names, "community string, account_id string")
+    got = {r.community: r for r in P.spectrum(P.laplacian(df, lab)).collect()}
+    w = np.zeros((n, n))
+    for _, a, b, x in edges[:-1]:
+        w[int(a[1:]), int(b[1:])] = w[int(b[1:]), int(a[1:])] = x
+    d = np.where(w.sum(0) > 0, w.sum(0), 1.0)
+    e = np.linalg.eigvalsh(np.eye(n) - w / np.sqrt(np.outer(d, d)))
+    assert tuple(got["x"])[1:] == (n, pytest.approx(e[-1]), pytest.approx(e[1] - e[0], abs=1e-9), pytest.approx(e[n // 2 :].sum() / e.sum()))
+    assert tuple(got["y"])[1:] == (2, pytest.approx(2), pytest.approx(2), pytest.approx(1)) and tuple(got["z"])[1:] == (1, 1.0, 0.0, 1.0)
