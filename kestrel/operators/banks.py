@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kestrel.session import materialise
+
 
 def assign(communities: DataFrame, banks: int) -> DataFrame:
     """B1: communities in order of size dealt back and forth over the banks, which keeps the banks' sizes close."""
@@ -60,14 +62,16 @@ def pair_scores(boundary: DataFrame, cents: int = 3, seconds: int = 9) -> DataFr
     return met.select(F.col("o.vec_id").alias("out_id"), F.col("i.vec_id").alias("in_id"), score.alias("score"))
 
 
-def one_to_one(pairs: DataFrame, least: float, rounds: int = 4) -> DataFrame:
-    """Mutually best pairs, again on what is left; greedy, equal to the optimum where best matches are unique."""
-    left, taken = pairs.where(F.col("score") >= least), None
-    for _ in range(rounds):
+def one_to_one(pairs: DataFrame, least: float) -> DataFrame:
+    """Mutually best pairs, again on what is left until no pair is; greedy, equal to the optimum where best matches are
+    unique. The best pair left is always mutual, so every round takes one or more."""
+    known = pairs.where((F.col("score") >= least) & F.col("out_id").isNotNull() & F.col("in_id").isNotNull())
+    left, taken = materialise(known.groupBy("out_id", "in_id").agg(F.max("score").alias("score"))), None
+    while taken is None or left.limit(1).count():
         best = lambda k, o: F.row_number().over(W.partitionBy(k).orderBy(F.desc("score"), o))
-        mutual = left.withColumn("a", best("out_id", "in_id")).withColumn("b", best("in_id", "out_id")).where("a = 1 AND b = 1").select("out_id", "in_id", "score")
+        mutual = materialise(left.withColumn("a", best("out_id", "in_id")).withColumn("b", best("in_id", "out_id")).where("a = 1 AND b = 1").select("out_id", "in_id", "score"))
         taken = mutual if taken is None else taken.unionByName(mutual)
-        left = left.join(mutual.select("out_id"), "out_id", "left_anti").join(mutual.select("in_id"), "in_id", "left_anti")
+        left = materialise(left.join(mutual.select("out_id"), "out_id", "left_anti").join(mutual.select("in_id"), "in_id", "left_anti"))
     return taken
 
 

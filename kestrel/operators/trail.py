@@ -81,17 +81,17 @@ def network(nodes: DataFrame, transfer_km: float = 55) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "km", "mode"))
 
 
-def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, road_risk: float = 1.3) -> DataFrame:
-    """The cheapest path of at most ``rounds`` edges from every source (id) to every node it reaches: all pairs at
-    once, a join with the edges and a minimum per pair each round; paths travel along as arrays."""
+def cheapest(edges: DataFrame, sources: DataFrame, road_risk: float = 1.3) -> DataFrame:
+    """The cheapest path from every source (id) to every node it reaches, the least path on ties: all pairs at
+    once, a join with the edges and a minimum per pair each round until none improves; paths travel along as arrays."""
     cost = edges.withColumn("cost", F.col("km") * F.when(F.col("mode") == "road", road_risk).otherwise(1.0))
     best = materialise(sources.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("km"), F.array("id").alias("path")))
     front = best
-    for _ in range(rounds):
+    while front.limit(1).count():
         step = front.join(cost.select(F.col("src").alias("node"), "dst", F.col("cost").alias("c"), F.col("km").alias("k")), "node").where("NOT array_contains(path, dst)")
         new = step.select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("km") + F.col("k")).alias("km"), F.concat("path", F.array("dst")).alias("path"))
         merged = materialise(best.unionByName(new).groupBy("start", "node").agg(F.min(F.struct("cost", "path", "km")).alias("b")).select("start", "node", "b.cost", "b.km", "b.path"))
-        front = materialise(merged.join(best.select("start", "node", F.col("cost").alias("old")), ["start", "node"], "left").where("old IS NULL OR cost < old").drop("old"))
+        front = materialise(merged.join(best.select("start", "node", F.col("cost").alias("old"), F.col("path").alias("was")), ["start", "node"], "left").where("old IS NULL OR cost < old OR cost = old AND path < was").drop("old", "was"))
         best = merged
     return best
 

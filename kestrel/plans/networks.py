@@ -67,8 +67,8 @@ def w11_network(spark, sf):
 
 def w13_cheapest(spark, sf):
     n = nodes(spark, sf)
-    start = n.where("idx = 1").select(F.concat_ws(":", "corridor", "idx").alias("id"))
-    return T.cheapest(T.network(n, 200), start, 4).select("start", "node", F.round("cost", 3).alias("cost"), F.round("km", 3).alias("km"), F.array_join("path", ">").alias("path"))
+    start = n.select(F.concat_ws(":", "corridor", "idx").alias("id"))
+    return T.cheapest(T.network(n, 200), start).select("start", "node", F.round("cost", 3).alias("cost"), F.round("km", 3).alias("km"), F.array_join("path", ">").alias("path"))
 
 
 def labels(spark, sf):
@@ -160,7 +160,7 @@ def b09_match_quality(spark, sf):
 def b11_b12_privacy(spark, sf):
     boundary, out = view(spark, sf, "boundary"), None
     for eps in (0.5, 5.0):
-        m = B.one_to_one(B.pair_scores(B.noisy(boundary, eps)), 0.2, 2).agg(F.lit(eps).alias("epsilon"), F.count("*").alias("matched"))
+        m = B.one_to_one(B.pair_scores(B.noisy(boundary, eps)), 0.2).agg(F.lit(eps).alias("epsilon"), F.count("*").alias("matched"))
         out = m if out is None else out.unionByName(m)
     return out
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions.geo import grid_join, haversine
+from kestrel.operators import banks as B
 from kestrel.operators import correlate as J
 from kestrel.operators import evaluate as M
 from kestrel.operators import features as G
@@ -14,6 +15,7 @@ from kestrel.operators import records as A
 from kestrel.operators import resolve as E
 from kestrel.operators import rings as K
 from kestrel.operators import spectral as P
+from kestrel.operators import trail as R
 from kestrel.operators.components import components
 
 TX = "tx_id long, source string, target string, amount decimal(18,2), t long"
@@ -152,3 +154,36 @@ def test_spectrum_of_large_communities(spark):
     e = np.linalg.eigvalsh(np.eye(n) - w / np.sqrt(np.outer(d, d)))
     assert tuple(got["x"])[1:] == (n, pytest.approx(e[-1]), pytest.approx(e[1] - e[0], abs=1e-9), pytest.approx(e[n // 2 :].sum() / e.sum()))
     assert tuple(got["y"])[1:] == (2, pytest.approx(2), pytest.approx(2), pytest.approx(1)) and tuple(got["z"])[1:] == (1, 1.0, 0.0, 1.0)
+
+
+def test_matching_runs_until_stable(spark):
+    import random
+
+    # Of a chain of preferences only its last pair is mutual at a time: it takes one round a link.
+    rng, chain = random.Random(5), [(f"o{k}", f"i{k + d}", 0.3 + 0.02 * (2 * k + d)) for k in range(8) for d in (0, 1)]
+    pairs = chain + [(f"p{k}", f"j{m}", rng.randint(1, 9) / 10) for k in range(12) for m in rng.sample(range(12), 5)]
+    got = {(r.out_id, r.in_id) for r in B.one_to_one(spark.createDataFrame(pairs, "out_id string, in_id string, score double"), 0.3).collect()}
+    wanted, left = set(), [p for p in pairs if p[2] >= 0.3]
+    while left:
+        best = lambda at, o: {k: min((-s, p[o]) for *p, s in left if p[at] == k) for k in {p[at] for p in left}}
+        a, b = best(0, 1), best(1, 0)
+        wanted |= (now := {(o, i) for o, i, _ in left if a[o][1] == i and b[i][1] == o})
+        left = [p for p in left if p[0] not in {o for o, _ in now} and p[1] not in {i for _, i in now}]
+    assert got == wanted and {(f"o{k}", f"i{k + 1}") for k in range(8)} <= got
+
+
+def test_cheapest_paths_of_many_legs(spark):
+    import random
+
+    rng = random.Random(2)
+    one = [(f"n{k}", f"n{k + 1}", 1.0, "rail") for k in range(9)] + [(f"n{rng.randrange(10)}", f"n{rng.randrange(10)}", rng.uniform(3, 9), "road") for _ in range(8)] + [("n0", "n6", 20.0, "road"), ("x", "y", 2.0, "road")]
+    edges = [e for e in one + [(b, a, k, m) for a, b, k, m in one] if e[0] != e[1]]
+    nodes = sorted({e[0] for e in edges})
+    cost = {(a, b): 0.0 if a == b else math.inf for a in nodes for b in nodes}
+    for a, b, k, m in edges:
+        cost[a, b] = min(cost[a, b], k * (1.3 if m == "road" else 1))
+    for via in nodes:
+        cost |= {(a, b): min(c, cost[a, via] + cost[via, b]) for (a, b), c in cost.items()}
+    got = {(r.start, r.node): r for r in R.cheapest(spark.createDataFrame(edges, "src string, dst string, km double, mode string"), spark.createDataFrame([(n,) for n in nodes], "id string")).collect()}
+    wanted = {k: c for k, c in cost.items() if c < math.inf}
+    assert got.keys() == wanted.keys() and all(got[k].cost == pytest.approx(c) for k, c in wanted.items()) and max(len(r.path) for r in got.values()) > 5
