@@ -4,6 +4,7 @@ rest is packed. Every stage's result is written and read again before the next."
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.llm import decontaminate, ngram_join, packing, toxicity
 from kestrel.llm.common import table
@@ -18,12 +19,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group linked by similar shingles; repeated rows of one id stay one row."""
-    joined = ngram_join.join(docs)
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """The document with the least id of each group linked by similar shingles. Where ids repeat or are null, a row's key is
+    its id with its text's digest: of rows with one key one stays, and texts under one id are judged each by itself."""
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        joined = ngram_join.join(docs)
+        return docs.join(joined.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    own = docs.withColumn("_own", ngram_join.digest("text"))
+    linked = ngram_join.join(own, "_own").groupBy("_own").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    rows = materialise(own.select("doc_id", "_own").distinct().join(linked, "_own"))
+    first = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_own")).alias("k"))
+    kept = first.select("k.doc_id", "k._own").unionByName(rows.where("n = 0").select("doc_id", "_own")).alias("k")
+    same = (F.col("d._own") == F.col("k._own")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return own.alias("d").join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

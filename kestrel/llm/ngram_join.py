@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -313,6 +313,22 @@ def searched(blocks: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
     return blocks.select("i", "j", "members").mapInArrow(run, schema)
 
 
+def digest(text: str) -> Column:
+    """128 bits of a text's SHA-256; null counts as the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+
+
+def by_text(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """The join where an id may stand for several texts or be null: texts are linked under their digests, and every row has the
+    component of its own text."""
+    own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("_own", digest("text"))
+    linked = join(own, "_own", "text", width, percent).groupBy("_own").agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("c"))
+    rows = materialise(own.select("id", "_own").join(linked, "_own"))
+    least = rows.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
+    return rows.join(least, "c", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): one row a document; documents with Jaccard similarity of at least ``percent`` /
     100 over their ``width``-word shingles are linked, and component_id is the least key reachable by links.
@@ -327,11 +343,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
        searches an R-tree of count vectors for pairs of different components, which are then verified.
 
     Texts with fewer words than ``width`` are one shingle; null and wordless texts have none and link with nothing.
-    Rows are judged by their own text, so repeated rows repeat in the result. Other columns are ignored. An empty table gives an
+    Rows are judged by their own text, so repeated rows repeat in the result, and rows of one id with different texts may be of
+    different components. A component has the least id of its rows that is not null. Other columns are ignored. An empty table gives an
     empty table.
     """
     sig = materialise(signatures(docs, key, text, width, percent))
     id_type = sig.schema["id"].dataType
+    texts = sig.where("n > 0").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    if texts.where("id IS NULL OR lo <> hi").limit(1).count():
+        return by_text(docs, key, text, width, percent)
     classes = materialise(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
     points = materialise(sig.where("n > 0").select("id", "n", "counts").join(reps, "id", "left_semi").dropDuplicates(["id"]))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kestrel.llm import embedding_dedup as E
 from kestrel.llm import licences as L
@@ -51,6 +52,24 @@ def test_ngram_join_against_brute_force(spark):
     assert N.join(df.limit(0)).count() == 0
 
 
+def test_null_and_reused_ids_with_different_texts(spark):
+    import corpus_pipeline
+
+    word = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    a, b, c, d, e = (word(k) for k in range(5))
+    rows = [(1, a), (2, b), (2, f"{a} more"), (3, f"{b} more"), (None, c), (None, d), (None, f"{a} again"), (4, f"{c} more"), (5, e), (5, e), (None, f"{e} end"), (6, ""), (7, None), (None, ""), (8, word(9)), (8, word(10))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in N.join(df).collect())))
+    least = {a: 1, b: 2, c: 4, d: None, e: 5}
+    wanted = [(i, len(shingles(t)), next((v for k, v in least.items() if t and t.startswith(k)), i)) for i, t in rows]
+    assert got == sorted(map(str, wanted))
+    left = corpus_pipeline.distinct(spark, df, "").collect()
+    kept = [(1, a), (2, b), (4, f"{c} more"), (None, d), (5, e), (6, ""), (7, None), (None, ""), (8, word(9)), (8, word(10))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, kept))
+    plain = df.where("doc_id IN (1, 3, 4)")
+    assert {r.doc_id for r in corpus_pipeline.distinct(spark, plain, "").collect()} == {1, 3, 4}
+
+
 def test_count_tree_finds_all_within_the_bound():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 4, (500, 8))
