@@ -1,4 +1,6 @@
-"""Public licence texts and standard notices by SPDX identifier, without their copyright lines."""
+"""Public licence texts and standard notices by SPDX identifier, without their copyright lines. Long texts are files in licence_data."""
+
+from importlib import resources
 
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -90,6 +92,39 @@ NOTICES = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+#: (identifier, file) of whole texts, and the line that ends their terms; what follows it (how to apply them) is often left out.
+FILES = [
+    ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL-2"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-3.0-only", "LGPL-3"),
+    ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+]
+END = "END OF TERMS AND CONDITIONS"
+for _licence, _name in FILES:
+    _whole = (resources.files("kestrel.llm") / "licence_data" / f"{_name}.txt").read_text("utf-8")
+    _terms, _end, _ = _whole.partition(END)
+    TEXTS += [(_licence, body) for body in ([_whole, _terms, _terms + _end] if _end else [_whole])]
+
+#: Names by which notices call a licence, each in every form below.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "MIT": ["MIT License"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GNU GPLv2", "GPLv2"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GNU GPLv3", "GPLv3"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPLv2.1"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPLv3"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+}
+FORMS = [f"{head}{verb} under {the}" for head, verbs in (("", ("Licensed", "Released", "Distributed")), *((f"This {thing} is ", ("licensed", "released", "distributed")) for thing in ("project", "work", "software", "file", "document", "program", "code"))) for verb in verbs for the in ("", "the ", "a ")]
+NOTICES += [(licence, f"{form}{name}.") for licence, names in NAMES.items() for name in names for form in FORMS]
+NOTICES += [(licence, f"SPDX-License-Identifier: {licence}") for licence in NAMES]
+
 #: (letters without which the pattern cannot match, pattern over lower-case text, replacement): spellings that the public
 #: matching guidelines hold equal.
 SPELLINGS = [

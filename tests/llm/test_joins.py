@@ -140,3 +140,16 @@ def test_licences(spark):
     assert got[0] == ("MIT", "") and got[1] == ("MIT", "") and got[2] == (None, "MIT") and got[3] == ("Apache-2.0", "Apache-2.0")
     assert got[4] == (None, "") and got[5] == got[6] == got[7] == (None, "") and got[8] == (None, "") and got[9] == (None, "CC-BY-4.0,CC0-1.0")
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_whole_texts_of_long_licences(spark):
+    named = dict(LT.FILES)
+    bodies = {i: next(b for k, b in LT.TEXTS if k == i) for i in named}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(named) and min(map(len, bodies.values())) > 5000
+    cut = bodies["Apache-2.0"].partition(LT.END)[0]
+    texts = [*((i, b) for i, b in bodies.items()), *((i, "\n\n".join(" ".join(x.split()) for x in b.upper().splitlines())) for i, b in bodies.items()), ("Apache-2.0", cut), (None, cut[: len(cut) // 2])]
+    said = [("Apache-2.0", "This software is released under the Apache License v2.0."), ("GPL-3.0-only", "Distributed under the GNU GPLv3"), ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts + [(i, f"x\n{t}\ny") for i, t in said])], "doc_id long, text string")
+    got = {r.doc_id: (r.licence, r.notices) for r in L.scan(df).collect()}
+    assert all(got[k][0] == i for k, (i, _) in enumerate(texts))
+    assert [got[len(texts) + k] for k in range(len(said))] == [(None, i) for i, _ in said]
