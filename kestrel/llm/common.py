@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,18 @@ def with_columns_in_arrow(
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return wide.mapInArrow(run, schema)
+
+
+def members_of(cells: pa.ListArray) -> Iterator[list]:
+    """The fields of each list of structs: booleans and numbers as arrays, binaries as lists of byte views of the batch."""
+    flat, ends = cells.flatten(), np.concatenate([[0], np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+    fields = []
+    for column in flat.flatten():
+        if pa.types.is_binary(column.type):
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            fields.append([data[a:b] for a, b in zip(at, at[1:])])
+        else:
+            fields.append(column.to_numpy(zero_copy_only=False))
+    for a, b in zip(ends, ends[1:]):
+        yield [f[a:b] for f in fields]

@@ -16,23 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.llm.common import with_columns_in_arrow
+from kestrel.llm.common import members_of, with_columns_in_arrow
 from kestrel.operators.components import components
 from kestrel.session import materialise
 
-#: Least number of groups; a set of n has the power of two from n / 8 on, which is what keeps sets without a common text apart.
+#: Least number of groups; a set of n has the power of two from n / 4 on, which is what keeps sets without a common text apart.
 #: Vectors of two sizes meet at the smaller one.
 GROUPS = 64
-#: Bits of the map of listed shingles that may occur twice. Its size is fixed; a fuller map lets more listings through to
-#: the exact count and loses none.
-BITS = 1 << 28
-#: The same for the ids of documents whose sets are compared.
-ID_BITS = 1 << 26
+#: Bits a value of the maps that keep single listings and unconcerned texts from being moved, and the most bits of a map. A
+#: fuller map lets more through to the exact join behind it and loses none.
+SPARE, MOST_BITS = 16, 1 << 28
 #: Documents (about) whose shingles are counted to find the frequent ones, and how many of those are kept. Both only
 #: set the order of shingles, so they decide the cost and never the result.
 SAMPLE, FREQUENT = 4000, 500_000
-#: Members of one block of a bucket; two blocks meet in a task.
-BLOCK = 400
+#: Members and bytes of one block of a group; blocks of a larger group meet pair by pair.
+BLOCK, BLOCK_BYTES = 400, 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,10 +77,10 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
+def count_vector(s: np.ndarray, per_group: int = 4) -> np.ndarray:
     """One byte a group; there are more groups where a count would not fit one."""
     groups = GROUPS
-    while groups * 8 < len(s):
+    while groups * per_group < len(s):
         groups *= 2
     while (counts := np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max(initial=0) > 255:
         groups *= 2
@@ -96,48 +94,52 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 class CountTree:
     """An R-tree over count vectors, packed by sorting on size and then on the widest coordinate. A node keeps the largest count in
-    each coordinate and the smallest and largest set size below it."""
+    each coordinate of up to ``fan`` nodes below it; sizes are in order, so a size range is a range of leaves."""
 
     def __init__(self, sizes: np.ndarray, counts: np.ndarray, fan: int = 16) -> None:
-        widest = counts[:, int(np.argmax(counts.var(0)))] if len(counts) else sizes
-        self.order = np.lexsort((widest, sizes))
-        high, low, top = counts[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(high, low, top)]
-        while len(low) > fan:
-            cuts = np.arange(0, len(low), fan)
-            high = np.maximum.reduceat(high, cuts)
-            low, top = np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts)
-            self.levels.append((high, low, top))
-        self.fan = fan
+        if len(counts) > 2 * fan:
+            self.order = np.lexsort((counts[:, int(np.argmax(counts.var(0)))], sizes))
+        else:
+            self.order = np.argsort(sizes, kind="stable")
+        self.sizes, self.levels, self.fan = sizes[self.order], [counts[self.order]], fan
+        while len(self.levels[-1]) > 2 * fan:
+            self.levels.append(np.maximum.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), fan)))
 
     def search(self, size: int, counts: np.ndarray, percent: int) -> np.ndarray:
         """Members whose bound allows the similarity with (size, counts)."""
-        at = np.arange(len(self.levels[-1][1]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            high, low, top = (x[at] for x in self.levels[depth])
-            bound = np.minimum(high, counts).sum(1)
-            at = at[(bound >= least_overlap(size, low, percent)) & (100 * size >= percent * low) & (100 * top >= percent * size)]
+        lo, hi = np.searchsorted(self.sizes, (-(-percent * size // 100), 100 * size // percent + 1))
+        if lo == hi:
+            return self.order[:0]
+        depth = 0
+        while depth + 1 < len(self.levels) and hi - lo > 2 * self.fan ** (depth + 1):
+            depth += 1
+        step = self.fan**depth
+        at = np.arange(lo // step, -(-hi // step))
+        for depth in range(depth, -1, -1):
+            least = least_overlap(size, self.sizes[np.maximum(at * self.fan**depth, lo)], percent)
+            at = at[np.minimum(self.levels[depth][at], counts).sum(1) >= least]
             if depth:
+                step = self.fan ** (depth - 1)
                 at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
-                at = at[at < len(self.levels[depth - 1][1])]
+                at = at[(at >= lo // step) & (at * step < hi)]
         return self.order[at]
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(key, n, fp, counts, prefix): set size, digest of the set, count vector, and the rarest shingles of the set, of which every partner
-    shares one."""
+    """(id, n, fp, h, counts, prefix): set size, digest of the set, hash of the text, count vector, and the rarest shingles of the
+    set, of which every partner shares one."""
     spark = docs.sparkSession
-    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
     every = max(1, docs.count() // SAMPLE)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle(t).view(np.int64))], names=["s"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle(t.as_py()).view(np.int64))], names=["s"])
 
     # Which documents are sampled follows from their text, so copies count once.
-    some = body.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    some = body.where(F.pmod("h", F.lit(every)) == 0).select("text").distinct()
     common = some.mapInArrow(sampled, "s long").groupBy("s").count().where("count >= 3").orderBy(F.desc("count"), "s").limit(FREQUENT)
     frequent = np.sort(np.array([r.s for r in common.select("s").collect()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(frequent)
@@ -193,124 +195,173 @@ def bitmap(places: DataFrame, size: int) -> np.ndarray:
     return whole
 
 
+def bits_for(values: int) -> int:
+    """Bits of a map for so many values."""
+    bits = 1 << 16
+    while bits < min(MOST_BITS, SPARE * values):
+        bits *= 2
+    return bits
+
+
 def set_in(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
 
 
-def repeated_listings(sig: DataFrame, id_type: T.DataType) -> DataFrame:
-    """(s, id, n): the listings of shingles that more than one document lists, and a few others.
+def repeated_listings(sig: DataFrame) -> DataFrame:
+    """(s, id): the listings of shingles that more than one text lists, and a few others; id is the set's digest.
 
-    Most listed shingles occur once. They are counted by a 28-bit hash, which is all that is shuffled, and the hashes
-    met twice become a bitmap of fixed size; listings outside it cannot have a partner and are never moved.
+    Most listed shingles occur once. They are counted by a hash of at most 28 bits, which is all that is shuffled, and the hashes
+    met twice become a bitmap, sized to the number of listings; listings outside it cannot have a partner and are never moved.
     """
-    place = F.shiftrightunsigned("s", 20).bitwiseAND(BITS - 1)
+    size = bits_for(sig.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0])
+    place = F.shiftrightunsigned("s", 20).bitwiseAND(size - 1)
     twice = sig.select(F.explode("prefix").alias("s")).select(place.cast("int").alias("p")).groupBy("p").count().where("count > 1")
-    sent = sig.sparkSession.sparkContext.broadcast(bitmap(twice, BITS))
-    schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType())])
+    sent = sig.sparkSession.sparkContext.broadcast(bitmap(twice, size))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             s = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64))
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(row), batch.column(1).take(row)], names=["s", "id", "n"])
+            keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(pa.array(row[keep]))], names=["s", "id"])
+
+    return sig.select("fp", "prefix").mapInArrow(kept, "s long, id binary").distinct()
+
+
+def within(groups: DataFrame, payload: DataFrame) -> DataFrame:
+    """Cells (i, j, members) of ``groups`` (g, id, size, bytes, lead): a group is dealt into blocks of at most about BLOCK members
+    and BLOCK_BYTES, and its least member is in every block, so that the blocks of one hot group of copies hang together."""
+    dealt = groups.withColumn("blocks", blocks_of(F.col("size"), F.col("bytes")))
+    rows = dealt.select("g", "id", F.pmod(F.xxhash64("id", "g"), F.col("blocks")).cast("int").alias("i"))
+    leads = dealt.where("blocks > 1 AND id = lead").select("g", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    held = rows.unionByName(leads).distinct().join(payload, "id")
+    member = F.struct("id", F.col("id").alias("label"), F.lit(True).alias("asks"), "n", "x")
+    return held.groupBy("g", "i").agg(F.collect_list(member).alias("members"))
+
+
+def across(groups: DataFrame, labels: DataFrame, payload: DataFrame) -> DataFrame:
+    """Cells of groups that hold members of several ``labels`` (node, component): a pair of different labels has a member
+    outside the group's most frequent label, so only the others are compared, block by block, with the whole group."""
+    held = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    by_label = held.groupBy("g", "label").agg(F.count("*").alias("c"))
+    most = by_label.groupBy("g").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1")
+    blocks = blocks_of(F.col("size"), F.col("bytes"))
+    left = held.join(most, "g").withColumn("blocks", blocks)
+    left = left.withColumn("other", F.col("label") != F.col("most.label")).withColumn(
+        "asking", F.least(F.col("blocks"), F.ceil(F.col("blocks") * (F.col("size") - F.col("most.c")) / F.col("size")).cast("int"))
+    )
+    place = lambda by: F.pmod(F.xxhash64("id", "g"), F.col(by)).cast("int")
+    every = left.withColumn("i", place("blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("asks", F.lit(False))
+    asked = left.where("other").withColumn("j", place("asking")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    columns = ["g", "i", "j", "id", "label", "asks"]
+    cells = every.select(*columns).unionByName(asked.select(*columns)).join(payload, "id")
+    return cells.groupBy("g", "i", "j").agg(F.collect_list(F.struct("id", "label", "asks", "n", "x")).alias("members"))
+
+
+def blocks_of(size: Column, nbytes: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(nbytes / BLOCK_BYTES), F.lit(1)).cast("int")
 
-    return sig.select("id", "n", "prefix").mapInArrow(kept, schema)
 
+def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
+    """(a, b): for each cell a spanning forest of its pairs of different labels, so fewer rows than it has members. A member that
+    asks searches the R-trees of the cell's count vectors. Without ``verify`` x is a count vector and a pair is one that the bound
+    lets through; with it x is the whole set, the vectors are as fine as the set, and a pair is one that holds on the sets."""
 
-def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose count vectors allow the similarity."""
-    left = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    right = points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    def numbered(names: list) -> np.ndarray:
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(bytes(v), len(known)) for v in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for n, x, m, y in zip(*(batch.column(c) for c in ("na", "ca", "nb", "cb"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                groups = min(len(x), len(y))
-                ok.append(int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64)) >= least_overlap(n.as_py(), m.as_py(), percent))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    joined = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    return joined.select("a", "b", "na", "ca", "nb", "cb").mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that hold on the whole sets, computed again from the texts of the documents concerned."""
-    pairs = materialise(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # Texts are filtered where they are read, by a bitmap of fixed size; only the sets of documents in pairs are moved.
-    place = F.xxhash64("id").bitwiseAND(ID_BITS - 1)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p")), ID_BITS))
-    body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).select("id", "text", place.alias("p"))
+            a, b = [], []
+            for ids, labels, asks, n, x in members_of(batch.column(0)):
+                if len(n) < 2:
+                    continue
+                # Edges join labels where they are links, and single members where they only may be.
+                group = numbered(labels)
+                tag = group.copy() if verify else numbered(ids)
+                counts = [count_vector(v.view(np.uint64), 1) for v in x] if verify else x
+                lengths = np.array([len(c) for c in counts])
+                around = np.flatnonzero(~asks) if not asks.all() else np.arange(len(n))
+                held = {g: around[lengths[around] == g] for g in set(lengths[around].tolist())}
+                ranges = [(g, int(n[own].min()), int(n[own].max())) for g, own in held.items()]
+                trees: dict[tuple[int, int], tuple[np.ndarray, CountTree]] = {}
+                for q in np.flatnonzero(asks).tolist():
+                    h, size = int(lengths[q]), int(n[q])
+                    for g, low, high in ranges:
+                        if 100 * high < percent * size or 100 * size < percent * low or (len(held[g]) == 1 and held[g][0] == q):
+                            continue
+                        at = min(g, h)
+                        if (g, at) not in trees:
+                            own = held[g]
+                            trees[g, at] = own, CountTree(n[own], np.stack([folded(counts[p], at) for p in own]))
+                        own, tree = trees[g, at]
+                        near = own[tree.search(size, folded(counts[q], at), percent)]
+                        near = near[group[near] != group[q]]
+                        while len(near := near[tag[near] != tag[q]]):
+                            p, near = near[0], near[1:]
+                            if verify:
+                                both = len(np.intersect1d(x[p].view(np.uint64), x[q].view(np.uint64), assume_unique=True))
+                                if not both or 100 * both < percent * (int(n[p]) + size - both):
+                                    continue
+                            tag[tag == tag[p]] = tag[q]
+                            a.append(bytes(ids[p]))
+                            b.append(bytes(ids[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return cells.select("members").mapInArrow(run, "a binary, b binary")
+
+
+def searched(groups: DataFrame, payload: DataFrame, percent: int, verify: bool, labels: DataFrame | None = None) -> DataFrame:
+    """Edges of all groups, inside blocks first (unless ``labels`` say what these gave) and then between the blocks of groups that
+    still hold several labels."""
+    large = groups.where((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES))
+    if labels is not None:
+        return materialise(spanning(across(large, labels, payload), percent, verify))
+    edges = materialise(spanning(within(groups, payload), percent, verify))
+    if not verify or not large.limit(1).count():
+        return edges
+    rest = spanning(across(large, components(edges, "a", "b"), payload), percent, verify)
+    return edges.unionByName(materialise(rest))
+
+
+def verified(near: DataFrame, sig: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the documents that ``near`` joins into candidate groups, from their whole sets: each set goes to its
+    group once, and all pairs of a group are searched, whichever of them ``near`` names."""
+    near = components(near, "a", "b").select(F.col("component").alias("g"), F.col("node").alias("id"))
+    held = sig.where("n > 0").select(F.col("fp").alias("id"), "n", "h").join(near, "id").groupBy("g", "id", "n").agg(F.min("h").alias("h"))
+    held = materialise(held)
+    # Texts are filtered where they are read, by a bitmap sized to their number; only the sets of documents concerned are moved.
+    size = bits_for(held.count())
+    place = F.col("h").bitwiseAND(size - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(held.select(place.alias("p")), size))
+    body = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
-        for batch in batches:
-            rows = pa.array(np.flatnonzero(set_in(sent.value, batch.column(2).to_numpy())))
-            made = [shingle(t).tobytes() for t in batch.column(1).take(rows).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(made, pa.binary())], names=["id", "s"])
-
-    schema = T.StructType([wanted.schema["id"], T.StructField("s", T.BinaryType())])
-    sets = materialise(body.mapInArrow(shingled, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+        import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, seen = Shingler(width), set()
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    return materialise(joined.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema))
+            made = [[], []]
+            h = batch.column(1).to_numpy()
+            for k in np.flatnonzero(set_in(sent.value, h & np.int64(size - 1))):
+                if h[k] not in seen:
+                    seen.add(h[k])
+                    s = shingle(batch.column(0)[int(k)].as_py()).tobytes()
+                    made[0].append(xxhash.xxh3_128_digest(s))
+                    made[1].append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.binary()) for m in made], names=["id", "x"])
 
+    sets = body.mapInArrow(shingled, "id binary, x binary").join(held.select("id", "n"), "id")
+    sets = materialise(sets.groupBy("id", "n").agg(F.first("x").alias("x")))
+    return searched(sized(held, F.col("n") * 8), sets, percent, True)
 
-def searched(blocks: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
-    """blocks(i, j, members): pairs of different components that the tree lets through, one block pair a row."""
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, members in zip(*(batch.column(n).to_pylist() for n in ("i", "j", "members"))):
-                ids = [m["id"] for m in members]
-                block = np.array([m["block"] for m in members])
-                group = np.unique([m["component"] for m in members], return_inverse=True)[1]
-                sizes = np.array([m["n"] for m in members], np.int64)
-                counts = [np.frombuffer(m["counts"], np.uint8).astype(np.int64) for m in members]
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                if not len(left) or not len(right):
-                    continue
-                trees, a, b = {}, [], []
-                for g in {len(counts[p]) for p in left}:
-                    own = np.array([p for p in left if len(counts[p]) == g])
-                    for at in {g, max(GROUPS, g // 2)}:
-                        trees[g, at] = own, CountTree(sizes[own], np.stack([folded(counts[p], at) for p in own]))
-                for q in right:
-                    g, near = len(counts[q]), []
-                    # Sets that can be similar differ by less than a factor of two, and so by one step of their vectors.
-                    for h in {max(GROUPS, g // 2), g, 2 * g}:
-                        if (h, min(g, h)) in trees:
-                            own, tree = trees[h, min(g, h)]
-                            near += own[tree.search(int(sizes[q]), folded(counts[q], min(g, h)), percent)].tolist()
-                    for p in near:
-                        if group[p] != group[q] and (i != j or ids[p] < ids[q]):
-                            a.append(min(ids[p], ids[q]))
-                            b.append(max(ids[p], ids[q]))
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch_type), pa.array(b, batch_type)], names=["a", "b"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(id_type)
-    return blocks.select("i", "j", "members").mapInArrow(run, schema)
+def sized(groups: DataFrame, nbytes: Column) -> DataFrame:
+    """(g, id, size, bytes, lead) of groups (g, id, ...) with the bytes of each member."""
+    sums = groups.groupBy("g").agg(F.count("*").alias("size"), F.sum(nbytes).alias("bytes"), F.min("id").alias("lead"))
+    return materialise(groups.select("g", "id").join(sums.where("size > 1"), "g"))
 
 
 def digest(text: str) -> Column:
@@ -318,29 +369,21 @@ def digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
 
 
-def by_text(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The join where an id may stand for several texts or be null: texts are linked under their digests, and every row has the
-    component of its own text."""
-    own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("_own", digest("text"))
-    linked = join(own, "_own", "text", width, percent).groupBy("_own").agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("c"))
-    rows = materialise(own.select("id", "_own").join(linked, "_own"))
-    least = rows.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least"))
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
-    return rows.join(least, "c", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
-
-
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id): one row a document; documents with Jaccard similarity of at least ``percent`` /
     100 over their ``width``-word shingles are linked, and component_id is the least key reachable by links.
 
     No pair over the threshold is missed, whatever the skew:
 
-    1. Documents of equal sets form a class that its least key stands for; copies are not expanded.
+    1. Documents of equal sets form a class, known by the digest of its set; copies are not expanded.
     2. Each class lists its rarest n - ceil(0.8 n) + 1 shingles (frequent ones, found on a sample, come last in the order).
-       Two linked sets share one of those. Per listed shingle the least key is the leader, and leader-member pairs,
-       as many as listings, are bounded by count vectors and verified; they settle most components.
-    3. In buckets that still span components, members are cut into blocks of BLOCK; each pair of blocks is one task that
-       searches an R-tree of count vectors for pairs of different components, which are then verified.
+       Two linked sets share one of those. Classes that list a shingle form its bucket; buckets with equal members are one.
+    3. A bucket is dealt into blocks, and R-trees of the members' count vectors tell which pairs of a block may be similar. A block
+       gives out a spanning forest of these, so fewer rows than it has members; forests of all buckets join into candidate groups.
+    4. Whole sets meet by candidate group, in blocks again, and are searched by finer vectors and verified; pairs that links join
+       already are passed over, and a block gives out a spanning forest of its links.
+    5. Where a bucket has several blocks and its members several components, the members outside its most frequent component
+       meet the whole bucket in the same way.
 
     Texts with fewer words than ``width`` are one shingle; null and wordless texts have none and link with nothing.
     Rows are judged by their own text, so repeated rows repeat in the result, and rows of one id with different texts may be of
@@ -348,43 +391,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     empty table.
     """
     sig = materialise(signatures(docs, key, text, width, percent))
-    id_type = sig.schema["id"].dataType
-    texts = sig.where("n > 0").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    if texts.where("id IS NULL OR lo <> hi").limit(1).count():
-        return by_text(docs, key, text, width, percent)
-    classes = materialise(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    points = materialise(sig.where("n > 0").select("id", "n", "counts").join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    listed = materialise(repeated_listings(sig, id_type).join(reps, "id", "left_semi"))
-    digest = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-    buckets = listed.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("lead"), *digest).where("members > 1")
+    listed = materialise(repeated_listings(sig))
+    same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    buckets = listed.groupBy("s").agg(F.count("*").alias("members"), *same).where("members > 1")
     # Shingles of one passage have the same members; one of them stands for all.
-    buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("s").alias("s"), F.min("lead").alias("lead")).drop("h1", "h2")
-    shared = materialise(listed.join(buckets, "s"))
-    similar = (F.col("n") * 100 >= F.col("lead.n") * percent) & (F.col("lead.n") * 100 >= F.col("n") * percent)
-    stars = shared.where(similar & (F.col("id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(within_bound(stars, points, percent), docs, key, text, width, percent)
-    found = materialise(components(links, "a", "b"))
-
-    labelled = (
-        shared.where("members > 2")
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("s", "id", "n", "members", F.coalesce("component", "id").alias("component"))
-    )
-    open_ = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
-    left = labelled.join(open_, "s", "left_semi").join(points.select("id", "counts"), "id")
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    blocked = left.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = meets.groupBy("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-        F.collect_list(F.struct("id", "n", "component", "block", "counts")).alias("members")
-    )
-    rest = searched(cells, id_type, percent).distinct()
-    more = verified(rest, docs, key, text, width, percent)
-    final = components(links.unionByName(more), "a", "b")
-    return (
-        sig.select("id", "n", "fp")
-        .join(classes.select("fp", "rep"), "fp", "left")
-        .join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("s").alias("g")).select("g")
+    shared = materialise(listed.withColumnRenamed("s", "g").join(buckets, "g"))
+    wanted = shared.select("id").distinct()
+    points = sig.select(F.col("fp").alias("id"), "n", F.col("counts").alias("x")).join(wanted, "id", "left_semi")
+    points = materialise(points.groupBy("id").agg(F.first("n").alias("n"), F.first("x").alias("x")))
+    groups = sized(shared.join(points.select("id", F.octet_length("x").alias("b")), "id"), F.col("b"))
+    links = verified(searched(groups, points, percent, False), sig, docs, text, width, percent)
+    if groups.where((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).limit(1).count():
+        more = searched(groups, points, percent, False, materialise(components(links, "a", "b")))
+        links = links.unionByName(verified(more, sig, docs, text, width, percent))
+    labels = components(links, "a", "b")
+    classes = sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    joined = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("of_component"))
+    named = joined.join(least, "component", "left").where("copies > 1 OR component IS NOT NULL")
+    named = named.select("fp", F.coalesce("of_component", "least").alias("component_id"))
+    return sig.select("id", "n", "fp").join(named, "fp", "left").select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )

@@ -31,7 +31,16 @@ def test_ngram_join_against_brute_force(spark):
     hot = [word() for _ in range(80)]
     texts += [" ".join(hot)] * 40 + [" ".join(hot[:-1] + [word()]) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(60, texts[60], "x")], "doc_id long, text string, n string")
+    assert_join(N.join(df), texts, [60])
+    assert N.join(df.limit(0)).count() == 0
+
+
+def assert_join(joined, texts, again=()):
+    """The join against all pairs of distinct sets."""
     sets = [shingles(t) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
     parent = list(range(len(texts)))
 
     def find(x):
@@ -39,17 +48,57 @@ def test_ngram_join_against_brute_force(spark):
             x = parent[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    rows = N.join(df).collect()
-    assert len(rows) == len(texts) + 1
+    for i, s in enumerate(sets):
+        if s:
+            parent[i] = first[s]
+    own = [i for i, s in enumerate(sets) if s and first[s] == i]
+    for i in own:
+        for j in own:
+            if j < i and 80 * len(sets[j]) <= 100 * len(sets[i]) and 80 * len(sets[i]) <= 100 * len(sets[j]):
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+    rows = joined.collect()
+    assert len(rows) == len(texts) + len(again)
     for r in rows:
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
-    assert N.join(df.limit(0)).count() == 0
+
+
+def test_ngram_join_of_groups_over_many_blocks(spark):
+    """Over a thousand near copies, and a second component that shares their words but not enough of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=5))
+    base = [word() for _ in range(100)]
+    other = base[:45] + [word() for _ in range(55)]
+    texts = []
+    for _ in range(1050):
+        copy = list(base if rng.random() < 0.7 else other)
+        copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:-k]) for k in range(1, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert_join(N.join(df), texts)
+
+
+def test_ngram_join_block_by_block(spark, monkeypatch):
+    """Blocks of a few members, so that every pair of blocks matters."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefg", k=5))
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(60)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+        texts += [" ".join(base[k:] + [word() for _ in range(k)]) for k in range(0, 40, 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, nbytes in ((4, 8 << 20), (400, 2000)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "BLOCK_BYTES", nbytes)
+        assert_join(N.join(df), texts)
 
 
 def test_null_and_reused_ids_with_different_texts(spark):
