@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -30,6 +31,11 @@ HINTS = frozenset(
     "contentinfo cookie cookies disclaimer footer header menu menubar modal nav navbar navigation newsletter notice notices "
     "popup promo promoted related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments respond".split())
+OUTSIDE = (False, (), 0)
+#: Share of a page's text from which a declared article counts, factor of the ratio outside such an article, and share of the threshold
+#: that a line's own ratio must have.
+DECLARED, BESIDE, OWN = 1 / 3, 0.01, 1 / 8
 CLOSED_BY = {  # an open element that a start tag ends
     "li": {"li"},
     "p": {"p"},
@@ -43,40 +49,38 @@ CLOSED_BY = {  # an open element that a start tag ends
 
 
 class Lines(HTMLParser):
-    """Streams a page into lines: [text pieces, tags, shut out, number of its article or 0]."""
+    """Streams a page into lines: [text pieces, tags, shut out, numbers of the hinted elements around it, number of its article or 0]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, False, 0]]
-        self.open: list[tuple[str, bool, int]] = []  # element, shut out, article
+        self.lines: list[list] = [[[], 0, *OUTSIDE]]
+        self.open: list[tuple] = []  # element, shut out, hinted elements, article
         self.articles = 0
+        self.hinted: list[bool] = []  # of each hinted element: whether it is about reader comments
+        self.holds_article: set[int] = set()
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers of the source aren't used."""
         return j
 
     def _line(self) -> None:
-        shut, article = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+        around = self.open[-1][1:] if self.open else OUTSIDE
         if self.lines[-1][0] or self.lines[-1][1]:
-            self.lines.append([[], 0, shut, article])
+            self.lines.append([[], 0, *around])
         else:
-            self.lines[-1][2:] = [shut, article]
+            self.lines[-1][2:] = around
 
-    def _hinted(self, attrs) -> bool:
+    def _hints(self, attrs) -> set[str]:
+        found: set[str] = set()
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and HINTS & set(re.split(r"[^a-z0-9]+", value.lower())):
-                return True
-            if name in ("hidden",) or name == "aria-hidden" and (value or "").lower() == "true":
-                return True
-        return False
+            if name in ("class", "id", "role") and value:
+                found |= HINTS & set(re.split(r"[^a-z0-9]+", value.lower()))
+        return found
 
     def _pop(self, k: int) -> None:
-        if k == len(self.open) - 1:
-            tag, shut, _ = self.open.pop()
-            changed = shut or tag in BLOCKS
-        else:
-            changed = any(shut or tag in BLOCKS for tag, shut, _ in self.open[k:])
-            del self.open[k:]
+        before = self.open[k - 1][1:] if k else OUTSIDE
+        changed = any(one[0] in BLOCKS or one[1:] != before for one in self.open[k:])
+        del self.open[k:]
         if changed:
             self._line()
 
@@ -91,13 +95,19 @@ class Lines(HTMLParser):
         if tag == "br":
             self.lines[-1][0].append(" ")
         if tag not in VOID:
-            shut, article = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-            out = shut or tag in NEVER or (tag not in ("html", "body") and self._hinted(attrs))
-            if tag in ARTICLES and not out and not article:
-                self.articles += 1
-                article = self.articles
-            self.open.append((tag, out, article))
-            if tag in BLOCKS or out != shut:
+            before = shut, hints, article = self.open[-1][1:] if self.open else OUTSIDE
+            hidden = any(name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" for name, value in attrs)
+            shut = shut or tag in NEVER or hidden
+            if tag in ARTICLES and not shut:
+                self.holds_article.update(hints)
+                if not article:
+                    self.articles += 1
+                    article = self.articles
+            elif tag not in ("html", "body") and attrs and (found := self._hints(attrs)):
+                hints = (*hints, len(self.hinted))
+                self.hinted.append(not COMMENTS.isdisjoint(found))
+            self.open.append((tag, shut, hints, article))
+            if tag in BLOCKS or (shut, hints, article) != before:
                 self._line()
         elif tag in BLOCKS:
             self._line()
@@ -131,35 +141,56 @@ def smooth(values: list[float], radius: int, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel(radius, sigma), "valid")
 
 
+def threshold_between(values: np.ndarray) -> float:
+    """The value half-way between the means of the two clusters it parts; 0 counts as one more value."""
+    values = np.append(values, 0.0)
+    now = float(values.mean())
+    for _ in range(100):
+        high = values >= now
+        after = float(values[high].mean() + (values[~high].mean() if not high.all() else 0.0)) / 2
+        if abs(after - now) <= 1e-12:
+            break
+        now = after
+    return now
+
+
 def main_text(html: str | None, radius: int = 2, sigma: float = 1.0) -> tuple[str, np.ndarray, float]:
     """(text, smoothed ratio a line, threshold)."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [(" ".join("".join(pieces).split()), tags, shut, article) for pieces, tags, shut, article in parser.lines]
-    smoothed = smooth([0.0 if shut else len(t) / (tags or 1) for t, tags, shut, _ in lines], radius, sigma)
-    threshold = float(smoothed.std())
-    # Lines at or over the threshold are the content cluster; a declared article that has any text is one cluster, whole.
-    declared = {a for t, _, shut, a in lines if a and t and not shut}
-    if declared:
-        keep = [a in declared for *_, a in lines]
-    else:
-        keep = [bool(k) for k in (smoothed >= threshold) & (smoothed > 0)]
-        for k in range(1, len(keep) - 1):  # a short line between two content lines belongs to them
-            keep[k] = keep[k] or (keep[k - 1] and keep[k + 1])
-    return "\n".join(t for (t, _, shut, _), k in zip(lines, keep) if k and t and not shut), smoothed, threshold
+    lines = [(" ".join("".join(pieces).split()), *rest) for pieces, *rest in parser.lines]
+    total, beneath = 0, [0] * len(parser.hinted)
+    for t, _, shut, hints, _ in lines:
+        if not shut:
+            total += len(t)
+            for h in hints:
+                beneath[h] += len(t)
+    # What a name hints at is not the page's main part: an element around an article, or around most of a page without one, stays.
+    stays = {h for h, n in enumerate(beneath) if h in parser.holds_article or (2 * n > total and not parser.articles and not parser.hinted[h])}
+    out = [shut or not stays.issuperset(hints) for _, _, shut, hints, _ in lines]
+    ratio = [0.0 if o else math.log1p(len(t) / (tags or 1)) for (t, tags, *_), o in zip(lines, out)]
+    own = sum(len(t) for (t, *_, article), o in zip(lines, out) if article and not o)
+    if own and own >= DECLARED * sum(len(t) for (t, *_), o in zip(lines, out) if not o):
+        most = max(ratio)
+        ratio = [most if article else BESIDE * r for (*_, article), r in zip(lines, ratio)]
+    smoothed = smooth(ratio, radius, sigma)
+    threshold = threshold_between(smoothed)
+    keep = (smoothed >= threshold) & (np.array(ratio) >= OWN * threshold) & (smoothed > 0)
+    return "\n".join(t for (t, *_), o, k in zip(lines, out, keep) if k and t and not o), smoothed, threshold
 
 
 def extract(pages: DataFrame, html: str = "html", radius: int = 2, sigma: float = 1.0) -> DataFrame:
     """Append text and n_chars (code points of text) to ``pages`` in place of the html column; no shuffle.
 
-    Each page is streamed through the standard parser once into lines (one a block element) with their text-to-tag
-    ratio; ratios are smoothed with a Gaussian, and lines over one standard deviation form the content cluster. Parts
-    that elements or class, id and role names declare as navigation, header, footer, sidebar, advert, notice, form or
-    comments count as ratio 0 and never come out. Where a page declares an article or main element, that region is the
-    cluster, whole, so that a short paragraph in it isn't lost. White space in a block is one space, blocks are joined by
-    one line feed. Null, empty and text-less pages give an empty text; rows repeat as they come; columns named text or
-    n_chars are replaced.
+    Each page is streamed through the standard parser once into lines (one a block element) with the logarithm of their text-to-tag
+    ratio; ratios are smoothed with a Gaussian, and a threshold half-way between the means of the two clusters it parts tells
+    content lines, of which those without a ratio of their own go. What else is known of a page changes ratios before that: parts that
+    elements declare as navigation, header, footer, sidebar or form have ratio 0, and so have parts whose class, id and role
+    names hint at adverts, notices or comments, unless they are around an article or most of the page; if a declared article has a
+    third of the text, its lines have the page's highest ratio, so that a short paragraph in it isn't lost, and lines beside it a
+    hundredth of theirs. White space in a block is one space, blocks are joined by one line feed. Null, empty and text-less pages give
+    an empty text; rows repeat as they come; columns named text or n_chars are replaced.
     """
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
