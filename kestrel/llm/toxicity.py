@@ -27,8 +27,10 @@ REPORTING = frozenset(
 )
 ADDRESS = frozenset("you your youre du dich dein sie ihr tu toi te vous votre tú te usted vosotros eres".split())
 STEMS = (4, 5, 6, 7)
-#: Bounds of what is learned, all proven small: labelled rows of each class, candidate terms, lexicon entries.
-POSITIVES, NEGATIVES, CANDIDATES, ENTRIES = 4000, 8000, 20_000, 400
+#: Labelled rows of each class that are learned from; what a lexicon holds is bounded by their words.
+POSITIVES, NEGATIVES = 4000, 8000
+#: Least lower bound of the log odds of an entry.
+LEAST_ODDS = 1.3
 FEATURES = 7
 
 
@@ -37,7 +39,10 @@ def held_out(key: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Words are cut in the text as it is and lower-cased each by itself: lower-casing may change a text's length."""
+    raw = WORD.findall(text or "")
+    lower = {w: w.lower() for w in set(raw)}
+    return [lower[w] for w in raw]
 
 
 def terms_of(words: Iterable[str]) -> set[str]:
@@ -136,7 +141,7 @@ class Lexicon:
     def look(self, word: str) -> tuple[float, int]:
         """(weight, edits); weight 0 where nothing matches."""
         if word not in self.known:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = self.exact(word), 0
             if not found[0] and len(word) + 1 >= self.least and self.may_be_near(word):
@@ -148,18 +153,17 @@ class Lexicon:
 def hits(lexicon: Lexicon, text: str | None, window: int = 8) -> tuple[list[tuple], int]:
     """([(place among the words, start, end, weight, edits, quoted, addressed)], words)."""
     body = text or ""
-    lower = body.lower()
-    words = WORD.findall(lower)
+    words = words_of(body)
     look = lexicon.look
     marked = {w for w in set(words) if look(w)[0] > 0}
     if not marked:
         return [], len(words)
-    spans = [m.span() for m in WORD.finditer(lower)] if len(lower) == len(body) else [m.span() for m in WORD.finditer(body)]
+    spans = [m.span() for m in WORD.finditer(body)]
     marks = [i for i, c in enumerate(body) if c in OPENING or c in CLOSING]
     out = []
     for k, w in enumerate(words):
         if w in marked:
-            a, b = spans[k] if k < len(spans) else (0, 0)
+            a, b = spans[k]
             before, after = words[max(0, k - window) : k], words[k + 1 : k + 1 + window]
             first, last = spans[max(0, k - window)][0], spans[min(len(spans) - 1, k + window)][1]
             i, j = bisect.bisect_left(marks, a), bisect.bisect_left(marks, b)
@@ -209,19 +213,25 @@ def lower_odds(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
     return ratio - 1.28 * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
-def lexicon_from(counts: dict[str, tuple[float, float]], n_pos: int, n_neg: int, least_odds: float = 1.3) -> dict[str, float]:
+def lower_odds_of(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    ratio = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
+    return ratio - 1.28 * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def lexicon_from(counts: dict[str, tuple[float, float]], n_pos: int, n_neg: int, least_odds: float = LEAST_ODDS) -> dict[str, float]:
+    """term -> weight. Whole words stay beside a stem, as a misspelling is searched among whole words alone."""
     scored = {t: s for t, (p, n) in counts.items() if (s := lower_odds(p, n, n_pos, n_neg)) >= least_odds}
     best: dict[str, float] = {}
+    inside: dict[str, float] = {}  # beginnings of entries -> the highest weight of these
     for term in sorted(scored, key=lambda t: (-scored[t], -len(t.rstrip("*")), t)):
         body = term.rstrip("*")
-        # Nothing is added beside a shorter stem that is as telling, nor by a stem that says no more than one of its words.
-        if any(best.get(f"{body[:n]}*", 0) >= 0.95 * scored[term] for n in STEMS if n < len(body)):
-            continue
-        if body != term and any(b.startswith(body) and best[b] >= scored[term] for b in best):
-            continue
+        # No stem is added beside a shorter one that is as telling, nor one that says no more than one of its words.
+        if body != term:
+            if any(best.get(f"{body[:n]}*", 0) >= 0.95 * scored[term] for n in STEMS if n < len(body)) or inside.get(body, 0) >= scored[term]:
+                continue
         best[term] = scored[term]
-        if len(best) == ENTRIES:
-            break
+        for n in range(1, len(body) + 1):
+            inside[body[:n]] = max(inside.get(body[:n], 0), scored[term])
     return best
 
 
@@ -245,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn from labelled rows that are not held out.
 
     At most POSITIVES and NEGATIVES rows, the first by hash of the key, are used; their texts stay on the executors.
-    Terms are counted in toxic documents first, and only candidates found there are counted in clean ones. The scorer
+    Terms are counted and their odds compared there; the terms that tell are brought to the driver, all of them. The scorer
     is fitted by cross-fitting: each half's features come from the lexicon of the other half, so a chance term isn't
     taken at its word; the final lexicon uses both halves, and the intercept is set back to the labels' true ratio.
     Without rows of both classes the model scores a constant.
@@ -266,30 +276,28 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = materialise(joined.repartition(F.xxhash64("k")))
     sizes = {(r.half, r.y): r["count"] for r in rows.groupBy("half", "y").count().collect()}
 
-    def counted(y: int, wanted=None) -> dict[tuple[int, str], int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            only = wanted.value if wanted is not None else None
-            for batch in batches:
-                seen: Counter = Counter()
-                for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own = terms_of(words_of(t))
-                    seen.update((h, x) for x in (own if only is None else own & only))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h for h, _ in seen], pa.int32()), pa.array([x for _, x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                    names=["half", "term", "n"],
-                )
-
-        terms = rows.where(F.col("y") == y).dropDuplicates(["text"]).select("text", "half").mapInArrow(run, "half int, term string, n long")
-        sums = terms.groupBy("half", "term").agg(F.sum("n").alias("n"))
-        if wanted is None:
-            sums = sums.where("n >= 2").orderBy(F.desc("n"), "term", "half").limit(CANDIDATES)
-        return {(r.half, r.term): r.n for r in sums.collect()}
-
-    pos = counted(1)
-    neg = counted(0, spark.sparkContext.broadcast(frozenset(t for _, t in pos)))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for t, h, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen.update((2 * y + h, x) for x in terms_of(words_of(t)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in seen], pa.int32()), pa.array([x for _, x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+                names=["k", "term", "n"],
+            )
+
+    # Column k of four: clean and toxic documents of the first half, and of the second.
+    terms = rows.dropDuplicates(["text", "y"]).select("text", "half", "y").mapInArrow(counted, "k int, term string, n long")
+    sums = terms.groupBy("term").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
+    choices = [(0,), (1,), (0, 1)]
+    odds = [
+        lower_odds_of(sum(F.col(f"n{2 + h}") for h in c), sum(F.col(f"n{h}") for h in c), sum(sizes.get((h, 1), 0) for h in c), sum(sizes.get((h, 0), 0) for h in c))
+        for c in choices
+    ]
+    telling = sums.where((F.col("n2") + F.col("n3") >= 2) & (F.greatest(*odds) >= LEAST_ODDS - 1e-9)).collect()
 
     def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
-        both = {t: (sum(pos.get((h, t), 0) for h in halves), sum(neg.get((h, t), 0) for h in halves)) for t in {t for _, t in pos}}
+        both = {r.term: (sum(r[f"n{2 + h}"] for h in halves), sum(r[f"n{h}"] for h in halves)) for r in telling}
         return lexicon_from(both, sum(sizes.get((h, 1), 0) for h in halves), sum(sizes.get((h, 0), 0) for h in halves))
 
     other = spark.sparkContext.broadcast({0: lexicon((1,)), 1: lexicon((0,))})
@@ -311,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Append toxicity (0 to 1) and toxic_spans (start, end in code points, weight, edits, quoted) to ``docs``.
 
-    One pass without a shuffle; the lexicon that is broadcast has at most ENTRIES terms. Null and empty texts get the
+    One pass without a shuffle; the lexicon that is broadcast is bounded by the words of the labelled rows learned from. Null and empty texts get the
     score of a text without any term, repeated rows score alike, input columns named like an output are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -75,3 +77,65 @@ def test_without_labels(spark):
     docs, labels = corpus(spark, 20)
     model = X.learn(docs, labels.limit(0))
     assert X.score(docs, model).count() == 23 and X.score(docs.limit(0), model).count() == 0
+
+
+def test_spans_where_lower_casing_changes_the_length():
+    lexicon = X.Lexicon({"hateword": 3.0, "straße": 2.0})
+    for text, term in (("İx hateword here", "hateword"), ("aİb " * 400 + "HATEWORD", "HATEWORD"), ("STRASSE Straße ß İ", "Straße"), ("x " * 200_000 + "İ hateword", "hateword")):
+        found, n = X.hits(lexicon, text)
+        assert [text[h[1] : h[2]] for h in found] == [term] and n == len(X.words_of(text))
+
+
+def test_hits_and_features_against_a_plain_form():
+    """Every word compared with every term by edit distance; quotation, address and windows read off word by word."""
+    rng = random.Random(11)
+    terms = {"idiot": 3.0, "stupid": 2.0, "loser": 1.5, "trash": 1.0}
+    lexicon = X.Lexicon({**terms, "verm*": 2.5})
+    fill = ["the", "you", "said", "a", "house", "tree", "blue", "wrote", "your", "idiot", "idi0t", "stupid", "loserr", "vermin", "verm", "trash", "İl"]
+    for _ in range(200):
+        text = " ".join(rng.choice(['"', "“", "”", "", "", ","]) + rng.choice(fill) + rng.choice(['"', "", "", "."]) for _ in range(rng.randint(0, 60)))
+        words, spans, at = [], [], 0
+        for c in [*text, " "]:
+            if c.isalnum():
+                if not words or spans[-1][1] != at:
+                    words.append(""), spans.append([at, at])
+                words[-1] += c
+                spans[-1][1] = at + 1
+            at += 1
+        words = [w.lower() for w in words]
+        wanted = []
+        for k, w in enumerate(words):
+            if w in terms or (len(w) > 4 and w.startswith("verm")):
+                weight, edits = terms.get(w, 2.5), 0
+            else:
+                weight, edits = max((v for t, v in terms.items() if len(w) >= 4 and distance(t, w) <= 1), default=0.0), 1
+            if weight:
+                a, b = spans[k]
+                first, last = spans[max(0, k - 8)][0], spans[min(len(words) - 1, k + 8)][1]
+                before = [c for c in text[first:a] if c in X.OPENING + X.CLOSING][-1:]
+                after = [c for c in text[b:last] if c in X.OPENING + X.CLOSING][:1]
+                quoted = bool(before and before[0] in X.OPENING and after and after[0] in X.CLOSING) or any(x in X.REPORTING for x in words[max(0, k - 4) : k])
+                addressed = any(x in X.ADDRESS for x in words[max(0, k - 4) : k] + words[k + 1 : k + 5])
+                wanted.append((k, a, b, weight, edits, quoted, addressed))
+        found, n = X.hits(lexicon, text)
+        assert (found, n) == (wanted, len(words))
+        felt = [(h[0], h[3] * (0.35 if h[5] else 1.2 if h[6] else 1.0) * (0.6 if h[4] else 1.0)) for h in wanted]
+        dense = max((sum(f for j, f in felt if k <= j < k + 20) for k, _ in felt), default=0.0)
+        got = X.features(found, n)
+        assert abs(got[3] - math.log1p(dense)) < 1e-9 and abs(got[2] - math.log1p(100 * sum(f for _, f in felt) / max(20, n))) < 1e-9
+
+
+def test_a_whole_word_stays_beside_its_stem():
+    counts = {"grobv*": (100, 1), "grobvul": (60, 1), "grobvuls": (40, 0), "grobvu*": (100, 1), "chance": (2, 2)}
+    lexicon = X.lexicon_from(counts, 200, 200)
+    assert "grobvu*" in lexicon and "grobvul" in lexicon and "chance" not in lexicon
+    assert X.Lexicon(lexicon).look("gr0bvul") == (lexicon["grobvul"], 1)
+
+
+def test_a_lexicon_has_every_telling_term(spark):
+    """More terms than any fixed number of entries held before."""
+    names = ["".join(p) for p in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rst")]
+    rows = [(i, " ".join(names[(7 * i + k) % 900] if i % 2 else f"plain{(3 * i + k) % 50}" for k in range(30))) for i in range(1, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = X.learn(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert sum(n in model.weights for n in names[:900]) > 850
