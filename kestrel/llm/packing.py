@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,8 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from kestrel.llm.common import without
 from kestrel.session import materialise
 
-#: Fixed value: the split pattern of the public byte-level vocabulary.
+#: Fixed value: the split pattern of public byte-level vocabularies, which a file names by its ByteLevel pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fraction of a repeat from which it counts as a whole one.
+ROUND_UP = 0.8
 #: Rows that one task numbers at a time when pieces of one length are ranked.
 PART_ROWS = 1000
 
@@ -31,31 +34,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_level(model: dict) -> bool:
+    """Whether a vocabulary file is plain byte-pair encoding over bytes with the split pattern above and merges in the order of
+    their ids, which the faster engine does the same way."""
+    split, pairs = model.get("pre_tokenizer") or {}, model["model"]
+    if model.get("normalizer") or pairs.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(pairs.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    if any(t.get(k) for t in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    merged = [pairs["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in pairs["merges"]]
+    return None not in merged and merged == sorted(merged)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids for a byte-level vocabulary file of the tokenizers library. Its merges are in the order of the ids, so
-    the faster byte-pair engine gives the same ids from the vocabulary alone; the library itself is kept for texts that
-    engine refuses."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
+    """text -> ids, equal to those of the tokenizers library for the vocabulary file at ``path`` with add_special_tokens=False;
+    special tokens that a text spells out are ids of their own, as there. Files that are plain byte-level vocabularies (byte_level)
+    go through a faster byte-pair engine, others through the library."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    letters = byte_letters()
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-    fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+    if not byte_level(model):
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> list[int]:
-        try:
-            return fast._core_bpe.encode_ordinary(text)
-        except Exception:
-            plain = whole()
-            plain.encode_special_tokens = True
-            return plain.encode(text, add_special_tokens=False).ids
+        plain = Tokenizer.from_file(path)
+        return lambda text: plain.encode(text, add_special_tokens=False).ids
+    import tiktoken
 
-    return encode
+    letters = byte_letters()
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+    fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode(text, allowed_special="all", disallowed_special=())
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, size: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -101,40 +112,73 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def fit(rows: np.ndarray, counts: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative least squares of pattern repeats against the histogram: (pattern numbers, repeats). An active-set
-    method: each round admits the patterns of the largest gradient that share no length, solves on those held, and drops
-    the ones that would repeat a negative number of times; so the solution has about as many patterns as there are
-    lengths. Long lengths weigh more: short pieces fill gaps anyway."""
+def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares of pattern repeats against the histogram: (pattern numbers, repeats), to its optimality conditions.
+
+    An active-set method. Each round admits the patterns of the largest gradients that share no length and solves on those held;
+    patterns that would repeat a negative number of times are dropped at once, or, where that does not lower the objective,
+    one at a time on the way to the solution, which always does. It ends when no pattern outside has a gradient over
+    ``tolerance`` of the highest count. The solution has at most as many patterns as there are lengths. Longer lengths weigh
+    more: short pieces fill gaps anyway.
+    """
     size = len(counts) - 1
-    weight = (0.2 + np.arange(size + 1) / size) ** 2
+    weight = 0.2 + np.arange(size + 1) / size
     weight[0] = 0.0
-    held, value = np.zeros(0, int), np.zeros(0)
-    for _ in range(rounds):
-        short = counts - np.bincount(rows[held].ravel(), np.repeat(value, 3), size + 1)
-        gain = (short * weight)[rows].sum(1)
+    root = np.sqrt(weight)
+
+    def solved(held):
+        a = np.zeros((size + 1, len(held)))
+        for i in range(3):
+            np.add.at(a, (rows[held, i], np.arange(len(held))), root[rows[held, i]])
+        return np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(held)), a.T @ (root * counts))
+
+    def short(held, value):
+        return counts - np.bincount(rows[held].ravel(), np.repeat(value, 3), size + 1)
+
+    def dropped_at_once(held):
+        while True:
+            value = solved(held)
+            if (value > 0).all():
+                return held, value
+            held = held[value > 0]
+
+    def dropped_singly(held, value):
+        while True:
+            to = solved(held)
+            bad = to <= 0
+            if not bad.any():
+                return held, to
+            fresh = bad & (value == 0)
+            if fresh.any():
+                keep = ~fresh
+            else:
+                way = (value[bad] / (value[bad] - to[bad])).min()
+                value = np.maximum(value + way * (to - value), 0)
+                keep = value > 1e-9
+            held, value = held[keep], value[keep]
+
+    held, value, lowest = np.zeros(0, int), np.zeros(0), math.inf
+    while True:
+        gain = (short(held, value) * weight)[rows].sum(1)
         gain[held] = 0
+        good = np.flatnonzero(gain > tolerance * max(1, counts.max()))
+        if not len(good):
+            return held, value
         taken, new = np.zeros(size + 1, bool), []
-        for p in np.argsort(-gain)[:4000]:
+        for p in good[np.argsort(-gain[good], kind="stable")]:
             own = rows[p][rows[p] > 0]
-            if gain[p] <= 0.5 * weight[own].min():
-                break
             if not taken[own].any():
                 taken[own] = True
                 new.append(p)
-        if not new:
-            break
-        held = np.concatenate([held, np.array(new, int)])
-        for _ in range(4):
-            own = rows[held]
-            gram = sum((own[:, None, i] == own[None, :, j]) * weight[own[:, i]][:, None] for i in range(3) for j in range(3))
-            gram = gram + 1e-6 * np.eye(len(held))
-            value = np.linalg.solve(gram, (counts * weight)[own].sum(1))
-            if (value > 0).all():
-                break
-            held, value = held[value > 0], value[value > 0]
-        value = np.maximum(value, 0.0)
-    return held, value
+        wider = np.concatenate([held, np.array(new, int)])
+        found = dropped_at_once(wider)
+        objective = (weight * short(*found) ** 2).sum()
+        if objective >= lowest * (1 - 1e-9):
+            found = dropped_singly(wider, np.concatenate([value, np.zeros(len(new))]))
+            objective = (weight * short(*found) ** 2).sum()
+            if objective >= lowest * (1 - 1e-12):
+                return held, value  # as far as the arithmetic goes
+        held, value, lowest = *found, objective
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -167,32 +211,35 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(p, n) for classes in room.values() for p, n in classes]
 
 
+def fitted(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, repeats) by the fit, and the histogram left over. Repeats are rounded up from ROUND_UP on and else down, and held
+    to what there is, patterns of most repeats first."""
+    rows, left, made = patterns(counts), counts.copy(), []
+    if not len(rows):
+        return made, left
+    chosen, value = fit(rows, counts)
+    for v, pattern in sorted(((v, tuple(int(x) for x in rows[p] if x)) for p, v in zip(chosen, value)), key=lambda x: (-x[0], x[1])):
+        need = {x: pattern.count(x) for x in pattern}
+        n = min(int(v + 1 - ROUND_UP + 1e-6), min(int(left[x]) // m for x, m in need.items()))
+        if n > 0:
+            made.append((pattern, n))
+            for x, m in need.items():
+                left[x] -= n * m
+    return made, left
+
+
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) for a histogram of piece lengths: fitted repeats are rounded down and held to what there is, the
-    residual is packed best-fit; of several shares of the fitted repeats the one with the fewest sequences is taken."""
+    """(pattern, repeats) for a histogram of piece lengths: rounded repeats of fitted patterns, then the residual packed best-fit.
+    Patterns fill a sequence exactly, so where long pieces outnumber what fits beside them the fit can strand these; if plain
+    best-fit needs fewer sequences, it is taken."""
     size = len(counts) - 1
     rest = counts.copy()
     rest[size] = 0
     alone = [((size,), int(counts[size]))] if counts[size] else []
-    rows = patterns(rest)
-    order: list[tuple[tuple[int, ...], float]] = []
-    if len(rows):
-        chosen, value = fit(rows, rest)
-        order = sorted((((tuple(int(x) for x in rows[p] if x)), v) for p, v in zip(chosen, value)), key=lambda x: (-x[1], x[0]))
-    best = None
-    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0) if order else (0.0,):
-        left, made = rest.copy(), []
-        for pattern, v in order:
-            need = {x: pattern.count(x) for x in pattern}
-            n = int(min(v * share + 1e-6, min(left[x] // m for x, m in need.items())))
-            if n > 0:
-                made.append((pattern, n))
-                for x, m in need.items():
-                    left[x] -= n * m
-        made += best_fit(left)
-        if best is None or sum(n for _, n in made) < sum(n for _, n in best):
-            best = made
-    return alone + best
+    made, left = fitted(rest)
+    made += best_fit(left)
+    plain = best_fit(rest)
+    return alone + (plain if sum(n for _, n in plain) < sum(n for _, n in made) else made)
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -13,12 +13,11 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_ids_equal_the_library():
-    texts = ["", "a", "Hello  world\n\n\tx", "éèê ciónue 漢字 🙂", "it's we'll 12345 !!??", "<|endoftext|> x", "a" * 5000, " " * 300]
+    texts = ["", "a", "Hello  world\n\n\tx", "éèê ciónue 漢字 🙂", "it's we'll 12345 !!??", "<|endoftext|> x", "a<|endoftext|><|endoftext|>\n<|endoftext|", "a" * 5000, " " * 300, "\n" * 100_000, "漢" * 50_000]
     encode = packing.encoder(PATH)
     assert [encode(t) for t in texts] == library_ids(texts)
 
@@ -49,7 +48,7 @@ def check(rows, texts, size=1024):
 
 def test_round_trip(spark):
     rng = np.random.default_rng(1)
-    texts = [" ".join(["word"] * int(n)) for n in rng.integers(1, 3000, 80)] + ["same text here"] * 60 + [None, "", "x" * 20000]
+    texts = [" ".join(["word"] * int(n)) for n in rng.integers(1, 3000, 80)] + ["same text here"] * 60 + [None, "", "x" * 20000, "<|endoftext|> and more <|endoftext|>", "long text " * 300_000]
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, piece string")
     rows = packing.pack(docs, PATH).collect()
     n = check(rows, texts)
@@ -77,3 +76,36 @@ def test_plan_uses_every_piece_once():
                 used[x] += n
         assert (used == counts).all()
         assert sum(n for _, n in planned) <= sum(n for _, n in packing.best_fit(counts))
+
+
+def test_the_fit_meets_its_optimality_conditions():
+    rng = np.random.default_rng(5)
+    for counts in (rng.integers(0, 3, 129), rng.poisson(40 * np.exp(-np.arange(129) / 40)), np.eye(129, dtype=int)[60] * 9):
+        counts = counts.astype(np.int64)
+        counts[[0, 128]] = 0
+        rows = packing.patterns(counts)
+        if not len(rows):
+            continue
+        held, value = packing.fit(rows, counts)
+        weight = 0.2 + np.arange(129) / 128
+        weight[0] = 0
+        gradient = ((counts - np.bincount(rows[held].ravel(), np.repeat(value, 3), 129)) * weight)[rows].sum(1)
+        assert (value > 0).all() and np.abs(gradient[held]).max() < 1e-3 and gradient.max() <= 1.1e-3 * max(1, counts.max())
+
+
+def test_most_sequences_come_from_patterns():
+    rng = np.random.default_rng(6)
+    counts = np.bincount(np.minimum(1023, rng.lognormal(5.6, 0.9, 4000).astype(int) + 1), minlength=1025)
+    made, left = packing.fitted(counts)
+    total = sum(n for _, n in packing.plan(counts))
+    assert sum(n for _, n in made) > 0.5 * total and total <= 1.01 * -(-(counts * np.arange(1025)).sum() // 1024)
+    assert all(sum(p) == 1024 for p, _ in made) and (left >= 0).all()
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "same"), (1, "same"), (1, "other"), (None, "same"), (None, None)] * 3, "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 AS length", "'x' AS _rank", "2 AS sequence_id", "3 AS _part", "4 AS _parts")
+    rows = packing.pack(docs, PATH).collect()
+    assert len(rows) == 15 and sum(r.length for r in rows) == sum(len(x) + 1 for x in library_ids(["same", "same", "other", "same", ""])) * 3
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(a[1] + a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(places, places[1:]))
