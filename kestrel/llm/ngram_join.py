@@ -20,7 +20,7 @@ from kestrel.llm.common import members_of, with_columns_in_arrow
 from kestrel.operators.components import components
 from kestrel.session import materialise
 
-#: Least number of groups; a set of n has the power of two from n / 4 on, which is what keeps sets without a common text apart.
+#: Least number of groups; a set of n has the power of two from n / 8 on, which is what keeps sets without a common text apart.
 #: Vectors of two sizes meet at the smaller one.
 GROUPS = 64
 #: Bits a value of the maps that keep single listings and unconcerned texts from being moved, and the most bits of a map. A
@@ -77,7 +77,7 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def count_vector(s: np.ndarray, per_group: int = 4) -> np.ndarray:
+def count_vector(s: np.ndarray, per_group: int = 8) -> np.ndarray:
     """One byte a group; there are more groups where a count would not fit one."""
     groups = GROUPS
     while groups * per_group < len(s):
@@ -126,8 +126,8 @@ class CountTree:
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(id, n, fp, h, counts, prefix): set size, digest of the set, hash of the text, count vector, and the rarest shingles of the
-    set, of which every partner shares one."""
+    """(id, h, r, n, fp, counts, prefix): hash of the text, a number of the row, set size, digest of the set, count vector, and the
+    rarest shingles of the set, of which every partner shares one. Row numbers hold once the table is written."""
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
     every = max(1, docs.count() // SAMPLE)
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
 
         return step
 
-    return with_columns_in_arrow(body, ["text"], fields, start).drop("text")
+    return with_columns_in_arrow(body, ["text"], fields, start).drop("text").withColumn("r", F.monotonically_increasing_id())
 
 
 def bitmap(places: DataFrame, size: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def set_in(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def repeated_listings(sig: DataFrame) -> DataFrame:
-    """(s, id): the listings of shingles that more than one text lists, and a few others; id is the set's digest.
+    """(s, id): the listings of shingles that more than one class lists, and a few others; id is the number of the class.
 
     Most listed shingles occur once. They are counted by a hash of at most 28 bits, which is all that is shuffled, and the hashes
     met twice become a bitmap, sized to the number of listings; listings outside it cannot have a partner and are never moved.
@@ -226,7 +226,7 @@ def repeated_listings(sig: DataFrame) -> DataFrame:
             keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(pa.array(row[keep]))], names=["s", "id"])
 
-    return sig.select("fp", "prefix").mapInArrow(kept, "s long, id binary").distinct()
+    return sig.select("r", "prefix").mapInArrow(kept, "s long, id long")
 
 
 def within(groups: DataFrame, payload: DataFrame) -> DataFrame:
@@ -268,10 +268,6 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
     asks searches the R-trees of the cell's count vectors. Without ``verify`` x is a count vector and a pair is one that the bound
     lets through; with it x is the whole set, the vectors are as fine as the set, and a pair is one that holds on the sets."""
 
-    def numbered(names: list) -> np.ndarray:
-        known: dict[bytes, int] = {}
-        return np.array([known.setdefault(bytes(v), len(known)) for v in names])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
@@ -279,8 +275,7 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
                 if len(n) < 2:
                     continue
                 # Edges join labels where they are links, and single members where they only may be.
-                group = numbered(labels)
-                tag = group.copy() if verify else numbered(ids)
+                tag = (labels if verify else ids).copy()
                 counts = [count_vector(v.view(np.uint64), 1) for v in x] if verify else x
                 lengths = np.array([len(c) for c in counts])
                 around = np.flatnonzero(~asks) if not asks.all() else np.arange(len(n))
@@ -298,7 +293,7 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
                             trees[g, at] = own, CountTree(n[own], np.stack([folded(counts[p], at) for p in own]))
                         own, tree = trees[g, at]
                         near = own[tree.search(size, folded(counts[q], at), percent)]
-                        near = near[group[near] != group[q]]
+                        near = near[labels[near] != labels[q]]
                         while len(near := near[tag[near] != tag[q]]):
                             p, near = near[0], near[1:]
                             if verify:
@@ -306,11 +301,11 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
                                 if not both or 100 * both < percent * (int(n[p]) + size - both):
                                     continue
                             tag[tag == tag[p]] = tag[q]
-                            a.append(bytes(ids[p]))
-                            b.append(bytes(ids[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                            a.append(ids[p])
+                            b.append(ids[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cells.select("members").mapInArrow(run, "a binary, b binary")
+    return cells.select("members").mapInArrow(run, "a long, b long")
 
 
 def searched(groups: DataFrame, payload: DataFrame, percent: int, verify: bool, labels: DataFrame | None = None) -> DataFrame:
@@ -326,12 +321,11 @@ def searched(groups: DataFrame, payload: DataFrame, percent: int, verify: bool,
     return edges.unionByName(materialise(rest))
 
 
-def verified(near: DataFrame, sig: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def verified(near: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) among the documents that ``near`` joins into candidate groups, from their whole sets: each set goes to its
     group once, and all pairs of a group are searched, whichever of them ``near`` names."""
     near = components(near, "a", "b").select(F.col("component").alias("g"), F.col("node").alias("id"))
-    held = sig.where("n > 0").select(F.col("fp").alias("id"), "n", "h").join(near, "id").groupBy("g", "id", "n").agg(F.min("h").alias("h"))
-    held = materialise(held)
+    held = materialise(near.join(firsts.select(F.col("r").alias("id"), "fp", "n", "h"), "id"))
     # Texts are filtered where they are read, by a bitmap sized to their number; only the sets of documents concerned are moved.
     size = bits_for(held.count())
     place = F.col("h").bitwiseAND(size - 1)
@@ -353,7 +347,7 @@ def verified(near: DataFrame, sig: DataFrame, docs: DataFrame, text: str, width:
                     made[1].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.binary()) for m in made], names=["id", "x"])
 
-    sets = body.mapInArrow(shingled, "id binary, x binary").join(held.select("id", "n"), "id")
+    sets = body.mapInArrow(shingled, "fp binary, x binary").join(held.select("fp", "id", "n"), "fp")
     sets = materialise(sets.groupBy("id", "n").agg(F.first("x").alias("x")))
     return searched(sized(held, F.col("n") * 8), sets, percent, True)
 
@@ -375,7 +369,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     No pair over the threshold is missed, whatever the skew:
 
-    1. Documents of equal sets form a class, known by the digest of its set; copies are not expanded.
+    1. Documents of equal sets (by a digest of 128 bits) form a class; copies are not expanded.
     2. Each class lists its rarest n - ceil(0.8 n) + 1 shingles (frequent ones, found on a sample, come last in the order).
        Two linked sets share one of those. Classes that list a shingle form its bucket; buckets with equal members are one.
     3. A bucket is dealt into blocks, and R-trees of the members' count vectors tell which pairs of a block may be similar. A block
@@ -391,26 +385,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     empty table.
     """
     sig = materialise(signatures(docs, key, text, width, percent))
-    listed = materialise(repeated_listings(sig))
+    copied = sig.where("n > 0").groupBy("fp").agg(F.min("r").alias("first"), F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    copied = materialise(copied)
+    later = sig.select("fp", "r").join(copied, "fp").where("r > first").select("r")
+    firsts = sig.where("n > 0").join(later, "r", "left_anti")
+    listed = materialise(repeated_listings(firsts))
     same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-    buckets = listed.groupBy("s").agg(F.count("*").alias("members"), *same).where("members > 1")
+    repeated = listed.join(listed.groupBy("s").count().where("count > 1").select("s"), "s")
     # Shingles of one passage have the same members; one of them stands for all.
-    buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("s").alias("g")).select("g")
+    buckets = repeated.groupBy("s").agg(F.count("*").alias("members"), *same).groupBy("members", "h1", "h2").agg(F.min("s").alias("g")).select("g")
     shared = materialise(listed.withColumnRenamed("s", "g").join(buckets, "g"))
-    wanted = shared.select("id").distinct()
-    points = sig.select(F.col("fp").alias("id"), "n", F.col("counts").alias("x")).join(wanted, "id", "left_semi")
-    points = materialise(points.groupBy("id").agg(F.first("n").alias("n"), F.first("x").alias("x")))
+    points = firsts.select(F.col("r").alias("id"), "n", F.col("counts").alias("x")).join(shared.select("id").distinct(), "id", "left_semi")
+    points = materialise(points)
     groups = sized(shared.join(points.select("id", F.octet_length("x").alias("b")), "id"), F.col("b"))
-    links = verified(searched(groups, points, percent, False), sig, docs, text, width, percent)
+    links = verified(searched(groups, points, percent, False), firsts, docs, text, width, percent)
+    labels = materialise(components(links, "a", "b"))
     if groups.where((F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).limit(1).count():
-        more = searched(groups, points, percent, False, materialise(components(links, "a", "b")))
-        links = links.unionByName(verified(more, sig, docs, text, width, percent))
-    labels = components(links, "a", "b")
-    classes = sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    joined = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("of_component"))
-    named = joined.join(least, "component", "left").where("copies > 1 OR component IS NOT NULL")
-    named = named.select("fp", F.coalesce("of_component", "least").alias("component_id"))
+        more = searched(groups, points, percent, False, labels)
+        if more.limit(1).count():
+            labels = components(links.unionByName(verified(more, firsts, docs, text, width, percent)), "a", "b")
+    # Classes of several rows or with links; every other row is a component of its own.
+    linked = labels.withColumnRenamed("node", "r").join(sig.select("r", "fp", F.col("id").alias("own")), "r").drop("r")
+    joined = linked.join(copied.select("fp", "least"), "fp", "full").withColumn("least", F.coalesce("least", "own"))
+    of_component = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("of_component"))
+    named = joined.join(of_component, "component", "left").select("fp", F.coalesce("of_component", "least").alias("component_id"))
     return sig.select("id", "n", "fp").join(named, "fp", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
