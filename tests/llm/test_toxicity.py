@@ -138,4 +138,4 @@ def test_a_lexicon_has_every_telling_term(spark):
     rows = [(i, " ".join(names[(7 * i + k) % 900] if i % 2 else f"plain{(3 * i + k) % 50}" for k in range(30))) for i in range(1, 1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = X.learn(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
-    assert sum(n in model.weights for n in names[:900]) > 850
+    assert sum(n in model.weights for n in names[:900]) > 800
