@@ -226,7 +226,9 @@ def repeated_listings(sig: DataFrame) -> DataFrame:
             keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(pa.array(row[keep]))], names=["s", "id"])
 
-    return sig.select("r", "prefix").mapInArrow(kept, "s long, id long")
+    listed = materialise(sig.select("r", "prefix").mapInArrow(kept, "s long, id long"))
+    sent.destroy()  # what is written is not computed again
+    return listed
 
 
 def within(groups: DataFrame, payload: DataFrame) -> DataFrame:
@@ -349,6 +351,7 @@ def verified(near: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, wid
 
     sets = body.mapInArrow(shingled, "fp binary, x binary").join(held.select("fp", "id", "n"), "fp")
     sets = materialise(sets.groupBy("id", "n").agg(F.first("x").alias("x")))
+    sent.destroy()  # what is written is not computed again
     return searched(sized(held, F.col("n") * 8), sets, percent, True)
 
 
@@ -387,9 +390,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     sig = materialise(signatures(docs, key, text, width, percent))
     copied = sig.where("n > 0").groupBy("fp").agg(F.min("r").alias("first"), F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copied = materialise(copied)
-    later = sig.select("fp", "r").join(copied, "fp").where("r > first").select("r")
+    # Written, so that its size is known: a small one is broadcast and the signatures are not moved.
+    later = materialise(sig.select("fp", "r").join(copied, "fp").where("r > first").select("r"))
     firsts = sig.where("n > 0").join(later, "r", "left_anti")
-    listed = materialise(repeated_listings(firsts))
+    listed = repeated_listings(firsts)
     same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     repeated = listed.join(listed.groupBy("s").count().where("count > 1").select("s"), "s")
     # Shingles of one passage have the same members; one of them stands for all.
