@@ -43,7 +43,7 @@ def shard_of(key: Column, shards: int) -> Column:
 def long_key(df: DataFrame, key: str) -> Column:
     """Integer keys stand for themselves; others are hashed. A null key counts as 0."""
     kind = df.schema[key].dataType
-    own = F.col(key).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(F.col(key))
+    own = F.col(f"`{key}`").cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(F.col(f"`{key}`"))
     return F.coalesce(own, F.lit(0).cast("long"))
 
 
@@ -59,31 +59,20 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     an empty table gives an empty table, and input columns named like an output are replaced.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    body = F.coalesce(F.col(text), F.lit(""))
-    held = "_key", "_part", "_shard"
-    keyed = df.withColumn("_key", long_key(df, key)).withColumn("_part", F.pmod("_key", F.lit(PARTS)).cast("int"))
-    keyed = keyed.withColumn("_shard", shard_of(F.col("_key"), shards))
-    rows = (
-        keyed.withColumn("_size", F.octet_length(body).cast("long") + 1)
-        .withColumn("_crc", F.crc32(body.cast("binary")))
-        .withColumn("_grown", shard_of(F.col("_key"), shards + 1))
-    )
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    kept = [F.col(f"`{c}`") for c in without(df, made).columns]
+    # The input's columns travel inside one, so that no name of theirs meets one of these.
+    keyed = df.select(F.struct(*kept).alias("row"), long_key(df, key).alias("key"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    keyed = keyed.withColumns({"part": F.pmod("key", F.lit(PARTS)).cast("int"), "shard": shard_of(F.col("key"), shards), "grown": shard_of(F.col("key"), shards + 1)})
     from pyspark.sql import Window as W
 
-    counts = keyed.groupBy("_shard", "_part").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_shard", "_part").orderBy("_key", "_size", "_crc")
-    slotted = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["_shard", "_part"])
-    kept = [c for c in without(df, made).columns if c not in held]
+    counts = keyed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("shard", "part").orderBy("key", "size", "crc")
+    slotted = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "part"])
     return slotted.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        F.col("_shard").alias("shard"),
-        (F.col("_start") + F.col("_rank")).alias("slot"),
-        F.col("_grown").alias("grown_shard"),
+        "row.*", "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank")).alias("slot"), F.col("grown").alias("grown_shard")
     )
 
 

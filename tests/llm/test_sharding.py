@@ -35,3 +35,16 @@ def test_rows(spark):
     assert S.assign_shards(df.limit(0)).count() == 0
     named = spark.createDataFrame([("a", "x"), ("b", None)], "name string, text string")
     assert {r.shard for r in S.assign_shards(named, key="name").collect()} <= set(range(8))
+
+
+def test_names_of_the_input_stay(spark):
+    df = spark.createDataFrame([(k, "t", k, "a", "b", 5) for k in range(20)] * 2, "doc_id long, text string, _size long, key string, row string, part int")
+    rows = S.assign_shards(df).collect()
+    assert len(rows) == 40 and all((r._size, r.key, r.row, r.part) == (r.doc_id, "a", "b", 5) for r in rows)
+    assert sorted(rows[0].asDict()) == sorted([*df.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+
+
+def test_ties_of_one_key(spark):
+    df = spark.createDataFrame([(7, t) for t in ["same"] * 300 + ["other", None, "x" * 3_000_000]], "doc_id long, text string")
+    rows = S.assign_shards(df).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(303)) and max(r.size for r in rows) == 3_000_001
