@@ -31,7 +31,8 @@ def with_columns_in_arrow(
     """Append ``fields`` computed batch by batch on the executors; every other column passes through as Arrow.
 
     ``start()`` runs once a task and returns a function from the lists of the needed columns to the lists of the new
-    ones. No shuffle, and one batch in memory at a time.
+    ones. No shuffle, and one batch in memory at a time; Spark cuts batches at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), so
+    long texts make batches of few rows.
     """
     kept = without(df, [f.name for f in fields])
     schema = T.StructType([*kept.schema.fields, *fields])
