@@ -25,23 +25,29 @@ def sightings(df: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when((status != "nonsense") & (F.col("prior") > 0), "duplicate").otherwise(status))
 
 
-def derive_actions(scams: DataFrame, trails: DataFrame, rings: DataFrame) -> DataFrame:
-    """A1-A2: response actions by five rules, one of each id (the first rule wins), most urgent first."""
-    target = lambda c: F.lower(F.regexp_replace(c.cast("string"), "[^A-Za-z0-9]+", "-"))
+#: The kinds of response actions.
+FREEZE, BLOCK, INTERCEPT, ALERT = "account_freeze", "telecom_block", "citizen_intercept", "mha_alert"
 
-    def rule(df: DataFrame, n: int, kind: str, on: Column, priority: str) -> DataFrame:
-        return df.select(F.lit(n).alias("rule"), F.lit(kind).alias("action_type"), target(on).alias("target"), F.lit(priority).alias("priority"))
+
+def derive_actions(scams: DataFrame, trails: DataFrame, rings: DataFrame, threats: DataFrame) -> DataFrame:
+    """A1-A2: response actions by five rules, one of each id (the first rule wins): traced accounts and the first accounts of the
+    three riskiest rings are frozen, phones of risky scams blocked, victims of those without a payment warned, and a national
+    alert goes out at a high or critical threat. ``scams`` has phone and reported (whether a payment is), ``threats`` a threat."""
+    target = lambda c: F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}._+-]", "_")
+
+    def rule(df: DataFrame, n: int, kind: str, on: Column, priority: Column) -> DataFrame:
+        return df.select(F.lit(n).alias("rule"), F.lit(kind).alias("action_type"), target(on).alias("target"), priority.alias("priority"))
 
     top = rings.withColumn("_r", F.row_number().over(W.orderBy(F.desc("risk"), "ring_id"))).where("_r <= 3 AND risk >= 0.7")  # one row a ring
     first = top.select("ring_id", F.explode(F.slice(F.array_sort(F.split("account_ids", ",")), 1, 3)).alias("account_id"))
     risky = scams.where("risk_score >= 0.6 AND verdict <> 'legit'")
-    level = scams.where("verdict = 'scam'").groupBy("district").count().where("count >= 5")
+    worst = threats.agg(F.max(F.when(F.col("threat") == "critical", 2).when(F.col("threat") == "high", 1).otherwise(0)).alias("level")).where("level > 0")
     every = (
-        rule(trails, 1, "freeze_account", F.col("target"), "critical")
-        .unionByName(rule(first, 2, "freeze_account", F.col("account_id"), "high"))
-        .unionByName(rule(risky.where("k % 2 = 0"), 3, "block_number", F.concat(F.lit("U"), F.col("user_id")), "high"))
-        .unionByName(rule(risky.where("k % 2 = 1"), 4, "intercept_call", F.concat(F.lit("U"), F.col("user_id")), "critical"))
-        .unionByName(rule(level, 5, "national_alert", F.col("district"), "high"))
+        rule(trails, 1, FREEZE, F.col("target"), F.lit("critical"))
+        .unionByName(rule(first, 2, FREEZE, F.col("account_id"), F.lit("high")))
+        .unionByName(rule(risky.where("phone IS NOT NULL"), 3, BLOCK, F.col("phone"), F.lit("high")))
+        .unionByName(rule(risky.where("NOT reported"), 4, INTERCEPT, F.col("event_id"), F.lit("critical")))
+        .unionByName(rule(worst, 5, ALERT, F.lit("national"), F.when(F.col("level") == 2, "critical").otherwise("high")))
     )
     once = every.groupBy("action_type", "target").agg(F.min(F.struct("rule", "priority")).alias("f"))
     return once.select(F.concat_ws(":", "action_type", "target").alias("action_id"), "action_type", "target", "f.rule", "f.priority")

@@ -55,40 +55,46 @@ def ring_degrees(tx: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(ins, ["ring_id", "account_id"], "left").join(outs, ["ring_id", "account_id"], "left").na.fill(0)
 
 
-def cyclic_rings(tx: DataFrame, members: DataFrame, longest: int = 6) -> DataFrame:
-    """K7: rings with a directed cycle of 3 to ``longest`` accounts. Paths start at their least account, so each cycle is
-    walked once, and a ring leaves the search as soon as it has one."""
+def cyclic_rings(tx: DataFrame, members: DataFrame) -> DataFrame:
+    """K7: rings with a directed cycle of three accounts or more, of any length.
+
+    An edge stays while its end goes on to an account other than its start and its start is reached from one other than its
+    end; what is left when no edge goes any more is walks that never turn back, and they close only over such cycles. Each
+    round is two aggregates and a join, whatever the number of paths.
+    """
     e = materialise(intra_edges(tx, members).where("source <> target").select("ring_id", "source", "target").distinct())
-    paths = e.where("source < target").select("ring_id", F.col("source").alias("start"), F.col("target").alias("last"), F.array("source", "target").alias("seen"))
-    found = None
-    for size in range(3, longest + 1):
-        step = paths.join(e.withColumnRenamed("source", "last"), ["ring_id", "last"]).where("target > start AND NOT array_contains(seen, target)")
-        paths = materialise(step.select("ring_id", "start", F.col("target").alias("last"), F.concat("seen", F.array("target")).alias("seen")))
-        closing = e.select("ring_id", F.col("source").alias("last"), F.col("target").alias("start"))
-        hit = materialise(paths.join(closing, ["ring_id", "last", "start"], "left_semi").select("ring_id").distinct())
-        found = hit if found is None else found.unionByName(hit)
-        paths = paths.join(hit, "ring_id", "left_anti")
-    return found.distinct()
+    left = e.count()
+    while left:
+        back = e.select("ring_id", F.col("source").alias("target"), F.col("target").alias("source"), F.lit(1).alias("back"))
+        outs = e.groupBy("ring_id", F.col("source").alias("target")).agg(F.count("*").alias("outs"))
+        ins = e.groupBy("ring_id", F.col("target").alias("source")).agg(F.count("*").alias("ins"))
+        known = e.join(back, ["ring_id", "source", "target"], "left").join(outs, ["ring_id", "target"], "left").join(ins, ["ring_id", "source"], "left").na.fill(0)
+        e = materialise(known.where("outs > back AND ins > back").select("ring_id", "source", "target"))
+        before, left = left, e.count()
+        if left == before:
+            break
+    return e.select("ring_id").distinct()
 
 
 def topology(tx: DataFrame, members: DataFrame) -> DataFrame:
-    """K8: the ring's shape, the first that fits of cycle, multi-hub, collection hub, chain, mixed."""
+    """K8: the ring's shape, the first that fits of cycle, multi-hub, collection hub, chain, mixed. A hub collects from or pays to
+    a third of the ring, at least three."""
     d = ring_degrees(tx, members)
     n = F.count("*")
     sized = d.join(d.groupBy("ring_id").agg(n.alias("n")), "ring_id")
     third = F.greatest(F.lit(3), F.floor(F.col("n") / 3))
     shape = sized.groupBy("ring_id", "n").agg(
-        F.sum(F.when(F.col("in_degree") + F.col("out_degree") >= third, 1).otherwise(0)).alias("hubs"),
+        F.sum(F.when(F.greatest("in_degree", "out_degree") >= third, 1).otherwise(0)).alias("hubs"),
         F.max(F.greatest("in_degree", "out_degree")).alias("most"),
         F.sum(F.when((F.col("in_degree") <= 1) & (F.col("out_degree") <= 1), 1).otherwise(0)).alias("links"),
     )
     cyclic = cyclic_rings(tx, members).withColumn("cyclic", F.lit(True))
     label = (
-        F.when(F.col("cyclic"), "circular flow")
+        F.when(F.col("cyclic"), "round-tripping cycle")
         .when(F.col("hubs") >= 2, "multi-hub laundering network")
-        .when(F.col("most") >= F.greatest(F.lit(3), F.col("n") - 2), "collection hub")
-        .when(F.col("links") >= F.col("n") - 1, "layered chain")
-        .otherwise("mixed")
+        .when(F.col("most") >= F.greatest(F.lit(3), F.col("n") - 2), "mule collection hub")
+        .when(F.col("links") >= F.col("n") - 1, "layering chain")
+        .otherwise("mixed laundering network")
     )
     return shape.join(cyclic, "ring_id", "left").select("ring_id", label.alias("label"))
 

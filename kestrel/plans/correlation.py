@@ -10,6 +10,7 @@ from kestrel.operators import resolve as E
 from kestrel.operators import rings as K
 from kestrel.operators.components import components
 from kestrel.plans.rings import parts
+from kestrel.plans.rings import sql as ringed
 from kestrel.sources.bindings import oracle, view
 
 #: The eight printed features of a note.
@@ -38,8 +39,7 @@ def j02_money_trails(spark, sf):
 
 
 TRAILS_SQL = """tr AS (SELECT event_id, tx_id, source, target, paid, amount AS edge_amount, e.t - s.t AS lag_s,
-  row_number() OVER (PARTITION BY event_id ORDER BY e.t, target, tx_id) AS r FROM scams s JOIN p2p e ON e.target LIKE '%3' AND e.source NOT LIKE '%3'
-  AND paid > 0 AND abs(amount - paid) * 100 <= paid AND e.t - s.t BETWEEN -7200 AND 345600)"""
+  row_number() OVER (PARTITION BY event_id ORDER BY e.t, target, tx_id) AS r FROM scams s JOIN infl e ON paid > 0 AND abs(amount - paid) * 100 <= paid AND e.t - s.t BETWEEN -7200 AND 345600)"""
 
 
 def j03_scam_rings(spark, sf):
@@ -77,12 +77,12 @@ def all_points(spark, sf):
 
 POINTS_SQL = """mp AS (SELECT 'scam' AS type, lat, lon, risk_score AS weight, district FROM scams WHERE verdict IN ('scam', 'suspicious')
   UNION ALL SELECT 'counterfeit', lat, lon, 0.7e0, district FROM notes WHERE verdict = 'fake'
-  UNION ALL SELECT 'ring', lat, lon, risk, district FROM (SELECT 'r' || substr(account_id, 2, 1) AS ring_id, district, avg(score) AS risk FROM members WHERE account_id LIKE '%3' GROUP BY 1, 2)
+  UNION ALL SELECT 'ring', lat, lon, risk, district FROM (SELECT ring_id, district, avg(score) AS risk FROM rm JOIN members USING (account_id) GROUP BY 1, 2)
     JOIN (SELECT district, min(lat) AS lat, min(lon) AS lon FROM points GROUP BY 1) USING (district))"""
 
 
 def j10_map_points(spark, sf):
-    return all_points(spark, sf).groupBy("type", "district").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"))
+    return all_points(spark, sf).groupBy("type", "district").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
 
 
 def j11_input_hash(spark, sf):
@@ -96,8 +96,8 @@ def h01_hubs(spark, sf):
 
 HUBS_SQL = f"""pl AS (SELECT DISTINCT lat, lon, printf('%.6f', lat) || '|' || printf('%.6f', lon) AS place FROM mp),
 nb AS (SELECT a.place AS x, b.place AS y FROM pl a JOIN pl b ON {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25),
-reach(x, y) AS (SELECT x, y FROM nb UNION SELECT reach.x, nb.y FROM reach JOIN nb ON reach.y = nb.x),
-lb AS (SELECT x AS place, min(y) AS hub_id FROM reach GROUP BY x),
+touch(x, y) AS (SELECT x, y FROM nb UNION SELECT touch.x, nb.y FROM touch JOIN nb ON touch.y = nb.x),
+lb AS (SELECT x AS place, min(y) AS hub_id FROM touch GROUP BY x),
 jp AS (SELECT mp.*, hub_id FROM mp JOIN pl USING (lat, lon) JOIN lb USING (place)),
 md AS (SELECT hub_id, district, row_number() OVER (PARTITION BY hub_id ORDER BY count(*) DESC, district) AS r FROM jp WHERE district IS NOT NULL GROUP BY 1, 2),
 hb AS (SELECT hub_id, count(*) AS n_points, avg(lat) AS lat, avg(lon) AS lon, sum(coalesce(weight, 0.5)) AS intensity, string_agg(DISTINCT type, ',' ORDER BY type) AS domains, count(DISTINCT type) AS nd FROM jp GROUP BY 1 HAVING count(*) >= 2)"""
@@ -150,9 +150,11 @@ def e04_script_links(spark, sf):
     return E.script_links(scripts(spark, sf)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "tier")
 
 
-SCRIPTS_SQL = """sc AS (SELECT doc_id AS event_id, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z]{3,})', 1))) AS w FROM messages WHERE length(text) < 1500),
-cs AS (SELECT w, min(event_id) AS id FROM sc WHERE len(w) > 0 GROUP BY 1), ex AS (SELECT id, len(w) AS n, unnest(w) AS x FROM cs),
-jj AS (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE AS jaccard FROM ex a JOIN ex b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE >= 0.3)"""
+SCRIPTS_SQL = """sw AS (SELECT doc_id AS event_id, regexp_extract_all(lower(text), '([a-z]{3,})', 1) AS v FROM messages),
+sc AS (SELECT event_id, list_sort(list_distinct(v)) AS w, list_sort(list_distinct(list_transform(generate_series(1, len(v) - 1), lambda i: v[i] || ' ' || v[i + 1]))) AS g FROM sw),
+cs AS (SELECT w, g, min(event_id) AS id FROM sc WHERE len(w) > 0 GROUP BY 1, 2), ex AS (SELECT id, len(w) AS n, unnest(w) AS x FROM cs),
+jr AS (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE AS jaccard FROM ex a JOIN ex b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE >= 0.3),
+jj AS (SELECT a, b, jaccard FROM jr JOIN cs p ON p.id = a JOIN cs q ON q.id = b WHERE jaccard >= 0.5 OR len(list_intersect(p.g, q.g)) >= 3)"""
 
 
 def e05_campaigns(spark, sf):
@@ -168,32 +170,32 @@ QUERIES = {
         h01_hubs, h04_hub_summary, h05_near_places, e01_plate_links, e02_plate_families, e03_family_summary, e04_script_links, e05_campaigns,
     )
 }
-RING_D = "(SELECT DISTINCT 'r' || substr(account_id, 2, 1) AS ring_id, district FROM members WHERE account_id LIKE '%3')"
-FAMILY_NOTES = CLASSES_SQL.replace("FROM notes WHERE verdict", "FROM notes WHERE t % 86400 < 3600 AND verdict")
+RING_D = "(SELECT DISTINCT ring_id, district FROM rm JOIN members USING (account_id))"
+THREAT_SQL = f"""ts AS (SELECT district, count(*) AS scams FROM scams WHERE verdict <> 'legit' GROUP BY 1), tn AS (SELECT district, count(*) AS notes FROM notes WHERE verdict = 'fake' GROUP BY 1),
+rr AS (SELECT district, count(DISTINCT ring_id) AS rings FROM {RING_D} GROUP BY 1), tm AS (SELECT district, count(*) AS trails FROM tr JOIN scams USING (event_id) WHERE r = 1 AND verdict <> 'legit' GROUP BY 1),
+te AS (SELECT district, coalesce(scams, 0) AS scams, coalesce(notes, 0) AS notes, coalesce(rings, 0) AS rings, coalesce(trails, 0) AS trails FROM ts FULL JOIN tn USING (district) FULL JOIN rr USING (district) FULL JOIN tm USING (district)),
+td AS (SELECT *, (scams > 0)::INT + (notes > 0)::INT + (rings > 0)::INT AS domains FROM te WHERE district IS NOT NULL),
+th AS (SELECT district, scams, notes, rings, trails, concat_ws(',', CASE WHEN trails > 0 THEN 'money_trail' END, CASE WHEN rings > 0 AND scams > 0 THEN 'shared_district' END, CASE WHEN notes > 0 AND (scams > 0 OR rings > 0) THEN 'shared_location' END) AS basis,
+  domains, CASE WHEN domains >= 3 THEN 'critical' WHEN domains >= 2 OR trails > 0 THEN 'high' WHEN domains >= 1 THEN 'medium' ELSE 'low' END AS threat,
+  trails > 0 OR (scams > 0 AND rings > 0) AS take_to_move, notes > 0 AND (scams > 0 OR rings > 0) AS move_to_cash FROM td)"""
 ORACLES = {
-    "j02_money_trails": oracle(f"WITH {TRAILS_SQL} SELECT event_id, tx_id, source, target, CAST(paid AS DOUBLE) AS paid, CAST(edge_amount AS DOUBLE) AS edge_amount, lag_s FROM tr WHERE r = 1", "scams", "p2p"),
-    "j03_scam_rings": oracle(f"SELECT district, event_id, ring_id FROM scams JOIN {RING_D} USING (district) WHERE verdict <> 'legit'", "scams", "members"),
+    "j02_money_trails": ringed(f"WITH {TRAILS_SQL} SELECT event_id, tx_id, source, target, CAST(paid AS DOUBLE) AS paid, CAST(edge_amount AS DOUBLE) AS edge_amount, lag_s FROM tr WHERE r = 1", "scams"),
+    "j03_scam_rings": ringed(f"SELECT district, event_id, ring_id FROM scams JOIN {RING_D} USING (district) WHERE verdict <> 'legit'", "scams"),
     "j04_scam_notes": oracle(f"""SELECT s.event_id AS scam_id, n.event_id AS note_id, s.district = n.district AS same_district, abs(s.t - n.t) <= 345600 AS within_time
         FROM scams s JOIN notes n ON s.verdict = 'scam' AND n.verdict = 'fake' AND (s.district = n.district OR {hav('s.lat', 's.lon', 'n.lat', 'n.lon')} <= 30)""", "scams", "notes"),
-    "j05_note_rings": oracle(f"SELECT district, event_id, ring_id FROM notes JOIN {RING_D} USING (district) WHERE verdict = 'fake'", "notes", "members"),
+    "j05_note_rings": ringed(f"SELECT district, event_id, ring_id FROM notes JOIN {RING_D} USING (district) WHERE verdict = 'fake'", "notes"),
     "j06_distances": oracle(f"SELECT district, round(lat, 4) AS lat, round(lon, 4) AS lon, round({hav('lat', 'lon', '28.61e0', '77.21e0')}, 3) AS km FROM (SELECT DISTINCT district, lat, lon FROM points)", "points"),
-    "j07_j09_threat": oracle(f"""WITH {TRAILS_SQL}, s AS (SELECT district, count(*) AS scams FROM scams WHERE verdict <> 'legit' GROUP BY 1), n AS (SELECT district, count(*) AS notes FROM notes WHERE verdict = 'fake' GROUP BY 1),
-        r AS (SELECT district, count(DISTINCT ring_id) AS rings FROM {RING_D} GROUP BY 1), m AS (SELECT district, count(*) AS trails FROM tr JOIN scams USING (event_id) WHERE r = 1 AND verdict <> 'legit' GROUP BY 1),
-        e AS (SELECT district, coalesce(scams, 0) AS scams, coalesce(notes, 0) AS notes, coalesce(rings, 0) AS rings, coalesce(trails, 0) AS trails FROM s FULL JOIN n USING (district) FULL JOIN r USING (district) FULL JOIN m USING (district)),
-        d AS (SELECT *, (scams > 0)::INT + (notes > 0)::INT + (rings > 0)::INT AS domains FROM e)
-        SELECT district, scams, notes, rings, trails, concat_ws(',', CASE WHEN trails > 0 THEN 'money_trail' END, CASE WHEN rings > 0 AND scams > 0 THEN 'shared_district' END, CASE WHEN notes > 0 AND (scams > 0 OR rings > 0) THEN 'shared_location' END) AS basis,
-          domains, CASE WHEN domains >= 3 THEN 'critical' WHEN domains >= 2 OR trails > 0 THEN 'high' WHEN domains >= 1 THEN 'medium' ELSE 'low' END AS threat,
-          trails > 0 OR (scams > 0 AND rings > 0) AS take_to_move, notes > 0 AND (scams > 0 OR rings > 0) AS move_to_cash FROM d""", "scams", "p2p", "notes", "members"),
-    "j10_map_points": oracle(f"WITH {POINTS_SQL} SELECT type, district, count(*) AS n, round(sum(weight), 4) AS weight, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon FROM mp GROUP BY 1, 2", "scams", "notes", "members"),
-    "h01_hubs": oracle(f"""WITH {POINTS_SQL}, {HUBS_SQL} SELECT hb.hub_id, n_points, round(lat, 4) AS lat, round(lon, 4) AS lon, round(intensity, 3) AS intensity, domains, nd >= 2 AS cross_domain,
-        CASE WHEN nd >= 3 THEN 'coordinated' WHEN nd = 2 THEN 'multi_signal' END AS tier, district FROM hb LEFT JOIN md ON md.hub_id = hb.hub_id AND r = 1""", "scams", "notes", "members", recursive=True),
-    "h04_hub_summary": oracle(f"WITH {POINTS_SQL}, {HUBS_SQL} SELECT count(*) AS hubs, CAST(sum((nd >= 2)::INT) AS BIGINT) AS cross_domain, CAST(sum(n_points) AS BIGINT) AS points FROM hb", "scams", "notes", "members", recursive=True),
+    "j07_j09_threat": ringed(f"WITH {TRAILS_SQL}, {THREAT_SQL} SELECT * FROM th", "scams", "notes"),
+    "j10_map_points": ringed(f"WITH {POINTS_SQL} SELECT type, district, count(*) AS n, round(sum(weight), 4) AS weight, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM mp GROUP BY 1, 2", "scams", "notes"),
+    "h01_hubs": ringed(f"""WITH {POINTS_SQL}, {HUBS_SQL} SELECT hb.hub_id, n_points, round(lat, 4) AS lat, round(lon, 4) AS lon, round(intensity, 3) AS intensity, domains, nd >= 2 AS cross_domain,
+        CASE WHEN nd >= 3 THEN 'coordinated' WHEN nd = 2 THEN 'multi_signal' END AS tier, district FROM hb LEFT JOIN md ON md.hub_id = hb.hub_id AND r = 1""", "scams", "notes"),
+    "h04_hub_summary": ringed(f"WITH {POINTS_SQL}, {HUBS_SQL} SELECT count(*) AS hubs, CAST(sum((nd >= 2)::INT) AS BIGINT) AS cross_domain, CAST(sum(n_points) AS BIGINT) AS points FROM hb", "scams", "notes"),
     "h05_near_places": oracle(f"""WITH p AS (SELECT DISTINCT district, lat, lon FROM points) SELECT a.district, count(*) AS pairs, round(max({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 3) AS km
         FROM p a JOIN p b ON a.lat < b.lat AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25 GROUP BY 1""", "points"),
     "e01_plate_links": oracle(f"""WITH {CLASSES_SQL} SELECT denomination, a, b, shared, CASE WHEN shared / all_::DOUBLE >= 0.5 THEN 'probable' ELSE 'possible' END AS tier FROM pr WHERE shared > 0
         UNION ALL SELECT denomination, id, id, len(f), 'high' FROM cl WHERE notes > 1""", "notes"),
-    "e02_plate_families": oracle(f"WITH {FAMILY_NOTES}, {FAMILIES_SQL}", "notes", recursive=True),
-    "e03_family_summary": oracle(f"WITH {FAMILY_NOTES}, fam AS (WITH {FAMILIES_SQL}) SELECT count(*) AS families, CAST(sum(notes) AS BIGINT) AS linked_notes, CAST(sum((districts > 1)::INT) AS BIGINT) AS multi_district FROM fam".replace("fam AS (WITH ed", "fam AS (WITH RECURSIVE ed"), "notes", recursive=True),
+    "e02_plate_families": oracle(f"WITH {CLASSES_SQL}, {FAMILIES_SQL}", "notes", recursive=True),
+    "e03_family_summary": oracle(f"WITH {CLASSES_SQL}, fam AS (WITH {FAMILIES_SQL}) SELECT count(*) AS families, CAST(sum(notes) AS BIGINT) AS linked_notes, CAST(sum((districts > 1)::INT) AS BIGINT) AS multi_district FROM fam".replace("fam AS (WITH ed", "fam AS (WITH RECURSIVE ed"), "notes", recursive=True),
     "e04_script_links": oracle(f"WITH {SCRIPTS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.7 THEN 'high' WHEN jaccard >= 0.5 THEN 'probable' ELSE 'possible' END AS tier FROM jj", "messages"),
     "e05_campaigns": oracle(f"""WITH {SCRIPTS_SQL}, sy AS (SELECT a AS x, b AS y FROM jj WHERE jaccard >= 0.5 UNION SELECT b, a FROM jj WHERE jaccard >= 0.5),
         reach(x, y) AS (SELECT x, x FROM sy UNION SELECT reach.x, sy.y FROM reach JOIN sy ON reach.y = sy.x), lb AS (SELECT x, min(y) AS campaign FROM reach GROUP BY 1)

@@ -9,8 +9,9 @@ from kestrel.operators import evaluate as M
 from kestrel.operators import records as A
 from kestrel.operators import rings as K
 from kestrel.operators.features import is_round
-from kestrel.plans.correlation import TRAILS_SQL, ring_inflows
+from kestrel.plans.correlation import THREAT_SQL, TRAILS_SQL, j07_j09_threat, ring_inflows
 from kestrel.plans.rings import parts
+from kestrel.plans.rings import sql as ringed
 from kestrel.sources.bindings import oracle, view
 
 lab = lambda spark, sf: view(spark, sf, "labelled")
@@ -79,18 +80,19 @@ def rings_of(spark, sf):
 
 
 def actions(spark, sf):
-    scams = view(spark, sf, "scams")
-    return A.derive_actions(scams, J.money_trails(scams, ring_inflows(spark, sf)), rings_of(spark, sf))
+    scams = view(spark, sf, "scams").withColumns({"phone": F.when(F.col("k") % 2 == 0, F.concat(F.lit("U"), F.col("user_id"))), "reported": F.col("k") % 3 > 0})
+    return A.derive_actions(scams, J.money_trails(scams, ring_inflows(spark, sf)), rings_of(spark, sf), j07_j09_threat(spark, sf))
 
 
-ACTIONS_SQL = f"""{TRAILS_SQL}, rg AS (SELECT district AS ring_id, avg(score) AS risk, list_sort(list_distinct(list(account_id))) AS ids FROM members WHERE account_id LIKE '%3' GROUP BY 1),
-tp AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY risk DESC, ring_id) AS n FROM rg) WHERE n <= 3 AND risk >= 0.7),
-ev AS (SELECT 1 AS rule, 'freeze_account' AS action_type, target AS raw, 'critical' AS priority FROM tr WHERE r = 1
-  UNION ALL SELECT 2, 'freeze_account', unnest(ids[1:3]), 'high' FROM tp
-  UNION ALL SELECT CASE k % 2 WHEN 0 THEN 3 ELSE 4 END, CASE k % 2 WHEN 0 THEN 'block_number' ELSE 'intercept_call' END, 'U' || CAST(user_id AS VARCHAR), CASE k % 2 WHEN 0 THEN 'high' ELSE 'critical' END FROM scams WHERE risk_score >= 0.6 AND verdict <> 'legit'
-  UNION ALL SELECT 5, 'national_alert', district, 'high' FROM scams WHERE verdict = 'scam' GROUP BY district HAVING count(*) >= 5),
+ACTIONS_SQL = f"""{TRAILS_SQL}, rg AS (SELECT ring_id, avg(score) AS risk, list_sort(list(account_id)) AS ids FROM rm JOIN members USING (account_id) GROUP BY 1),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY risk DESC, ring_id) AS n FROM rg) WHERE n <= 3 AND risk >= 0.7), {THREAT_SQL},
+ev AS (SELECT 1 AS rule, 'account_freeze' AS action_type, target AS raw, 'critical' AS priority FROM tr WHERE r = 1
+  UNION ALL SELECT 2, 'account_freeze', unnest(ids[1:3]), 'high' FROM tp
+  UNION ALL SELECT 3, 'telecom_block', 'U' || CAST(user_id AS VARCHAR), 'high' FROM scams WHERE risk_score >= 0.6 AND verdict <> 'legit' AND k % 2 = 0
+  UNION ALL SELECT 4, 'citizen_intercept', CAST(event_id AS VARCHAR), 'critical' FROM scams WHERE risk_score >= 0.6 AND verdict <> 'legit' AND k % 3 = 0
+  UNION ALL SELECT 5, 'mha_alert', 'national', CASE WHEN bool_or(threat = 'critical') THEN 'critical' ELSE 'high' END FROM th WHERE threat IN ('high', 'critical') HAVING count(*) > 0),
 ac AS (SELECT action_type || ':' || target AS action_id, action_type, target, CAST(min(rule) AS INT) AS rule, arg_min(priority, rule) AS priority
-  FROM (SELECT *, lower(regexp_replace(raw, '[^A-Za-z0-9]+', '-', 'g')) AS target FROM ev) GROUP BY action_type, target)"""
+  FROM (SELECT *, regexp_replace(raw, '[^\\p{{L}}\\p{{N}}._+-]', '_', 'g') AS target FROM ev) GROUP BY action_type, target)"""
 
 
 def a01_a02_actions(spark, sf):
@@ -213,6 +215,8 @@ STATUS_SQL = """CASE WHEN NOT regexp_full_match(serial, '[0-9][A-Z]{2}[0-9]{6}')
   WHEN substr(serial, 4, 6) = repeat(substr(serial, 4, 1), 6) OR contains('01234567890', substr(serial, 4, 6)) OR contains('09876543210', substr(serial, 4, 6)) THEN 'suspicious' ELSE 'valid' END"""
 SIDE_SQL = "SELECT *, CASE WHEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 2 = 0 THEN 'adapt' ELSE 'held_out' END AS side FROM labelled"
 ORACLES = {
+    "m03_group_split": oracle("""WITH b AS (SELECT source, CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 100 AS band FROM labelled)
+        SELECT CASE WHEN band < 60 THEN 'train' WHEN band < 80 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT source) AS groups FROM b GROUP BY 1""", "labelled"),
     "m04_precision_floor": oracle(f"""WITH {SCORES_SQL}, o AS (SELECT *, precision >= 0.86 AS ok FROM pr) SELECT score AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, ok FROM o
         ORDER BY ok DESC, CASE WHEN ok THEN recall ELSE precision END DESC, score LIMIT 1""", "labelled"),
     "m05_two_sided": oracle("""WITH l AS (SELECT score, 1 - label AS label FROM labelled), b AS (SELECT score, sum(label) AS pos, count(*) AS n FROM l GROUP BY 1),
@@ -232,11 +236,11 @@ ORACLES = {
     "q01_serials": oracle(f"SELECT event_id, serial, {STATUS_SQL} AS status FROM serials", "serials"),
     "q02_sightings": oracle(f"""WITH w AS (SELECT *, count(*) OVER p AS prior, coalesce(string_agg(CAST(user_id AS VARCHAR), ',') OVER (PARTITION BY serial ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS last_places, {STATUS_SQL} AS own FROM serials
         WINDOW p AS (PARTITION BY serial ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, serial, prior, last_places, CASE WHEN own <> 'nonsense' AND prior > 0 THEN 'duplicate' ELSE own END AS status FROM w""", "serials"),
-    "a01_a02_actions": oracle(f"WITH {ACTIONS_SQL} SELECT * FROM ac", "scams", "p2p", "members"),
-    "a03_merged_actions": oracle(f"""WITH {ACTIONS_SQL}, c AS (SELECT action_id, CASE WHEN rule = 3 THEN 'approved' ELSE 'proposed' END AS held FROM ac WHERE length(target) % 2 = 0), d AS (SELECT action_id, priority AS new FROM ac WHERE rule <> 4)
-        SELECT action_id, CASE WHEN held <> 'proposed' THEN held ELSE 'proposed' END AS status, CASE WHEN held <> 'proposed' THEN 'low' ELSE new END AS priority FROM c FULL JOIN d USING (action_id) WHERE held <> 'proposed' OR new IS NOT NULL""", "scams", "p2p", "members"),
-    "a04_transitions": oracle(f"WITH {ACTIONS_SQL} SELECT action_id, CASE length(action_id) % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'approved' ELSE 'dispatched' END AS status, CASE length(action_id) % 3 WHEN 0 THEN '' WHEN 1 THEN 'approved' ELSE 'approved>dispatched' END AS audit FROM ac", "scams", "p2p", "members"),
-    "a05_queue": oracle(f"WITH {ACTIONS_SQL} SELECT action_type, priority, count(*) AS n FROM ac GROUP BY 1, 2", "scams", "p2p", "members"),
+    "a01_a02_actions": ringed(f"WITH {ACTIONS_SQL} SELECT * FROM ac", "scams", "notes"),
+    "a03_merged_actions": ringed(f"""WITH {ACTIONS_SQL}, c AS (SELECT action_id, CASE WHEN rule = 3 THEN 'approved' ELSE 'proposed' END AS held FROM ac WHERE length(target) % 2 = 0), d AS (SELECT action_id, priority AS new FROM ac WHERE rule <> 4)
+        SELECT action_id, CASE WHEN held <> 'proposed' THEN held ELSE 'proposed' END AS status, CASE WHEN held <> 'proposed' THEN 'low' ELSE new END AS priority FROM c FULL JOIN d USING (action_id) WHERE held <> 'proposed' OR new IS NOT NULL""", "scams", "notes"),
+    "a04_transitions": ringed(f"WITH {ACTIONS_SQL} SELECT action_id, CASE length(action_id) % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'approved' ELSE 'dispatched' END AS status, CASE length(action_id) % 3 WHEN 0 THEN '' WHEN 1 THEN 'approved' ELSE 'approved>dispatched' END AS audit FROM ac", "scams", "notes"),
+    "a05_queue": ringed(f"WITH {ACTIONS_SQL} SELECT action_type, priority, count(*) AS n FROM ac GROUP BY 1, 2", "scams", "notes"),
     "v01_validation": oracle("SELECT event_id, concat_ws(',', CASE WHEN NOT (risk_score BETWEEN 0 AND 0.9) THEN 'risk_range' END, CASE WHEN verdict NOT IN ('scam', 'suspicious') THEN 'verdict_enum' END, CASE WHEN NOT paid > 100 THEN 'paid_positive' END) AS errors FROM scams", "scams"),
     "v02_round_amounts": oracle("SELECT source, count(*) AS n FROM tx WHERE CAST(amount AS DOUBLE) % 1000 < 1 OR CAST(amount AS DOUBLE) % 1000 > 999 GROUP BY 1", "tx"),
     "v03_v06_filters": oracle("SELECT event_id, contains('NATION_3 NORTH', district) AS tolerant, coalesce(lat, 0) <> 0 AS trail_place, lat IS NOT NULL AS hub_place FROM scams WHERE verdict IN ('scam', 'suspicious') AND lower(trim(district)) = 'nation_3'", "scams"),

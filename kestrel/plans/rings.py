@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from kestrel.operators import features as G
 from kestrel.operators import rings as K
 from kestrel.operators.components import components
+from kestrel.plans.features import SIDES_SQL
 from kestrel.sources.bindings import oracle, view
 
 LEAST = 0.9
@@ -137,11 +140,21 @@ QUERIES = {
 DEGREES_SQL = """e AS (SELECT DISTINCT ring_id, source, target FROM intra WHERE source <> target),
 dg AS (SELECT rm.ring_id, rm.account_id, (SELECT count(*) FROM e WHERE e.ring_id = rm.ring_id AND e.target = rm.account_id) AS in_degree,
   (SELECT count(*) FROM e WHERE e.ring_id = rm.ring_id AND e.source = rm.account_id) AS out_degree FROM rm)"""
-CYCLES_SQL = """walk(ring_id, start, last, seen) AS (SELECT ring_id, source, target, [source, target] FROM (SELECT DISTINCT ring_id, source, target FROM intra WHERE source < target)
-  UNION ALL SELECT w.ring_id, w.start, e.target, list_append(w.seen, e.target) FROM walk w JOIN (SELECT DISTINCT ring_id, source, target FROM intra WHERE source <> target) e
-  ON e.ring_id = w.ring_id AND e.source = w.last WHERE e.target > w.start AND NOT list_contains(w.seen, e.target) AND len(w.seen) < 6),
-cy AS (SELECT DISTINCT w.ring_id FROM walk w JOIN intra e ON e.ring_id = w.ring_id AND e.source = w.last AND e.target = w.start WHERE len(w.seen) >= 3)"""
+#: A strongly connected set has a longer cycle unless it is a tree with every edge both ways.
+CYCLES_SQL = """way(ring_id, x, y) AS (SELECT ring_id, source, target FROM intra WHERE source <> target UNION SELECT w.ring_id, w.x, i.target FROM way w JOIN intra i ON i.ring_id = w.ring_id AND i.source = w.y WHERE i.source <> i.target),
+sc AS (SELECT a.ring_id, a.x AS node, min(a.y) AS root FROM way a JOIN way b ON a.ring_id = b.ring_id AND a.x = b.y AND a.y = b.x GROUP BY 1, 2),
+se AS (SELECT DISTINCT i.ring_id, p.root, source, target FROM intra i JOIN sc p ON p.ring_id = i.ring_id AND p.node = source JOIN sc q ON q.ring_id = i.ring_id AND q.node = target AND q.root = p.root WHERE source <> target),
+sn_ AS (SELECT ring_id, root, count(*) AS nodes FROM sc GROUP BY 1, 2), sm AS (SELECT ring_id, root, count(*) AS arcs, count(DISTINCT least(source, target) || '>' || greatest(source, target)) AS pairs FROM se GROUP BY 1, 2),
+cy AS (SELECT DISTINCT ring_id FROM sn_ JOIN sm USING (ring_id, root) WHERE NOT (arcs = 2 * pairs AND pairs = nodes - 1))"""
+EVIDENCE_SQL = SIDES_SQL.replace("FROM tx", "FROM p2p").replace("\ni AS", "fi AS").replace("\no AS", "fo AS").replace("\nf AS", "ff AS").replace("FROM i FULL JOIN o", "FROM fi FULL JOIN fo")
+#: The same parts over the even transfers, each name with a 2.
+EVEN_SQL = re.sub(r"\b(hi|he|sym|reach|comp|rank_|rm|intra|infl)\b", r"\g<1>2", RINGS_SQL).replace("FROM p2p p", "FROM (SELECT * FROM p2p WHERE tx_id % 2 = 0) p")
 ORACLES = {
+    "k11_ringed_accounts": sql(f"""WITH {EVIDENCE_SQL} SELECT ring_id, account_id, score, district, round(ti, 4) AS total_in, round(ot, 4) AS total_out, round(ti - ot, 4) AS net_flow,
+        round(least(ti, ot) / greatest(greatest(ti, ot), 1e-9), 4) AS throughput, round((ti + ot) / greatest(ni + no_, 1), 4) AS avg_amount, round(greatest(mi, mo), 4) AS max_amount, round((ri + ro) / 2, 4) AS round_amount_ratio,
+        round(ui / greatest(ui + uo, 1)::DOUBLE, 4) AS fan_in_ratio, round(uo / greatest(ui + uo, 1)::DOUBLE, 4) AS fan_out_ratio FROM rm JOIN members USING (account_id) LEFT JOIN ff USING (account_id)"""),
+    "k16_new_rings": sql(f"""WITH {EVEN_SQL}, now_ AS (SELECT ring_id, string_agg(DISTINCT account_id, ',' ORDER BY account_id) AS signature FROM rm GROUP BY 1),
+        before_ AS (SELECT string_agg(DISTINCT account_id, ',' ORDER BY account_id) AS signature FROM rm2 GROUP BY ring_id) SELECT ring_id, signature FROM now_ WHERE signature NOT IN (SELECT signature FROM before_)"""),
     "k01_induced_edges": sql("SELECT tx_id, source, target, CAST(amount AS DOUBLE) AS amount FROM he"),
     "k02_components": sql("SELECT account_id, root AS component FROM comp"),
     "k04_ring_members": sql("SELECT ring_id, account_id FROM rm"),
@@ -151,10 +164,10 @@ ORACLES = {
     "k06_ring_degrees": sql(f"WITH {DEGREES_SQL} SELECT * FROM dg"),
     "k07_cyclic_rings": sql(f"WITH {CYCLES_SQL} SELECT ring_id FROM cy"),
     "k08_topology": sql(f"""WITH {DEGREES_SQL}, {CYCLES_SQL}, s AS (SELECT dg.*, count(*) OVER (PARTITION BY ring_id) AS n FROM dg),
-        a AS (SELECT ring_id, n, sum(CASE WHEN in_degree + out_degree >= greatest(3, n // 3) THEN 1 ELSE 0 END) AS hubs, max(greatest(in_degree, out_degree)) AS most,
+        a AS (SELECT ring_id, n, sum(CASE WHEN greatest(in_degree, out_degree) >= greatest(3, n // 3) THEN 1 ELSE 0 END) AS hubs, max(greatest(in_degree, out_degree)) AS most,
               sum(CASE WHEN in_degree <= 1 AND out_degree <= 1 THEN 1 ELSE 0 END) AS links FROM s GROUP BY 1, 2)
-        SELECT ring_id, CASE WHEN ring_id IN (SELECT ring_id FROM cy) THEN 'circular flow' WHEN hubs >= 2 THEN 'multi-hub laundering network'
-          WHEN most >= greatest(3, n - 2) THEN 'collection hub' WHEN links >= n - 1 THEN 'layered chain' ELSE 'mixed' END AS label FROM a"""),
+        SELECT ring_id, CASE WHEN ring_id IN (SELECT ring_id FROM cy) THEN 'round-tripping cycle' WHEN hubs >= 2 THEN 'multi-hub laundering network'
+          WHEN most >= greatest(3, n - 2) THEN 'mule collection hub' WHEN links >= n - 1 THEN 'layering chain' ELSE 'mixed laundering network' END AS label FROM a"""),
     "k09_account_rings": sql("SELECT account_id, score, ring_id FROM members LEFT JOIN rm USING (account_id)"),
     "k10_export_edges": sql("""SELECT * FROM (SELECT source, target, CAST(amount AS DOUBLE) AS amount, 'intra' AS kind FROM intra ORDER BY intra.amount DESC, source, target LIMIT 500)
         UNION ALL SELECT * FROM (SELECT source, target, CAST(amount AS DOUBLE) AS amount, 'inflow' AS kind FROM infl ORDER BY infl.amount DESC, source, target LIMIT 200)"""),
