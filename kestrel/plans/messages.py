@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions import message_values as V
+from kestrel.operators import learn as L
 from kestrel.operators import messages as M
 from kestrel.sources.bindings import oracle, view
 
@@ -18,7 +19,7 @@ def t01_markers(spark, sf):
 
 
 def t02_first_evidence(spark, sf):
-    return M.first_evidence(messages(spark, sf), "doc_id").where("marker <> 'personal_data_request'")
+    return M.first_evidence(messages(spark, sf), "doc_id")
 
 
 def t03_marker_features(spark, sf):
@@ -28,8 +29,9 @@ def t03_marker_features(spark, sf):
 
 
 def t04_scripts(spark, sf):
-    found = M.scripts(M.detect(messages(spark, sf))).where("script IS NOT NULL")
-    return found.select("doc_id", "script.name", "script.type", "script.stages", F.round("script.completeness", 6).alias("completeness"), "script.in_order", "script.chain")
+    # A filter would be pushed below the positions and search every pattern again; a generator is not.
+    found = M.scripts(messages(spark, sf)).select("doc_id", F.inline_outer(F.filter(F.array("script"), lambda s: s.isNotNull()))).where("stages IS NOT NULL")
+    return found.select("doc_id", "name", "type", "stages", F.round("completeness", 6).alias("completeness"), "in_order", "chain")
 
 
 def t06_scam_types(spark, sf):
@@ -37,7 +39,10 @@ def t06_scam_types(spark, sf):
 
 
 def t08_events(spark, sf):
-    scored = messages(spark, sf).withColumn("score", (F.col("doc_id") * 37 % 100) / 100)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    rows = L.with_markers(messages(spark, sf))
+    model = L.message_model(rows.join(labels, "doc_id"))
+    scored = L.probabilities(model, rows).select("doc_id", "text", F.round("score", 6).alias("score"))
     return M.analysed(scored, "score").select("doc_id", "score", "verdict", "type", "explanation")
 
 
@@ -107,15 +112,19 @@ def lit(p: str) -> str:
     return p.replace("'", "''")
 
 
-#: RE2 has no look-behind: what the first pattern must not follow is taken out of the text instead.
+#: RE2 has no look-behind: verbs that the first pattern must not follow are masked by as many other characters instead.
 BEHIND = r"(?<!not\s)(?<!never\s)"
-NEGATED = r"(?i)\b(?:not|never)\s(?:share|send|provide|confirm|verify|update)\b"
+VERBS = ["share", "send", "provide", "confirm", "verify", "update"]
+
+
+def masked(text: str = "text") -> str:
+    for v in VERBS:
+        text = f"regexp_replace({text}, '(?i)(not|never)(\\s){v}\\b', '\\1\\2{'#' * len(v)}', 'g')"
+    return text
 
 
 def hit(p: str, text: str = "text") -> str:
-    if BEHIND in p:
-        return f"regexp_matches(regexp_replace({text}, '{NEGATED}', '', 'g'), '(?i){lit(p.replace(BEHIND, ''))}')"
-    return f"regexp_matches({text}, '(?i){lit(p)}')"
+    return f"regexp_matches({masked(text) if BEHIND in p else text}, '(?i){lit(p.replace(BEHIND, ''))}')"
 
 
 def any_of(ps: list[str], text: str = "text") -> str:
@@ -124,8 +133,14 @@ def any_of(ps: list[str], text: str = "text") -> str:
 
 def at(p: str) -> str:
     """1-based position of the first match, null without one."""
-    plain = lit(p.replace(BEHIND, ""))
-    return f"CASE WHEN {hit(p)} THEN length(regexp_extract(text, '(?i)^([\\s\\S]*?)(?:{plain})', 1)) + 1 END"
+    plain, text = lit(p.replace(BEHIND, "")), masked() if BEHIND in p else "text"
+    return f"CASE WHEN {hit(p)} THEN length(regexp_extract({text}, '(?i)^([\\s\\S]*?)(?:{plain})', 1)) + 1 END"
+
+
+def said(p: str) -> str:
+    """The first match, as it stands in the text."""
+    plain, text = lit(p.replace(BEHIND, "")), masked() if BEHIND in p else "text"
+    return f"trim(substr(text, {at(p)}, length(regexp_extract({text}, '(?i){plain}'))))"
 
 
 def markers_sql(source: str = "messages", key: str = "doc_id") -> str:
@@ -156,12 +171,48 @@ def stages_sql() -> str:
 
 SCRIPT_SQL = f"WITH {stages_sql()} SELECT doc_id, name, type, CAST(len(met) AS INT) AS stages, round(len(met) / total::DOUBLE, 6) AS completeness, list_sort(met) = met AS in_order, chain FROM bs WHERE r = 1"
 EVIDENCE_SQL = "WITH e AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{m}' AS marker, {at(p)} AS place, trim(regexp_extract(text, '(?i){lit(p)}')) AS evidence FROM messages" for m, ps in V.MARKERS.items() if m != "personal_data_request" for p in ps
+    f"SELECT doc_id, '{m}' AS marker, {at(p)} AS place, {said(p)} AS evidence FROM messages" for m, ps in V.MARKERS.items() for p in ps
 ) + ") SELECT doc_id, marker, CAST(min(place) AS INT) AS place, arg_min(evidence, struct_pack(a := place, b := evidence)) AS evidence FROM e WHERE place IS NOT NULL GROUP BY 1, 2"
 BANK_LIST = ", ".join(f"'{b}'" for b in [*V.BANKS, "XXXX"])
 CODE_SQL = f"SELECT event_id, ([{BANK_LIST}])[k % 11 + 1] || CASE WHEN k % 7 = 0 THEN '9' ELSE '0' END || lpad(CAST(k * 77 AS VARCHAR), 6, '0') AS code FROM points"
 ENDS = [*V.PROVIDERS[:6], "okhdfcbnk", "payt", "ybk", "gmail"]
+DOUBLED_PHONE = r"(?:^|[^0-9])((?:(?:\+\+)?91(?:[-\s][-\s])?|0)?[6-9][0-9]{9})(?:$|[^0-9])"
+ENTITIES_SQL = f"""wu AS (SELECT doc_id, 'url' AS kind, list_transform(list_filter(regexp_extract_all(text, '(?i){V.URL}', 1), lambda u: NOT contains(u, '@')), lambda u: CASE WHEN starts_with(lower(u), 'http') THEN u ELSE 'http://' || u END) AS l FROM messages
+  UNION ALL SELECT doc_id, 'upi', list_filter(regexp_extract_all(text, '(?i){V.HANDLE}', 1), lambda h: lower(string_split(h, '@')[-1]) IN ({', '.join(f"'{x}'" for x in V.PROVIDERS)}) OR lower(string_split(h, '@')[-1]) NOT IN ({', '.join(f"'{x}'" for x in V.MAIL_ENDS)})) FROM messages
+  UNION ALL SELECT doc_id, 'ifsc', list_transform(regexp_extract_all(text, '{V.BRANCH}', 1), lambda c: upper(c)) FROM messages
+  UNION ALL SELECT doc_id, 'phone', list_transform(regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '{DOUBLED_PHONE}', 1), lambda x: regexp_replace(x, '([^0-9])[^0-9]', '\\1', 'g')) FROM messages),
+we AS (SELECT doc_id, kind, unnest(l) AS entity, generate_subscripts(l, 1) AS pos FROM wu), en AS (SELECT doc_id, kind, arg_min(entity, pos) AS entity FROM we GROUP BY doc_id, kind, lower(entity))"""
+BRANDS_SQL = "[" + ", ".join(f"'{b}'" for b in V.BRANDS) + "]"
+
+
+def brand_sql(host: str) -> str:
+    steps = f"""list_transform(string_split({host}, '.'), lambda l: list_transform({BRANDS_SQL}, lambda b: CASE WHEN contains(l, b) OR contains(b, l) THEN '' WHEN abs(length(l) - length(b)) <= 1 AND levenshtein(l, b) BETWEEN 1 AND CASE WHEN length(b) <= 4 THEN 1 ELSE 2 END THEN b END))"""
+    return f"CASE WHEN {host} NOT IN ({', '.join(repr(x) for x in V.SHORTENERS)}) THEN nullif(list_filter(flatten({steps}), lambda x: x IS NOT NULL)[1], '') END"
+
+
+def host_sql(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^(?:[A-Za-z]+://)?([^/:?#\\s]+)', 1))"
+
+
+def phone_sql(phone: str) -> str:
+    """(digits d, own number o) of a phone, as a FROM clause's columns, and its flags."""
+    digits = f"regexp_replace({phone}, '[^0-9]', '', 'g')"
+    own = f"right(ltrim(CASE WHEN length({digits}) > 10 AND starts_with({digits}, '91') THEN substr({digits}, 3) ELSE {digits} END, '0'), 10)"
+    return f"""concat_ws(',', CASE WHEN length({digits}) > 12 THEN 'too_long' END, CASE WHEN length({own}) < 10 THEN 'too_short' END, CASE WHEN regexp_matches({own}, '^[1-5]') THEN 'bad_start' END,
+        CASE WHEN length({own}) > 0 AND len(list_distinct(string_split({own}, ''))) <= 2 THEN 'few_digits' END)"""
+
+
+PHONES_SQL = """SELECT event_id, CASE k % 5 WHEN 0 THEN '+91' WHEN 1 THEN '0091 12' ELSE '' END || CAST(9999999999 - (event_id * 7919 * k) % 8999999999 AS VARCHAR) AS phone FROM points"""
+PROVIDER_LIST, BANK_CODES = (", ".join(f"'{x}'" for x in names) for names in (V.PROVIDERS, V.BANKS))
 ORACLES = {
+    "t09_entities": oracle(f"WITH {ENTITIES_SQL} SELECT doc_id, kind, count(*) AS n, string_agg(entity, '|' ORDER BY entity) AS entities FROM en GROUP BY 1, 2", "messages"),
+    "t10_lookalikes": f"""WITH u AS (SELECT page_id, {host_sql('url')} AS own FROM pages), h AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'paytn.' || own WHEN 1 THEN 'amazom.' || own ELSE own END AS host FROM u)
+        SELECT page_id, host, {brand_sql('host')} AS brand FROM h""",
+    "t13_phone_flags": oracle(f"WITH p AS ({PHONES_SQL}) SELECT event_id, phone, {phone_sql('phone')} AS flags FROM p", "points"),
+    "t14_verification": oracle(f"""WITH {ENTITIES_SQL}, eh AS (SELECT *, {host_sql('entity')} AS host, lower(string_split(entity, '@')[-1]) AS provider, {phone_sql('entity')} AS flags FROM en),
+        nt AS (SELECT doc_id, CASE WHEN kind = 'url' AND {brand_sql('host')} IS NOT NULL THEN 'link imitates ' || {brand_sql('host')} WHEN kind = 'upi' AND provider NOT IN ({PROVIDER_LIST}) THEN 'unknown provider ' || provider
+          WHEN kind = 'ifsc' AND NOT (regexp_full_match(entity, '[A-Z]{{4}}0[A-Z0-9]{{6}}') AND substr(entity, 1, 4) IN ({BANK_CODES})) THEN 'unknown bank code' WHEN kind = 'phone' AND flags <> '' THEN flags END AS note FROM eh)
+        SELECT doc_id, count(*) AS entities, count(note) AS suspicious, coalesce(array_to_string(list_sort(list_distinct(list(note) FILTER (WHERE note IS NOT NULL)))[1:3], '; '), '') AS highlights FROM nt GROUP BY 1""", "messages"),
     "t01_markers": oracle(f"WITH {markers_sql()} SELECT doc_id, markers, n_markers FROM mk", "messages"),
     "t02_first_evidence": oracle(EVIDENCE_SQL, "messages"),
     "t03_marker_features": oracle(f"WITH {markers_sql()} SELECT doc_id, {', '.join(f'{m}::INT AS {m}' for m in V.MARKERS)}, round(least(n_markers, 5) / 5.0e0, 6) AS share FROM mk", "messages"),
