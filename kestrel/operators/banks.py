@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,26 +64,24 @@ def pair_scores(boundary: DataFrame, cents: int = 3, seconds: int = 9) -> DataFr
     return met.select(F.col("o.vec_id").alias("out_id"), F.col("i.vec_id").alias("in_id"), score.alias("score"))
 
 
-def one_to_one(pairs: DataFrame, least: float) -> DataFrame:
+def one_to_one(pairs: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Mutually best pairs, again on what is left until no pair is; greedy, equal to the optimum where best matches are
-    unique. The best pair left is always mutual, so every round takes one or more."""
+    unique. The best pair left is always mutual, so every round takes one or more. With ``by`` each of its values is matched by itself."""
     known = pairs.where((F.col("score") >= least) & F.col("out_id").isNotNull() & F.col("in_id").isNotNull())
-    left, taken = materialise(known.groupBy("out_id", "in_id").agg(F.max("score").alias("score"))), None
+    left, taken = materialise(known.groupBy(*by, "out_id", "in_id").agg(F.max("score").alias("score"))), None
     while taken is None or left.limit(1).count():
-        best = lambda k, o: F.row_number().over(W.partitionBy(k).orderBy(F.desc("score"), o))
-        mutual = materialise(left.withColumn("a", best("out_id", "in_id")).withColumn("b", best("in_id", "out_id")).where("a = 1 AND b = 1").select("out_id", "in_id", "score"))
+        best = lambda k, o: F.row_number().over(W.partitionBy(*by, k).orderBy(F.desc("score"), o))
+        mutual = materialise(left.withColumn("a", best("out_id", "in_id")).withColumn("b", best("in_id", "out_id")).where("a = 1 AND b = 1").select(*by, "out_id", "in_id", "score"))
         taken = mutual if taken is None else taken.unionByName(mutual)
-        left = materialise(left.join(mutual.select("out_id"), "out_id", "left_anti").join(mutual.select("in_id"), "in_id", "left_anti"))
+        left = materialise(left.join(mutual.select(*by, "out_id"), [*by, "out_id"], "left_anti").join(mutual.select(*by, "in_id"), [*by, "in_id"], "left_anti"))
     return taken
 
 
-def noisy(boundary: DataFrame, epsilon: float, delta: float = 1e-5, seed: int = 7) -> DataFrame:
-    """Gaussian noise of the (epsilon, delta) mechanism on embeddings clipped to unit length."""
-    import math
-
+def noisy(boundary: DataFrame, key: str, epsilon: float, delta: float = 1e-5, seed: int = 7) -> DataFrame:
+    """Gaussian noise of the (epsilon, delta) mechanism on embeddings clipped to unit length. The noise of a component follows
+    from the row's key, its place and the seed, so a task that runs again adds the same."""
     sigma = 2 * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
-    each = boundary.select(*[c for c in boundary.columns if c != "embedding"], F.posexplode("embedding").alias("d", "e"))
-    keys = [c for c in boundary.columns if c != "embedding"]
-    length = F.sqrt(F.sum(F.col("e").cast("double") * F.col("e")).over(W.partitionBy(*keys)))
-    clipped = each.withColumn("e", F.col("e") / F.greatest(length, F.lit(1.0)) + sigma * F.randn(seed))
-    return clipped.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "e"))), lambda x: x["e"]).alias("embedding"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
+    even = lambda d, k: (F.shiftrightunsigned(F.xxhash64(F.col(key), d, F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53)
+    normal = lambda d: F.sqrt(-2 * F.log(even(d, 0))) * F.cos(2 * math.pi * even(d, 1))
+    return boundary.withColumn("embedding", F.transform("embedding", lambda e, d: e.cast("double") / F.greatest(length, F.lit(1.0)) + sigma * normal(d)))

@@ -8,16 +8,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores between 0 and 1.
+RANGES = 4096
+
+
 def by_score(df: DataFrame) -> DataFrame:
     return df.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
+def cumulated(t: DataFrame, columns: list[str], down: bool) -> DataFrame:
+    """Append the running sum of each column (as name_c) over the scores from the highest down or the lowest up. Scores are cut into
+    ranges; sums run inside a range and are shifted by a prefix sum over the ranges, so no task sees all scores. Scores are taken to
+    lie about 0 to 1, which bounds the ranges."""
+    parted = t.withColumn("_p", F.floor(F.col("score") * RANGES))
+    sums = parted.groupBy("_p").agg(*[F.sum(c).alias(c) for c in columns])
+    order = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
+    before = W.orderBy(order("_p")).rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = sums.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s_{c}") for c in columns])
+    inside = W.partitionBy("_p").orderBy(order("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = parted.join(starts, "_p")
+    return out.select(*t.columns, *[(F.sum(c).over(inside) + F.col(f"_s_{c}")).alias(f"{c}_c") for c in columns])
+
+
 def threshold_table(df: DataFrame) -> DataFrame:
     """Precision and recall of every threshold: rows at or over it are called positive."""
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = by_score(df).withColumn("tp", F.sum("pos").over(down)).withColumn("called", F.sum("n").over(down))
+    t = cumulated(by_score(df), ["pos", "n"], True)
     total = df.agg(F.sum(F.col("label").cast("long")).alias("total"))
-    return t.crossJoin(F.broadcast(total)).select("score", "tp", "called", (F.col("tp") / F.col("called")).alias("precision"), (F.col("tp") / F.greatest("total", F.lit(1))).alias("recall"))
+    recall = lambda c: F.col(c) / F.greatest("total", F.lit(1))
+    return t.crossJoin(F.broadcast(total)).select("score", F.col("pos_c").alias("tp"), F.col("n_c").alias("called"), (F.col("pos_c") / F.col("n_c")).alias("precision"), recall("pos_c").alias("recall"), recall("pos").alias("step"))
 
 
 def precision_floor(df: DataFrame, floor: float) -> DataFrame:
@@ -30,16 +48,14 @@ def precision_floor(df: DataFrame, floor: float) -> DataFrame:
 
 def auc(df: DataFrame) -> DataFrame:
     """M6: ROC-AUC by average ranks: for each positive the share of negatives below, ties half."""
-    below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    t = by_score(df).withColumn("neg", F.col("n") - F.col("pos")).withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    own = by_score(df).withColumn("neg", F.col("n") - F.col("pos"))
+    t = cumulated(own, ["neg"], False).withColumn("lower", F.col("neg_c") - F.col("neg"))
     return t.agg((F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
     """M7: precision summed over the steps of recall."""
-    t = threshold_table(df)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(W.orderBy(F.desc("score"))), F.lit(0.0))
-    return t.withColumn("step", step).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    return threshold_table(df).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
 
 
 def confusion(df: DataFrame, threshold: float) -> DataFrame:
@@ -54,14 +70,13 @@ def two_sided(df: DataFrame, floor: float = 0.97, least: float = 0.5, rows: int
     """M5: (upper, lower): the lowest cut from ``least`` on with the floor's precision above it, and the widest band from
     below with at least ``rows`` rows and at most ``share`` positives that stays ``gap`` under it."""
     upper = threshold_table(df).where((F.col("precision") >= floor) & (F.col("score") >= least)).agg(F.coalesce(F.min("score"), F.lit(1.0)).alias("upper"))
-    up = W.orderBy("score").rowsBetween(W.unboundedPreceding, W.currentRow)
-    low = by_score(df).withColumn("p", F.sum("pos").over(up)).withColumn("m", F.sum("n").over(up)).where((F.col("m") >= rows) & (F.col("p") <= share * F.col("m")))
+    low = cumulated(by_score(df), ["pos", "n"], False).where((F.col("n_c") >= rows) & (F.col("pos_c") <= share * F.col("n_c")))
     return low.crossJoin(F.broadcast(upper)).where(F.col("score") <= F.col("upper") - gap).agg(F.max("score").alias("lower")).crossJoin(upper)
 
 
 def group_split(df: DataFrame, group: str) -> DataFrame:
-    """M3: train, validation or test by the group's CRC, so that no group is on two sides."""
-    band = F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(100))
+    """M3: train, validation or test by a digest of the group, so that no group is on two sides."""
+    band = F.conv(F.substring(F.md5(F.col(group).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(band < 60, "train").when(band < 80, "validation").otherwise("test"))
 
 

@@ -100,3 +100,55 @@ def plausibility(routes: DataFrame) -> DataFrame:
     """Shorter routes on fewer road legs with more reports are likelier; held to 0.9."""
     p = 0.45 / (1 + F.col("km") / 600) + 0.35 * F.col("mode_score") + 0.20 * F.least(F.lit(1.0), F.col("fir") / 4)
     return routes.withColumn("plausibility", F.least(F.lit(0.9), p))
+
+
+def attach(places: DataFrame, nodes: DataFrame, reach: float = 70) -> DataFrame:
+    """Road edges (place, node, km) from places (place, lat, lon) to all nodes (id, lat, lon) within ``reach``; a place without one
+    gets its nearest node, looked for in circles of twice the radius until all places have one."""
+    found = materialise(grid_join(places, nodes, reach).select("l.place", F.col("r.id").alias("node"), "km"))
+    left = materialise(places.where("lat IS NOT NULL AND lon IS NOT NULL").join(found.select("place"), "place", "left_anti"))
+    some = nodes.limit(1).count()
+    while some and reach < 20_100 and left.limit(1).count():
+        reach *= 2
+        near = grid_join(left, nodes, min(reach, 20_100)).select("l.place", F.struct("km", F.col("r.id").alias("node")).alias("at"))
+        one = materialise(near.groupBy("place").agg(F.min("at").alias("at")).select("place", "at.node", "at.km"))
+        found, left = found.unionByName(one), materialise(left.join(one.select("place"), "place", "left_anti"))
+    return found
+
+
+def routes(paths: DataFrame, edges: DataFrame, nodes: DataFrame, reports: DataFrame, km: float = 80) -> DataFrame:
+    """Of every cheapest path (start, node, km, path) the legs, the haul modes in order with repeats collapsed, the share of
+    haul legs' modes and the reports near any of its nodes; road legs between corridors are transfers and no haul."""
+    legs = paths.where(F.size("path") > 1).select("start", "node", "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("pos", "src"))
+    legs = legs.withColumn("dst", F.get("path", F.col("pos") + 1)).join(edges.groupBy("src", "dst").agg(F.min(F.struct("km", "mode")).alias("e")), ["src", "dst"])
+    hauls = F.transform(F.array_sort(F.collect_list(F.struct("pos", "e.mode"))), lambda x: x["mode"])
+    own = legs.groupBy("start", "node").agg(hauls.alias("modes"))
+    haul = F.filter("modes", lambda m: m != "road")
+    kept = F.filter(F.transform(haul, lambda m, i: F.when((i == 0) | (m != F.get(haul, i - 1)), m)), lambda m: m.isNotNull())
+    near = materialise(grid_join(reports, nodes, km).select(F.col("r.id").alias("at"), "l.event_id").distinct())
+    met = paths.where(F.size("path") > 1).select("start", "node", F.explode("path").alias("at")).join(near, "at").groupBy("start", "node").agg(F.countDistinct("event_id").alias("fir"))
+    signature = F.when(F.size(kept) > 0, F.array_join(kept, ">")).otherwise("road")
+    out = paths.where(F.size("path") > 1).select("start", "node", "cost", "km", "path").join(own, ["start", "node"]).join(met, ["start", "node"], "left")
+    return out.select(
+        "start", "node", "cost", "km", F.size("path").alias("stops"), signature.alias("signature"), F.size("modes").alias("legs"), F.coalesce("fir", F.lit(0)).alias("fir"),
+        F.when(F.size(haul) > 0, F.lit(RAIL_SCORE)).otherwise(0.4).alias("mode_score"),
+    )
+
+
+#: Fixed value: the score of rail hauls.
+RAIL_SCORE = 1.0
+
+
+def entries(found: DataFrame, presses: DataFrame, most: int = 3) -> DataFrame:
+    """The ``most`` likeliest routes into every node from the nodes of presses (start), not from itself."""
+    likely = plausibility(found.join(presses, "start").where("start <> node"))
+    ranked = likely.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.desc(F.round("plausibility", 6)), "start")))
+    return ranked.where(F.col("place") <= most)
+
+
+def route_facts(ranked: DataFrame, apart: float = 0.05) -> DataFrame:
+    """For every ranked route how far the next one is behind, whether the two cannot be told apart, and a sentence."""
+    gap = F.round(F.col("plausibility") - F.lead("plausibility").over(W.partitionBy("node").orderBy("place")), 6)
+    out = ranked.withColumn("gap", gap).withColumn("inseparable", F.coalesce(gap < apart, F.lit(False)))
+    said = F.concat(F.col("start"), F.lit(" to "), F.col("node"), F.lit(" by "), F.col("signature"), F.lit(" over "), F.col("stops").cast("string"), F.lit(" stops"), F.when(F.col("inseparable"), ", as likely as the next").otherwise(""))
+    return out.withColumn("text", said)

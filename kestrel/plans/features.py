@@ -66,19 +66,19 @@ FROM (SELECT DISTINCT account_id FROM members) LEFT JOIN d USING (account_id), n
 
 
 def g13_pagerank(spark, sf):
-    ranked = G.pagerank(view(spark, sf, "p2p"), view(spark, sf, "members"), rounds=3)
-    return ranked.select("account_id", F.round("pagerank", 9).alias("pagerank"))
+    ranked = G.pagerank(view(spark, sf, "p2p"), view(spark, sf, "members"))
+    return ranked.select("account_id", F.round("pagerank", 7).alias("pagerank"))
 
 
-_ROUND = """r{1} AS (SELECT account_id, deg, 0.15e0 / n + 0.85e0 * (coalesce(got, 0) + (SELECT coalesce(sum(CASE WHEN deg IS NULL THEN rank END), 0) FROM r{0}) / n) AS rank
+_ROUND = """r{1} AS MATERIALIZED (SELECT account_id, deg, 0.15e0 / n + 0.85e0 * (coalesce(got, 0) + (SELECT coalesce(sum(CASE WHEN deg IS NULL THEN rank END), 0) FROM r{0}) / n) AS rank
   FROM v LEFT JOIN (SELECT target AS account_id, sum(rank / deg) AS got FROM e JOIN r{0} ON account_id = source GROUP BY 1) USING (account_id), n)"""
 PAGERANK_SQL = (
     "WITH e AS (SELECT DISTINCT source, target FROM p2p), n AS (SELECT count(DISTINCT account_id) AS n FROM members), "
     "v AS (SELECT account_id, deg FROM (SELECT DISTINCT account_id FROM members) LEFT JOIN "
     "(SELECT source AS account_id, count(*) AS deg FROM e GROUP BY 1) USING (account_id)), "
     "r0 AS (SELECT account_id, deg, 1.0e0 / n AS rank FROM v, n), "
-    + ", ".join(_ROUND.format(k, k + 1) for k in range(3))
-    + " SELECT account_id, round(rank, 9) AS pagerank FROM r3"
+    + ", ".join(_ROUND.format(k, k + 1) for k in range(40))
+    + " SELECT account_id, round(rank, 7) AS pagerank FROM r40"
 )
 
 

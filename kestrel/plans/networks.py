@@ -24,8 +24,8 @@ def nodes(spark, sf):
 NODES_SQL = """nd AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY lat, name) AS idx FROM (SELECT n_regionkey AS corridor, n_name AS name, CAST(8 AS DOUBLE) + (n_nationkey * 37 % 25) * CAST(1.1 AS DOUBLE) AS lat,
   CAST(70 AS DOUBLE) + (n_nationkey * 17 % 25) * CAST(0.9 AS DOUBLE) AS lon, n_nationkey % 2 = 0 AS hub FROM nation)),
 cm AS (SELECT *, sum(step) OVER (PARTITION BY corridor ORDER BY idx) AS cum FROM (SELECT *, coalesce(%s, 0) AS step FROM (SELECT *, lag(lat) OVER (PARTITION BY corridor ORDER BY idx) AS pl, lag(lon) OVER (PARTITION BY corridor ORDER BY idx) AS pn FROM nd)))""".replace("%s", hav("pl", "pn", "lat", "lon"))
-SNAP_SQL = f"""sz AS (SELECT event_id, lat, lon, t FROM notes WHERE verdict = 'fake' AND k > 90),
-fr AS (SELECT event_id, lat, lon FROM points WHERE event_type = 'click' AND k = 7),
+SNAP_SQL = f"""sz AS (SELECT event_id, lat, lon, t FROM notes WHERE verdict = 'fake'),
+fr AS (SELECT event_id, lat, lon FROM points WHERE event_type = 'click'),
 sd AS (SELECT event_id, corridor, idx, s.lat, s.lon, s.t, {hav('s.lat', 's.lon', 'nd.lat', 'nd.lon')} AS km FROM sz s, nd),
 sn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, corridor ORDER BY km, idx) AS r FROM sd WHERE km <= 60) WHERE r = 1)"""
 
@@ -71,6 +71,46 @@ def w13_cheapest(spark, sf):
     return T.cheapest(T.network(n, 200), start).select("start", "node", F.round("cost", 3).alias("cost"), F.round("km", 3).alias("km"), F.array_join("path", ">").alias("path"))
 
 
+def places(spark, sf):
+    p = view(spark, sf, "points").select("district", "lat", "lon").distinct()
+    return p.groupBy("district").agg(F.min(F.struct("lat", "lon")).alias("p")).select(F.col("district").alias("place"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+
+
+def named(spark, sf):
+    return nodes(spark, sf).select(F.concat_ws(":", "corridor", "idx").alias("id"), "lat", "lon", "name")
+
+
+def w12_access(spark, sf):
+    return T.attach(places(spark, sf), named(spark, sf), 5).select("place", "node", F.round("km", 3).alias("km"))
+
+
+def all_routes(spark, sf):
+    n, net = named(spark, sf), T.network(nodes(spark, sf), 200)
+    return T.routes(T.cheapest(net, n.select("id")), net, n, reports(spark, sf))
+
+
+def w14_routes(spark, sf):
+    return all_routes(spark, sf).select("start", "node", F.round("km", 3).alias("km"), "stops", "signature", "legs", "fir")
+
+
+def w15_plausibility(spark, sf):
+    return T.plausibility(all_routes(spark, sf)).select("start", "node", F.round("plausibility", 6).alias("plausibility"))
+
+
+def presses(spark, sf):
+    """Nodes of districts with a report that is tagged as a press."""
+    tagged = view(spark, sf, "points").where("event_type = 'view' AND k = 13").select(F.col("district").alias("name")).distinct()
+    return named(spark, sf).join(tagged, "name", "left_semi").select(F.col("id").alias("start"))
+
+
+def w16_entries(spark, sf):
+    return T.entries(all_routes(spark, sf), presses(spark, sf)).select("node", "place", "start", F.round("plausibility", 6).alias("plausibility"))
+
+
+def w17_route_facts(spark, sf):
+    return T.route_facts(T.entries(all_routes(spark, sf), presses(spark, sf))).select("node", "place", F.round("gap", 5).alias("gap"), "inseparable", "text")
+
+
 def labels(spark, sf):
     return view(spark, sf, "members").select("account_id", F.col("district").alias("community"))
 
@@ -158,17 +198,20 @@ def b09_match_quality(spark, sf):
 
 
 def b11_b12_privacy(spark, sf):
-    boundary, out = view(spark, sf, "boundary"), None
-    for eps in (0.5, 5.0):
-        m = B.one_to_one(B.pair_scores(B.noisy(boundary, eps)), 0.2).agg(F.lit(eps).alias("epsilon"), F.count("*").alias("matched"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Matches and their loss of quality against those without noise, for each epsilon of the sweep."""
+    boundary = view(spark, sf, "boundary")
+    pairs = B.pair_scores(boundary).withColumn("epsilon", F.lit(0.0))
+    for eps in (0.1, 0.5, 1.0, 2.0, 5.0, 10.0):
+        pairs = pairs.unionByName(B.pair_scores(B.noisy(boundary, "vec_id", eps)).withColumn("epsilon", F.lit(eps)))
+    taken = B.one_to_one(pairs, 0.2, ("epsilon",))
+    plain = taken.where("epsilon = 0").select("out_id", "in_id", F.lit(1).alias("same"))
+    return taken.where("epsilon > 0").join(plain, ["out_id", "in_id"], "left").groupBy("epsilon").agg(F.count("*").alias("matched"), F.round(F.avg(F.coalesce("same", F.lit(0)).cast("double")), 6).alias("kept"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w11_network, w13_cheapest, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets,
+        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w11_network, w12_access, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets,
         b01_banks, b02_b03_cut, b04_local_features, b05_embeddings, b07_pair_scores, b08_matches, b09_match_quality, b11_b12_privacy,
     )
 }
@@ -192,7 +235,38 @@ bk AS (SELECT community, size, CAST(CASE WHEN n // 4 % 2 = 0 THEN n % 4 ELSE 3 -
 cu AS (SELECT p.*, a.bank_id AS bank_s, b.bank_id AS bank_t, a.bank_id <> b.bank_id AS cross_ FROM p2p p JOIN ow a ON source = a.account_id JOIN ow b ON target = b.account_id)"""
 COS = "list_dot_product(o.embedding::DOUBLE[], i.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(o.embedding::DOUBLE[], o.embedding::DOUBLE[]) * list_dot_product(i.embedding::DOUBLE[], i.embedding::DOUBLE[])), 1e-12)"
 _T = "SELECT n.i, {c}coalesce(sum(m * x.t{p}), 0){m} AS t{k} FROM w{p} n LEFT JOIN lb ON lb.i = n.i LEFT JOIN (SELECT i AS j, t{p} FROM w{p}) x ON x.j = lb.j GROUP BY n.i"
+LOCAL_SQL = """lc AS (SELECT * FROM cu WHERE NOT cross_), li AS (SELECT bank_t AS bank_id, target AS account_id, CAST(sum(amount) AS DOUBLE) AS ti, count(*) AS ni, count(DISTINCT source) AS us FROM lc GROUP BY 1, 2),
+lo AS (SELECT bank_s AS bank_id, source AS account_id, CAST(sum(amount) AS DOUBLE) AS ot, count(*) AS no_ FROM lc GROUP BY 1, 2),
+lf AS (SELECT bank_id, account_id, coalesce(ti, 0) AS ti, coalesce(ni, 0) AS ni, coalesce(us, 0) AS us, coalesce(ot, 0) AS ot, coalesce(no_, 0) AS no_ FROM li FULL JOIN lo USING (bank_id, account_id)),
+ln AS (SELECT bank_id, account_id, ti / greatest(max(ti) OVER b, 1e-9) AS total_in, ni / greatest(max(ni) OVER b, 1e-9) AS n_in, us / greatest(max(us) OVER b, 1e-9) AS senders, ot / greatest(max(ot) OVER b, 1e-9) AS total_out, no_ / greatest(max(no_) OVER b, 1e-9) AS n_out FROM lf WINDOW b AS (PARTITION BY bank_id))"""
+MEANS_SQL = """np AS (SELECT source AS a, target AS o FROM lc UNION SELECT target, source FROM lc), m1 AS (SELECT a AS account_id, avg(total_in) AS i1, avg(total_out) AS o1 FROM np JOIN ln ON o = account_id GROUP BY 1),
+g1 AS (SELECT account_id, total_in, total_out, coalesce(i1, 0) AS i1, coalesce(o1, 0) AS o1 FROM ln LEFT JOIN m1 USING (account_id)),
+m2 AS (SELECT a AS account_id, avg(total_in) AS i2, avg(total_out) AS o2, avg(i1) AS i12, avg(o1) AS o12 FROM np JOIN g1 ON o = account_id GROUP BY 1)"""
+WALK_SQL = """wl(start, node, cost, km, path, modes) AS (SELECT id, id, 0.0e0, 0.0e0, [id], []::VARCHAR[] FROM ni
+        UNION ALL SELECT start, dst, cost + e.km * CASE mode WHEN 'road' THEN 1.3e0 ELSE 1 END, wl.km + e.km, list_append(path, dst), list_append(modes, mode) FROM wl JOIN ne e ON src = node WHERE NOT list_contains(path, dst)),
+rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY cost, path) AS r FROM wl) WHERE r = 1 AND start <> node)"""
+ROUTE_SQL = f"""nr AS (SELECT DISTINCT id AS at_, event_id FROM points JOIN ni ON event_type = 'click' AND {hav('points.lat', 'points.lon', 'ni.lat', 'ni.lon')} <= 80),
+rf AS (SELECT start, node, count(DISTINCT event_id) AS fir FROM (SELECT start, node, unnest(path) AS at_ FROM rt) JOIN nr USING (at_) GROUP BY 1, 2),
+ro AS (SELECT start, node, km, len(path) AS stops, CASE WHEN list_contains(modes, 'rail') THEN 'rail' ELSE 'road' END AS signature, len(modes) AS legs, coalesce(fir, 0) AS fir,
+  least(0.9e0, 0.45e0 / (1 + km / 600) + 0.35e0 * CASE WHEN list_contains(modes, 'rail') THEN 1.0e0 ELSE 0.4e0 END + 0.20e0 * least(1.0e0, coalesce(fir, 0) / 4.0e0)) AS plausibility FROM rt LEFT JOIN rf USING (start, node))"""
+ENTRY_SQL = """ps AS (SELECT DISTINCT id FROM ni JOIN points ON district = name WHERE event_type = 'view' AND k = 13),
+en AS (SELECT * FROM (SELECT ro.*, row_number() OVER (PARTITION BY node ORDER BY round(plausibility, 6) DESC, start) AS place FROM ro WHERE start IN (SELECT id FROM ps)) WHERE place <= 3)"""
 ORACLES = {
+    "w12_access": oracle(f"""WITH {NODES_SQL}, ni AS (SELECT *, corridor || ':' || idx AS id FROM nd), pl AS (SELECT district AS place, min(struct_pack(a := lat, b := lon)) AS p FROM points GROUP BY 1),
+        ds AS (SELECT place, id AS node, {hav('p.a', 'p.b', 'lat', 'lon')} AS km FROM pl, ni) SELECT place, node, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, node) AS r, min(km) OVER (PARTITION BY place) AS least_ FROM ds)
+        WHERE km <= 5 OR (least_ > 5 AND r = 1)""", "points"),
+    "w14_routes": oracle(f"WITH {NODES_SQL}, {NET_SQL}, {WALK_SQL}, {ROUTE_SQL} SELECT start, node, round(km, 3) AS km, CAST(stops AS INT) AS stops, signature, CAST(legs AS INT) AS legs, fir FROM ro", "points", recursive=True),
+    "w15_plausibility": oracle(f"WITH {NODES_SQL}, {NET_SQL}, {WALK_SQL}, {ROUTE_SQL} SELECT start, node, round(plausibility, 6) AS plausibility FROM ro", "points", recursive=True),
+    "w16_entries": oracle(f"WITH {NODES_SQL}, {NET_SQL}, {WALK_SQL}, {ROUTE_SQL}, {ENTRY_SQL} SELECT node, CAST(place AS INT) AS place, start, round(plausibility, 6) AS plausibility FROM en", "points", recursive=True),
+    "w17_route_facts": oracle(f"""WITH {NODES_SQL}, {NET_SQL}, {WALK_SQL}, {ROUTE_SQL}, {ENTRY_SQL}, g AS (SELECT *, round(plausibility - lead(plausibility) OVER (PARTITION BY node ORDER BY place), 6) AS gap FROM en)
+        SELECT node, CAST(place AS INT) AS place, round(gap, 5) AS gap, coalesce(gap < 0.05, false) AS inseparable, start || ' to ' || node || ' by ' || signature || ' over ' || stops || ' stops' || CASE WHEN coalesce(gap < 0.05, false) THEN ', as likely as the next' ELSE '' END AS text FROM g""", "points", recursive=True),
+    "b04_local_features": oracle(f"WITH {OWNERS_SQL}, {LOCAL_SQL} SELECT bank_id, account_id, round(total_in, 6) AS total_in, round(n_in, 6) AS n_in, round(senders, 6) AS senders, round(total_out, 6) AS total_out, round(n_out, 6) AS n_out FROM ln", "p2p", "members"),
+    "b05_embeddings": oracle(f"""WITH {OWNERS_SQL}, {LOCAL_SQL}, {MEANS_SQL} SELECT account_id, round(total_in, 6) AS total_in, round(total_out, 6) AS total_out, round(i1, 6) AS total_in_m1, round(o1, 6) AS total_out_m1,
+        round(coalesce(i2, 0), 6) AS total_in_m2, round(coalesce(o2, 0), 6) AS total_out_m2, round(coalesce(i12, 0), 6) AS total_in_m1_m2, round(coalesce(o12, 0), 6) AS total_out_m1_m2 FROM g1 LEFT JOIN m2 USING (account_id)""", "p2p", "members"),
+    "p05_matched_shift": oracle(f"""WITH {EDGES_SQL}, tg AS (SELECT *, community IN (SELECT district FROM members WHERE is_illicit AND score > 0.6) AS f FROM rq),
+        aw AS (SELECT *, (SELECT struct_pack(s := c.size, q := c.rq, m := c.community) FROM tg c WHERE NOT c.f AND (c.size, c.community) < (a.size, a.community) ORDER BY c.size DESC, c.community DESC LIMIT 1) AS lo,
+          (SELECT struct_pack(s := c.size, q := c.rq, m := c.community) FROM tg c WHERE NOT c.f AND (c.size, c.community) > (a.size, a.community) ORDER BY c.size, c.community LIMIT 1) AS hi FROM tg a WHERE f),
+        nx AS (SELECT community, size, rq, CASE WHEN lo IS NULL OR hi.s - size < size - lo.s THEN hi ELSE lo END AS near_ FROM aw) SELECT community, size, near_.m AS clean, round(rq - near_.q, 8) AS shift FROM nx""", "p2p", "members"),
     "w01_snapped": oracle(f"WITH {NODES_SQL}, {SNAP_SQL} SELECT event_id, corridor, idx, round(km, 4) AS km FROM sn", "notes"),
     "w03_cumulative": oracle(f"WITH {NODES_SQL} SELECT corridor, idx, name, round(cum, 3) AS cum FROM cm"),
     "w02_w06_trails": oracle(f"WITH {NODES_SQL}, {SNAP_SQL}, {TRAIL_SQL} SELECT corridor, n, round(radius_km, 3) AS radius_km, origin, round(walked_km, 3) AS walked_km, fir, fir_origin, round(cf, 4) AS confidence, CASE WHEN cf >= 0.6 THEN 'high' WHEN cf >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM tc", "notes"),
@@ -200,8 +274,8 @@ ORACLES = {
         SELECT corridor, n, round(slope, 3) AS slope, round(r2, 5) AS r2, CASE WHEN abs(slope) < 5 THEN 'stationary' WHEN slope > 0 THEN 'forward' ELSE 'backward' END AS direction FROM f""", "notes"),
     "w08_best_trail": oracle(f"WITH {NODES_SQL}, {SNAP_SQL}, {TRAIL_SQL} SELECT corridor, round(cf, 4) AS confidence, CASE WHEN cf >= 0.6 THEN 'high' WHEN cf >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM tc ORDER BY cf DESC, corridor LIMIT 1", "notes"),
     "w11_network": oracle(f"WITH {NODES_SQL}, {NET_SQL} SELECT src, dst, round(km, 3) AS km, mode FROM ne"),
-    "w13_cheapest": f"""WITH RECURSIVE {NODES_SQL}, {NET_SQL}, wl(start, node, cost, km, path, h) AS (SELECT id, id, 0.0e0, 0.0e0, [id], 0 FROM ni WHERE idx = 1
-        UNION ALL SELECT start, dst, cost + e.km * CASE mode WHEN 'road' THEN 1.3e0 ELSE 1 END, wl.km + e.km, list_append(path, dst), h + 1 FROM wl JOIN ne e ON src = node WHERE h < 4 AND NOT list_contains(path, dst))
+    "w13_cheapest": f"""WITH RECURSIVE {NODES_SQL}, {NET_SQL}, wl(start, node, cost, km, path, h) AS (SELECT id, id, 0.0e0, 0.0e0, [id], 0 FROM ni
+        UNION ALL SELECT start, dst, cost + e.km * CASE mode WHEN 'road' THEN 1.3e0 ELSE 1 END, wl.km + e.km, list_append(path, dst), h + 1 FROM wl JOIN ne e ON src = node WHERE NOT list_contains(path, dst))
         SELECT start, node, round(cost, 3) AS cost, round(km, 3) AS km, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY cost, path) AS r FROM wl) WHERE r = 1""",
     "p01_laplacian": oracle(f"""WITH {EDGES_SQL}, of AS (SELECT community, a, b, -w / sqrt(e.d * f.d) AS value FROM ce JOIN dg e ON a = e.x JOIN dg f ON b = f.x)
         SELECT community, a AS i, b AS j, round(value, 8) AS value FROM of UNION ALL SELECT community, b, a, round(value, 8) FROM of UNION ALL SELECT district, account_id, account_id, 1.0 FROM members""", "p2p", "members"),

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,17 +44,27 @@ def ingest(events: DataFrame) -> DataFrame:
     return events.select("event_id", "event_type", F.array_join(F.filter(failed, lambda e: e.isNotNull()), ",").alias("errors"))
 
 
+def version(spark: SparkSession, path: str, epoch: int, schema) -> DataFrame:
+    """The table as the batch ``epoch`` left it; empty before the first one. A failed read is an error and never an empty table."""
+    return spark.read.schema(schema).parquet(f"{path}/v{epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
+
+
+def newest_version(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table as the last batch left it."""
+    at = F.regexp_extract("path", "/v([0-9]+)/[^/]*$", 1).cast("int")
+    last = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.max(at)).first()[0]
+    return version(spark, path, -1 if last is None else last, schema)
+
+
 def upsert(events: DataFrame, path: str, key: str, order: str, keep: int = 500) -> Callable[[], None]:
     """A start function of a stream that holds the latest version of the ``keep`` newest keys in a table."""
     spark = events.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        try:
-            held = spark.read.parquet(f"{path}/v{epoch - 1}")
-        except Exception:
-            held = batch.limit(0)
+        held = version(spark, path, epoch - 1, batch.schema)
         both = held.unionByName(batch)
-        newest = both.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+        late = F.struct(order, *[c for c in both.columns if c != order])  # ties by the whole row
+        newest = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), late).alias("r")).select(key, "r.*").select(*both.columns)
         newest.orderBy(F.desc(order), key).limit(keep).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return lambda: events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
@@ -113,12 +122,12 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def trails(scams: DataFrame, edges: DataFrame, share: float = 0.01) -> DataFrame:
+def trails(scams: DataFrame, edges: DataFrame, share: float = 0.01, late: str = "1 hour") -> DataFrame:
     """Stream-stream interval join of payments (event_id, paid, scam_at) and transfers (tx_id, amount, edge_at): amounts within
-    ``share`` by cells of a logarithmic scale, times within -2..96 hours, both sides with a watermark."""
+    ``share`` by cells of a logarithmic scale, times within -2..96 hours, both sides with a watermark of ``late``."""
     cell = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(1 + 1.05 * share)))
-    left = scams.withWatermark("scam_at", "1 hour").withColumn("_a", F.explode(F.sequence(cell("paid") - 1, cell("paid") + 1)))
-    right = edges.withWatermark("edge_at", "1 hour").withColumn("_b", cell("amount"))
+    left = scams.where("paid > 0").withWatermark("scam_at", late).withColumn("_a", F.explode(F.sequence(cell("paid") - 1, cell("paid") + 1)))
+    right = edges.where("amount > 0").withWatermark("edge_at", late).withColumn("_b", cell("amount"))
     near = F.expr("_a = _b AND edge_at >= scam_at - INTERVAL 2 HOURS AND edge_at <= scam_at + INTERVAL 96 HOURS")
     return left.join(right, near).where(F.abs(F.col("amount") - F.col("paid")) <= share * F.col("paid")).drop("_a", "_b")
 
@@ -128,8 +137,5 @@ def action_queue(batch: DataFrame, epoch: int, path: str, derive: Callable[[Data
     batch that is run again reads the same version and writes the same one."""
     spark = batch.sparkSession
     derived = derive(batch)
-    try:
-        held = spark.read.parquet(f"{path}/v{epoch - 1}")
-    except Exception:
-        held = derived.select("action_id", F.lit("proposed").alias("status"), "priority").limit(0)
+    held = version(spark, path, epoch - 1, "action_id string, status string, priority string")
     merge(held, derived).write.mode("overwrite").parquet(f"{path}/v{epoch}")
