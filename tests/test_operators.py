@@ -65,7 +65,7 @@ def test_ring_shapes(spark):
     members = K.ring_members(rows, scores)
     label = {r.ring_id: r.label for r in K.topology(rows, members).collect()}
     of = {r.account_id: label[r.ring_id] for r in members.collect()}
-    assert (of["a"], of["H1"], of["k1"]) == ("circular flow", "multi-hub laundering network", "layered chain")
+    assert (of["a"], of["H1"], of["k1"]) == ("round-tripping cycle", "multi-hub laundering network", "layering chain")
     assert K.summarise(rows, scores, members).where("size = 8").first().account_ids == "H1,H2,p,q,r,s,t,u"
     whole = components(rows, "source", "target").select(F.col("node").alias("account_id"), F.col("component").alias("label"))
     assert K.modularity(rows, K.communities(rows)) >= K.modularity(rows, whole) - 0.05
