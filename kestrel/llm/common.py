@@ -44,7 +44,7 @@ def with_columns_in_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
+        for batch in in_slices(batches):
             made = step(*[batch.column(i).to_pylist() for i in places])
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
             columns += [pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
@@ -53,6 +53,15 @@ def with_columns_in_arrow(
     return wide.mapInArrow(run, schema)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``nbytes``, a row at least, since Python's forms of rows take several times their Arrow bytes."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * nbytes / max(nbytes, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def members_of(cells: pa.ListArray) -> Iterator[list]:
     """The fields of each list of structs: booleans and numbers as arrays, binaries as lists of byte views of the batch."""
     flat, ends = cells.flatten(), np.concatenate([[0], np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)

@@ -20,7 +20,7 @@ from kestrel.llm.common import members_of, with_columns_in_arrow
 from kestrel.operators.components import components
 from kestrel.session import materialise
 
-#: Least number of groups; a set of n has the power of two from n / 8 on, which is what keeps sets without a common text apart.
+#: Least number of groups; a set of n has the power of two from n / 4 on, which is what keeps sets without a common text apart.
 #: Vectors of two sizes meet at the smaller one.
 GROUPS = 64
 #: Bits a value of the maps that keep single listings and unconcerned texts from being moved, and the most bits of a map. A
@@ -77,7 +77,7 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def count_vector(s: np.ndarray, per_group: int = 8) -> np.ndarray:
+def count_vector(s: np.ndarray, per_group: int = 4) -> np.ndarray:
     """One byte a group; there are more groups where a count would not fit one."""
     groups = GROUPS
     while groups * per_group < len(s):
@@ -87,6 +87,21 @@ def count_vector(s: np.ndarray, per_group: int = 8) -> np.ndarray:
     return counts.astype(np.uint8)
 
 
+def to_bytes(counts: np.ndarray) -> bytes:
+    """Two counts a byte after a 1 where none is over 15, which is the rule; one a byte after a 0 otherwise."""
+    if counts.max(initial=0) > 15:
+        return b"\0" + counts.tobytes()
+    return b"\1" + (counts[0::2] << 4 | counts[1::2]).tobytes()
+
+
+def from_bytes(x: np.ndarray) -> np.ndarray:
+    if not x[0]:
+        return x[1:]
+    out = np.empty(2 * (len(x) - 1), np.uint8)
+    out[0::2], out[1::2] = x[1:] >> 4, x[1:] & 15
+    return out
+
+
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """The same counts over fewer groups: a group keeps the low bits of its number."""
     return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0, dtype=np.int64)
@@ -166,7 +181,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
                     s_ordered = np.concatenate([s[~late], s[late]])
                 else:
                     s_ordered = s
-                row = n, xxhash.xxh3_128_digest(s.tobytes()), count_vector(s).tobytes(), s_ordered[:take].view(np.int64)
+                row = n, xxhash.xxh3_128_digest(s.tobytes()), to_bytes(count_vector(s)), s_ordered[:take].view(np.int64)
                 for column, value in zip(made, row):
                     column.append(value)
             return made
@@ -278,7 +293,7 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
                     continue
                 # Edges join labels where they are links, and single members where they only may be.
                 tag = (labels if verify else ids).copy()
-                counts = [count_vector(v.view(np.uint64), 1) for v in x] if verify else x
+                counts = [count_vector(v.view(np.uint64), 1) if verify else from_bytes(v) for v in x]
                 lengths = np.array([len(c) for c in counts])
                 around = np.flatnonzero(~asks) if not asks.all() else np.arange(len(n))
                 held = {g: around[lengths[around] == g] for g in set(lengths[around].tolist())}
@@ -327,7 +342,7 @@ def verified(near: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, wid
     """Links (a, b) among the documents that ``near`` joins into candidate groups, from their whole sets: each set goes to its
     group once, and all pairs of a group are searched, whichever of them ``near`` names."""
     near = components(near, "a", "b").select(F.col("component").alias("g"), F.col("node").alias("id"))
-    held = materialise(near.join(firsts.select(F.col("r").alias("id"), "fp", "n", "h"), "id"))
+    held = materialise(near.join(firsts.select(F.col("r").alias("id"), "fp", "n", "h", "copies"), "id"))
     # Texts are filtered where they are read, by a bitmap sized to their number; only the sets of documents concerned are moved.
     size = bits_for(held.count())
     place = F.col("h").bitwiseAND(size - 1)
@@ -349,8 +364,10 @@ def verified(near: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, wid
                     made[1].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.binary()) for m in made], names=["id", "x"])
 
-    sets = body.mapInArrow(shingled, "fp binary, x binary").join(held.select("fp", "id", "n"), "fp")
-    sets = materialise(sets.groupBy("id", "n").agg(F.first("x").alias("x")))
+    sets = body.mapInArrow(shingled, "fp binary, x binary").join(held.select("fp", "id", "n", "copies"), "fp")
+    # Only texts of several rows can have been read more than once.
+    once = sets.where("copies IS NULL").select("id", "n", "x")
+    sets = materialise(once.unionByName(sets.where("copies > 1").groupBy("id", "n").agg(F.first("x").alias("x"))))
     sent.destroy()  # what is written is not computed again
     return searched(sized(held, F.col("n") * 8), sets, percent, True)
 
@@ -392,8 +409,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     copied = materialise(copied)
     # Written, so that its size is known: a small one is broadcast and the signatures are not moved.
     later = materialise(sig.select("fp", "r").join(copied, "fp").where("r > first").select("r"))
-    firsts = sig.where("n > 0").join(later, "r", "left_anti")
-    listed = repeated_listings(firsts)
+    firsts = sig.where("n > 0").join(later, "r", "left_anti").join(copied.select(F.col("first").alias("r"), "copies"), "r", "left")
+    listed = repeated_listings(sig.where("n > 0").join(later, "r", "left_anti"))
     same = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
     repeated = listed.join(listed.groupBy("s").count().where("count > 1").select("s"), "s")
     # Shingles of one passage have the same members; one of them stands for all.
