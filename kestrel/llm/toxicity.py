@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.llm.common import with_columns_in_arrow
+from kestrel.llm.ngram_join import Shingler
 from kestrel.session import materialise
 
 WORD = re.compile(r"[^\W_]+")
@@ -29,8 +30,9 @@ ADDRESS = frozenset("you your youre du dich dein sie ihr tu toi te vous votre t
 STEMS = (4, 5, 6, 7)
 #: Labelled rows of each class that are learned from; what a lexicon holds is bounded by their words.
 POSITIVES, NEGATIVES = 4000, 8000
-#: Least lower bound of the log odds of an entry.
-LEAST_ODDS = 1.3
+#: What an entry must have: a lower bound of its log odds, and evidence (twice the log likelihood ratio against independence) that
+#: chance gives about one term in ten thousand.
+LEAST_ODDS, EVIDENCE = 1.3, 15.0
 FEATURES = 7
 
 
@@ -55,6 +57,17 @@ def terms_of(words: Iterable[str]) -> set[str]:
     return out
 
 
+NOTHING = (0.0, 0)
+
+
+def letters(word: str) -> int:
+    """The set of a word's letters as bits, some letters sharing one."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 61
+    return out
+
+
 class Lexicon:
     """A trie of words and stems. A Levenshtein automaton of a text's word runs down the trie with it: both advance on
     a letter, and a branch ends as soon as the automaton has no state left."""
@@ -64,8 +77,8 @@ class Lexicon:
         self.next: list[dict[str, int]] = [{}]
         self.word: list[float] = [0.0]
         self.stem: list[float] = [0.0]
-        self.starts: dict[str, set[int]] = {}
-        self.ends: dict[str, set[int]] = {}
+        self.starts: dict[str, list[tuple[int, int]]] = {}  # half a word -> (length, letters) of each word
+        self.ends: dict[str, list[tuple[int, int]]] = {}
         self.stems: set[str] = set()
         for term, weight in weights.items():
             body = term.rstrip("*")
@@ -84,13 +97,13 @@ class Lexicon:
                 self.word[at] = max(self.word[at], weight)
                 if len(body) >= least:
                     half = len(body) // 2
-                    lengths = range(len(body) - 1, len(body) + 2)
-                    self.starts.setdefault(body[:half], set()).update(lengths)
-                    self.ends.setdefault(body[half:], set()).update(lengths)
+                    self.starts.setdefault(body[:half], []).append((len(body), letters(body)))
+                    self.ends.setdefault(body[half:], []).append((len(body), letters(body)))
         self.start_sizes = sorted({len(a) for a in self.starts})
         self.end_sizes = sorted({len(b) for b in self.ends})
         self.stem_sizes = sorted({len(s) for s in self.stems})
         self.known: dict[str, tuple[float, int]] = {}
+        self.others: set[str] = set()  # words that match nothing
 
     def exact(self, word: str) -> float:
         at, best = 0, 0.0
@@ -132,22 +145,32 @@ class Lexicon:
         return best
 
     def may_be_near(self, word: str) -> bool:
-        """One edit leaves the first or the second half of a term as it is, so nothing is missed here."""
-        n = len(word)
-        return any(n in self.starts.get(word[:s], ()) for s in self.start_sizes) or any(
-            n in self.ends.get(word[-s:], ()) for s in self.end_sizes
-        )
+        """One edit leaves the first or the second half of a term as it is and changes at most two letters of its set of letters, so
+        nothing is missed here."""
+        halves = [h for s in self.start_sizes if (h := self.starts.get(word[:s]))] + [h for s in self.end_sizes if (h := self.ends.get(word[-s:]))]
+        if not halves:
+            return False
+        n, own = len(word), letters(word)
+        return any(-1 <= n - m <= 1 and (own ^ x).bit_count() <= 2 for h in halves for m, x in h)
 
     def look(self, word: str) -> tuple[float, int]:
         """(weight, edits); weight 0 where nothing matches."""
-        if word not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
+        if word in self.others:
+            return NOTHING
+        found = self.known.get(word)
+        if found is None:
             found = self.exact(word), 0
             if not found[0] and len(word) + 1 >= self.least and self.may_be_near(word):
                 found = self.near(word), 1
-            self.known[word] = found
-        return self.known[word]
+            if len(self.known) + len(self.others) > 300_000:
+                self.known.clear()
+                self.others.clear()
+            if found[0]:
+                self.known[word] = found
+            else:
+                self.others.add(word)
+                return NOTHING
+        return found
 
 
 def hits(lexicon: Lexicon, text: str | None, window: int = 8) -> tuple[list[tuple], int]:
@@ -213,6 +236,12 @@ def lower_odds(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
     return ratio - 1.28 * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
+def evidence(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
+    whole, seen = n_pos + n_neg, pos + neg
+    cells = ((pos, seen * n_pos), (neg, seen * n_neg), (n_pos - pos, (whole - seen) * n_pos), (n_neg - neg, (whole - seen) * n_neg))
+    return 2 * sum(o * math.log(o * whole / e) for o, e in cells if o > 0)
+
+
 def lower_odds_of(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     ratio = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
     return ratio - 1.28 * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
@@ -220,7 +249,8 @@ def lower_odds_of(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
 
 def lexicon_from(counts: dict[str, tuple[float, float]], n_pos: int, n_neg: int, least_odds: float = LEAST_ODDS) -> dict[str, float]:
     """term -> weight. Whole words stay beside a stem, as a misspelling is searched among whole words alone."""
-    scored = {t: s for t, (p, n) in counts.items() if (s := lower_odds(p, n, n_pos, n_neg)) >= least_odds}
+    known = {t: x for t, x in counts.items() if evidence(*x, n_pos, n_neg) >= EVIDENCE}
+    scored = {t: s for t, (p, n) in known.items() if (s := lower_odds(p, n, n_pos, n_neg)) >= least_odds}
     best: dict[str, float] = {}
     inside: dict[str, float] = {}  # beginnings of entries -> the highest weight of these
     for term in sorted(scored, key=lambda t: (-scored[t], -len(t.rstrip("*")), t)):
@@ -251,11 +281,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return b
 
 
+def sketched(df: DataFrame) -> DataFrame:
+    """Append ``sketch``, the least hash of the text's five-word shingles: equal for most near copies."""
+
+    def start():
+        shingle = Shingler(5)
+
+        def step(texts):
+            made = [shingle(t) for t in texts]
+            return [[int(s[0].view(np.int64)) if len(s) else 0 for s in made]]
+
+        return step
+
+    return with_columns_in_arrow(df, ["text"], [T.StructField("sketch", T.LongType())], start)
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from labelled rows that are not held out.
 
     At most POSITIVES and NEGATIVES rows, the first by hash of the key, are used; their texts stay on the executors.
-    Terms are counted and their odds compared there; the terms that tell are brought to the driver, all of them. The scorer
+    Terms are counted and their odds compared there, near copies once; the terms that tell are brought to the driver, all of them. The scorer
     is fitted by cross-fitting: each half's features come from the lexicon of the other half, so a chance term isn't
     taken at its word; the final lexicon uses both halves, and the intercept is set back to the labels' true ratio.
     Without rows of both classes the model scores a constant.
@@ -272,9 +317,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(sample), "k")  # at most POSITIVES + NEGATIVES keys
-    joined = joined.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    rows = materialise(joined.repartition(F.xxhash64("k")))
-    sizes = {(r.half, r.y): r["count"] for r in rows.groupBy("half", "y").count().collect()}
+    rows = materialise(sketched(joined.repartition(F.xxhash64("k"))).withColumn("half", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int")))
+    # Near copies count once, and are in one half.
+    single = materialise(rows.groupBy("sketch", "y", "half").agg(F.min("text").alias("text")))
+    sizes = {(r.half, r.y): r["count"] for r in single.groupBy("half", "y").count().collect()}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +333,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             )
 
     # Column k of four: clean and toxic documents of the first half, and of the second.
-    terms = rows.dropDuplicates(["text", "y"]).select("text", "half", "y").mapInArrow(counted, "k int, term string, n long")
+    terms = single.select("text", "half", "y").mapInArrow(counted, "k int, term string, n long")
     sums = terms.groupBy("term").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
     choices = [(0,), (1,), (0, 1)]
     odds = [

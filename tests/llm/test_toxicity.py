@@ -134,8 +134,9 @@ def test_a_whole_word_stays_beside_its_stem():
 
 def test_a_lexicon_has_every_telling_term(spark):
     """More terms than any fixed number of entries held before."""
+    rng = random.Random(4)
     names = ["".join(p) for p in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rst")]
-    rows = [(i, " ".join(names[(7 * i + k) % 900] if i % 2 else f"plain{(3 * i + k) % 50}" for k in range(30))) for i in range(1, 1200)]
+    rows = [(i, " ".join(rng.choice(names[:600]) if i % 2 else f"plain{rng.randrange(300)}" for k in range(30))) for i in range(1, 2800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = X.learn(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
-    assert sum(n in model.weights for n in names[:900]) > 800
+    assert sum(n in model.weights for n in names[:600]) > 550
