@@ -95,10 +95,16 @@ def test_ngram_join_block_by_block(spark, monkeypatch):
             texts.append(" ".join(copy))
         texts += [" ".join(base[k:] + [word() for _ in range(k)]) for k in range(0, 40, 4)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block, nbytes in ((4, 8 << 20), (400, 2000)):
-        monkeypatch.setattr(N, "BLOCK", block)
-        monkeypatch.setattr(N, "BLOCK_BYTES", nbytes)
-        assert_join(N.join(df), texts)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 3000)
+    assert_join(N.join(df), texts)
+
+
+def test_counts_as_bytes():
+    rng = np.random.default_rng(1)
+    for top in (3, 16, 200):
+        counts = rng.integers(0, top, 128).astype(np.uint8)
+        assert (N.from_bytes(np.frombuffer(N.to_bytes(counts), np.uint8)) == counts).all()
 
 
 def test_null_and_reused_ids_with_different_texts(spark):
