@@ -26,12 +26,12 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def with_columns_in_arrow(
-    df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Callable]
+    df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Callable], listed: bool = True
 ) -> DataFrame:
     """Append ``fields`` computed batch by batch on the executors; every other column passes through as Arrow.
 
     ``start()`` runs once a task and returns a function from the lists of the needed columns to the lists of the new
-    ones. No shuffle, and one batch in memory at a time; Spark cuts batches at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), so
+    ones (from their Arrow arrays where not ``listed``). No shuffle, and one batch in memory at a time; Spark cuts batches at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), so
     long texts make batches of few rows.
     """
     kept = without(df, [f.name for f in fields])
@@ -45,7 +45,7 @@ def with_columns_in_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in in_slices(batches):
-            made = step(*[batch.column(i).to_pylist() for i in places])
+            made = step(*[batch.column(i).to_pylist() if listed else batch.column(i) for i in places])
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
             columns += [pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)

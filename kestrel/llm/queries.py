@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, ngram_join, packing, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, ngram_join, packing, sentence_pieces, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -112,6 +112,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    both = sentence_pieces.decode(coded.select("doc_id", "ids"), model)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -195,5 +209,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_licence_scan": op9_licence_scan,
     "op10_sharding": op10_sharding,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL}
