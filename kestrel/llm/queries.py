@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, ngram_join, packing, sentence_pieces, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, manifest, ngram_join, packing, sentence_pieces, sharding, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -126,6 +126,15 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    more = [F.col("n_chars") + 1 if i == 3 else f for i, f in enumerate(fields)]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", manifest.digest(fields).alias("leaf"), F.when(tampered, manifest.digest(more)).alias("changed"))
+    return manifest.manifest(leaves).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -210,5 +219,6 @@ QUERIES = {
     "op9_licence_scan": op9_licence_scan,
     "op10_sharding": op10_sharding,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL}
