@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, manifest, ngram_join, packing, sentence_pieces, sharding, toxicity, url_filter
+from kestrel.llm import chat, decontaminate, embedding_dedup, html_extract, licences, manifest, ngram_join, packing, sentence_pieces, sharding, spelling, toxicity, url_filter
 from kestrel.llm.common import table
 
 URL_RULES = [
@@ -135,6 +135,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(leaves).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Runs of under seven letters give no word of seven, so they are not even cut out.
+    runs = table(spark, sf_dir, "documents").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), 0)).alias("run")
+    )
+    lower = runs.select("id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
+    hashed = lower.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    return spelling.variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2"))
+
+
 WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -220,5 +233,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL}
