@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,16 +20,22 @@ def induced(tx: DataFrame, scores: DataFrame, least: float = 0.5) -> DataFrame:
     )
 
 
-def ring_members(tx: DataFrame, scores: DataFrame, least: float = 0.5, smallest: int = 3) -> DataFrame:
-    """K2 and K4: (ring_id, account_id). Components of the risky graph with at least ``smallest`` accounts, numbered by
-    size and then by their least member."""
-    found = materialise(components(induced(tx, scores, least), "source", "target"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= smallest)
-    order = F.row_number().over(W.orderBy(F.desc("size"), "component"))  # one row a ring
+def ring_members(tx: DataFrame, scores: DataFrame, least: float = 0.5, smallest: int = 3, found: DataFrame | None = None) -> DataFrame:
+    """K2 and K4: (ring_id, account_id). Components of the risky graph, or the groups ``found`` (node, component), with at least ``smallest``
+    accounts, numbered by size and then by their least member."""
+    found = materialise(components(induced(tx, scores, least), "source", "target") if found is None else found)
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("first")).where(F.col("size") >= smallest)
+    order = F.row_number().over(W.orderBy(F.desc("size"), "first"))  # one row a ring
     numbered = sizes.select("component", F.format_string("ring_%02d", order).alias("ring_id"))
     return found.join(numbered, "component").select("ring_id", F.col("node").alias("account_id"))
 
 
+def community_rings(tx: DataFrame, scores: DataFrame, least: float = 0.5, smallest: int = 3) -> DataFrame:
+    """K4 on K3: rings are the modularity communities of the risky graph."""
+    found = communities(induced(tx, scores, least))
+    return ring_members(tx, scores, least, smallest, found.select(F.col("account_id").alias("node"), F.col("label").alias("component")))
+
+
 def intra_edges(tx: DataFrame, members: DataFrame) -> DataFrame:
     """Transfers inside one ring."""
     a = members.select(F.col("account_id").alias("source"), "ring_id")
@@ -55,25 +63,79 @@ def ring_degrees(tx: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(ins, ["ring_id", "account_id"], "left").join(outs, ["ring_id", "account_id"], "left").na.fill(0)
 
 
+def doubled(pointers: DataFrame, keys: list[str]) -> DataFrame:
+    """pointers(*keys, at, next) followed to their last: where ``next`` has a pointer itself, take that one's, and so on, each round twice
+    as far. Pointers that run in circles never end; once every other one has (the logarithm of their number), those still
+    moving have a null ``next``."""
+    now = materialise(pointers)
+    most = max(1, now.count()).bit_length() + 1
+    for k in range(most):
+        further = now.select(*keys, F.col("at").alias("next"), F.col("next").alias("_further"))
+        moved = materialise(
+            now.join(further, [*keys, "next"], "left").select(*keys, "at", F.coalesce("_further", "next").alias("next"), F.col("_further").isNotNull().alias("_moved"))
+        )
+        now = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
+            return now
+    return moved.select(*keys, "at", F.when(~F.col("_moved"), F.col("next")).alias("next"))
+
+
 def cyclic_rings(tx: DataFrame, members: DataFrame) -> DataFrame:
     """K7: rings with a directed cycle of three accounts or more, of any length.
 
     An edge stays while its end goes on to an account other than its start and its start is reached from one other than its
-    end; what is left when no edge goes any more is walks that never turn back, and they close only over such cycles. Each
-    round is two aggregates and a join, whatever the number of paths.
+    end; what is left when no edge goes any more is walks that never turn back, and they close only over such cycles. An edge
+    with one way on shares the fate of the next, so chains of such edges are followed to their ends by doubling and go at
+    once, both ways: a chain costs the logarithm of its length, and a tree that of its size. Chains that run in circles are a
+    cycle at sight. No round forms pairs of a hub's edges.
     """
     e = materialise(intra_edges(tx, members).where("source <> target").select("ring_id", "source", "target").distinct())
-    left = e.count()
+    left, found = e.count(), []
     while left:
         back = e.select("ring_id", F.col("source").alias("target"), F.col("target").alias("source"), F.lit(1).alias("back"))
         outs = e.groupBy("ring_id", F.col("source").alias("target")).agg(F.count("*").alias("outs"))
         ins = e.groupBy("ring_id", F.col("target").alias("source")).agg(F.count("*").alias("ins"))
-        known = e.join(back, ["ring_id", "source", "target"], "left").join(outs, ["ring_id", "target"], "left").join(ins, ["ring_id", "source"], "left").na.fill(0)
-        e = materialise(known.where("outs > back AND ins > back").select("ring_id", "source", "target"))
+        counted = e.join(back, ["ring_id", "source", "target"], "left").join(outs, ["ring_id", "target"], "left").join(ins, ["ring_id", "source"], "left").na.fill(0)
+        known = materialise(
+            counted.select(
+                "ring_id", "source", "target", F.struct("source", "target").alias("at"), (F.col("outs") - F.col("back")).alias("on"), (F.col("ins") - F.col("back")).alias("from")
+            )
+        )
+        # Where one way is left there are two edges at most at that end, the other being the way back.
+        a, b = known.alias("a"), known.alias("b")
+        forth = a.where("a.on = 1").join(b, F.expr("a.ring_id = b.ring_id AND a.target = b.source AND a.source <> b.target"))
+        back_ = a.where("a.from = 1").join(b, F.expr("a.ring_id = b.ring_id AND a.source = b.target AND a.target <> b.source"))
+        pointer = lambda d, way: d.select("a.ring_id", F.lit(way).alias("way"), F.col("a.at").alias("at"), F.col("b.at").alias("next"))
+        ends = doubled(pointer(forth, "on").unionByName(pointer(back_, "from")), ["ring_id", "way"])
+        stop = known.where("on = 0").select("ring_id", F.lit("on").alias("way"), F.col("at").alias("next")).unionByName(
+            known.where("`from` = 0").select("ring_id", F.lit("from").alias("way"), F.col("at").alias("next"))
+        )
+        # Of what never ends, no more need be known.
+        circles = materialise(ends.where("next IS NULL").select("ring_id").distinct())
+        found.append(circles)
+        dead = ends.join(stop, ["ring_id", "way", "next"], "left_semi").select("ring_id", "at").unionByName(stop.select("ring_id", F.col("next").alias("at"))).distinct()
+        kept = known.join(dead, ["ring_id", "at"], "left_anti").join(circles, "ring_id", "left_anti")
+        e = materialise(kept.select("ring_id", "source", "target"))
         before, left = left, e.count()
         if left == before:
             break
-    return e.select("ring_id").distinct()
+    return reduce(DataFrame.unionByName, found, e.select("ring_id")).distinct()
+
+
+def illicit_component(tx: DataFrame, illicit: DataFrame, smallest: int = 5, largest: int = 10) -> DataFrame:
+    """Of the components of transfers between illicit accounts (account_id) that have ``smallest`` to ``largest`` accounts, the one of the
+    highest score, edges by accounts and two more with a cycle; the least component on ties."""
+    own = tx.where("source <> target").join(illicit.select(F.col("account_id").alias("source")), "source", "left_semi").join(
+        illicit.select(F.col("account_id").alias("target")), "target", "left_semi"
+    )
+    found = materialise(components(own, "source", "target")).select(F.col("component").alias("ring_id"), F.col("node").alias("account_id"))
+    sized = found.groupBy("ring_id").agg(F.count("*").alias("size")).where(F.col("size").between(smallest, largest))
+    members = materialise(found.join(sized.select("ring_id"), "ring_id", "left_semi"))
+    e = intra_edges(own, members).select("ring_id", "source", "target").distinct().groupBy("ring_id").agg(F.count("*").alias("edges"))
+    cyclic = cyclic_rings(own, members).withColumn("cyclic", F.lit(True))
+    score = F.round(F.col("edges") / F.col("size") + F.when(F.col("cyclic"), 2).otherwise(0), 6)
+    scored = sized.join(e, "ring_id").join(cyclic, "ring_id", "left").withColumn("score", score)
+    return scored.orderBy(F.desc("score"), "ring_id").limit(1).select(F.col("ring_id").alias("component"), "size", "edges", "score")
 
 
 def topology(tx: DataFrame, members: DataFrame) -> DataFrame:
@@ -148,43 +210,101 @@ def modularity(tx: DataFrame, labels: DataFrame) -> float:
     return inside - ends.groupBy("l").agg(F.sum("w").alias("d")).agg(F.sum(F.pow(F.col("d") / (2 * total), 2))).first()[0]
 
 
-def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, label) after synchronous modularity moves over edges (a, b, w), a loop counting on both ends. In each round half
-    of the nodes, by hash, move to the neighbouring community of the largest gain."""
+def _both_ways(edges: DataFrame) -> DataFrame:
     apart = edges.where("a <> b")
-    both = materialise(apart.select("a", "b", "w").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    return apart.select("a", "b", "w").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+#: A gain of modularity under this share of the whole is rounding.
+GAIN = 1e-9
+
+
+def local_moves(edges: DataFrame, start: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+    """(node, label) when no single node's move to a neighbouring community raises the modularity of edges (a, b, w), a loop counting on both
+    ends. Begins with ``start`` (node, label), or every node alone; rounds that do not settle are an error.
+
+    A round moves half of the nodes, by hash, to their best community at once. If that does not raise the modularity it is
+    taken back, and the next round makes only moves that are the best of all that leave or enter their two
+    communities: these share no community, so their gains add up. So every kept round raises the modularity.
+    """
+    both = materialise(_both_ways(edges))
     ends = edges.select("a", "w").unionByName(edges.select(F.col("b").alias("a"), "w"))
-    label = materialise(ends.groupBy("a").agg(F.sum("w").alias("d")).select(F.col("a").alias("node"), "d", F.col("a").alias("label")))
+    degree = ends.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d"))
+    label = materialise(degree.withColumn("label", F.col("node")) if start is None else degree.join(start, "node").select("node", "d", "label"))
     total = label.agg(F.sum("d")).first()[0] or 1.0
-    for k in range(rounds):
+    best, options, careful = None, None, False
+    for k in range(max_rounds):
         weight = label.groupBy("label").agg(F.sum("d").alias("dl"), F.count("*").alias("size"))
         seen = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        own = label.select(F.col("node").alias("a"), F.col("label").alias("own"), "d")
-        alone = weight.select(F.col("label").alias("own"), (F.col("size") == 1).alias("alone"))
+        own = label.join(weight.withColumnsRenamed({"dl": "own_dl", "size": "own_size"}), "label").select(F.col("node").alias("a"), F.col("label").alias("own"), "d", "own_dl", "own_size")
+        offered = materialise(own.join(seen, "a", "left").join(weight, "label", "left"))
+        inside = offered.where("label = own").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] / total
+        q = inside - (weight.agg(F.sum(F.pow(F.col("dl") / total, 2))).first()[0] or 0.0)
+        if best is None or q > best[0] + GAIN:
+            best, options, careful = (q, label), offered, False
+        elif careful:
+            return best[1].select("node", "label")
+        else:
+            careful = True
+        gain = F.col("w") - F.col("d") * F.col("dl") / total
+        stay = F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("w"))), F.lit(0.0)) - F.first("d") * (F.first("own_dl") - F.first("d")) / total
         # Two lone nodes that join each other at once would only swap: the one with the smaller label waits.
-        options = own.join(alone, "own").join(seen, "a", "left").join(weight, "label", "left").where("label IS NULL OR NOT (alone AND size = 1 AND label > own)")
-        gain = F.col("w") - F.col("d") * (F.col("dl") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0)) / total
-        ranked = options.withColumn("gain", gain).groupBy("a").agg(
-            F.max_by("label", F.struct("gain", "label")).alias("best"), F.max("gain").alias("top"),
-            F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"), F.first("own").alias("own"), F.first("d").alias("d"),
+        other = (F.col("label") != F.col("own")) & ~((F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("label") > F.col("own")))
+        ranked = options.groupBy("a").agg(
+            F.max_by("label", F.when(other, F.struct(gain, "label"))).alias("new"), F.max(F.when(other, gain)).alias("top"), stay.alias("stay"), F.first("own").alias("own")
         )
-        moves = (F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-        moved = ranked.select("a", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("new"))
-        label = materialise(label.join(moved.withColumnRenamed("a", "node"), "node", "left").select("node", "d", F.coalesce("new", "label").alias("label")))
-    return label.select("node", "label")
-
-
-def communities(tx: DataFrame, rounds: int = 6, levels: int = 3) -> DataFrame:
-    """K3: (account_id, label) by modularity (weight = amount): local moves, then each community becomes a node, and again."""
-    edges = tx.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("amount").cast("double")).alias("w"))
-    mapping = None
-    for _ in range(levels):
-        found = local_moves(edges, rounds)
+        moves = materialise(ranked.where(F.col("top") > F.col("stay") + GAIN * total).select("a", "own", "new", (F.col("top") - F.col("stay")).alias("more")))
+        if not moves.limit(1).count():
+            return best[1].select("node", "label")
+        if careful:
+            touched = moves.select("a", "more", F.explode(F.array("own", "new")).alias("c"))
+            first = touched.groupBy("c").agg(F.max(F.struct("more", "a")).alias("m")).groupBy(F.col("m.a").alias("a")).count().where("count = 2")
+            taken = moves.join(first, "a", "left_semi")
+        else:
+            taken = moves.where(F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2)
+        label = materialise(
+            best[1].join(taken.select(F.col("a").alias("node"), "new"), "node", "left").select("node", "d", F.coalesce("new", "label").alias("label"))
+        )
+    raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
+
+
+def split(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): communities cut into their connected parts, each named by its least node."""
+    of = lambda x, l: labels.select(F.col("node").alias(x), F.col("label").alias(l))
+    inside = edges.where("a <> b").join(of("a", "la"), "a").join(of("b", "lb"), "b").where("la = lb")
+    part = components(inside, "a", "b")
+    return labels.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+
+
+def communities(tx: DataFrame, max_levels: int = 20) -> DataFrame:
+    """K3: (account_id, label) by modularity (weight = amount, both ways together), label the least account of the community.
+
+    Local moves until none gains, then each community becomes a node, and again, until no level joins any more. Then
+    communities that are not connected are cut into their parts and accounts move again, until every community is connected and no
+    single move gains. Self-transfers do not count; accounts without others are in none. An empty table gives an empty result; levels that
+    do not end are an error.
+    """
+    plain = tx.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("amount").cast("double")).alias("w"))
+    plain = materialise(plain)
+    edges, mapping, nodes = plain, None, None
+    for _ in range(max_levels):
+        found = local_moves(edges)
+        held, joined = found.agg(F.count("*"), F.countDistinct("label")).first()
         if mapping is None:
-            mapping = found.withColumnRenamed("node", "account_id")
+            mapping = found
         else:
-            mapping = materialise(mapping.withColumnRenamed("label", "node").join(found, "node").select("account_id", "label"))
+            mapping = materialise(mapping.withColumnsRenamed({"label": "at"}).join(found.withColumnRenamed("node", "at"), "at").select("node", "label"))
+        if joined == held:
+            break
         la, lb = found.select(F.col("node").alias("a"), F.col("label").alias("la")), found.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         merged = edges.join(la, "a").join(lb, "b")
         edges = materialise(merged.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w")))
-    return mapping
+    else:
+        raise RuntimeError(f"communities did not settle in {max_levels} levels")
+    for _ in range(max_levels):
+        whole = materialise(split(plain, mapping))
+        mapping = materialise(local_moves(plain, whole))
+        parts = materialise(split(plain, mapping))
+        if parts.agg(F.countDistinct("label")).first()[0] == mapping.agg(F.countDistinct("label")).first()[0]:
+            return parts.select(F.col("node").alias("account_id"), "label")
+    raise RuntimeError(f"communities did not settle in {max_levels} cuts")

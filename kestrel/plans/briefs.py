@@ -64,16 +64,8 @@ def u09_changed(spark, sf):
 
 
 def k13_illicit_component(spark, sf):
-    """The densest component of 5 to 10 illicit accounts, a cycle counting two."""
-    illicit = view(spark, sf, "members").where("is_illicit").select("account_id")
-    tx = view(spark, sf, "p2p").where("amount >= 12000").join(illicit.withColumnRenamed("account_id", "source"), "source", "left_semi").join(illicit.withColumnRenamed("account_id", "target"), "target", "left_semi")
-    found = components(tx, "source", "target").select(F.col("component").alias("ring_id"), F.col("node").alias("account_id"))
-    sized = found.groupBy("ring_id").agg(F.count("*").alias("size")).where("size BETWEEN 5 AND 10")
-    members = found.join(sized.select("ring_id"), "ring_id", "left_semi")
-    e = K.intra_edges(tx, members).where("source <> target").select("ring_id", "source", "target").distinct().groupBy("ring_id").agg(F.count("*").alias("edges"))
-    cyclic = K.cyclic_rings(tx, members).withColumn("cyclic", F.lit(True))
-    scored = sized.join(e, "ring_id").join(cyclic, "ring_id", "left").withColumn("score", F.round(F.col("edges") / F.col("size") + F.when(F.col("cyclic"), 2).otherwise(0), 6))
-    return scored.orderBy(F.desc("score"), "ring_id").limit(1).select(F.col("ring_id").alias("component"), "size", "edges", "score")
+    illicit = view(spark, sf, "wallets").where("is_illicit")
+    return K.illicit_component(view(spark, sf, "wallet_tx"), illicit)
 
 
 def m15_retraining(spark, sf):
@@ -224,7 +216,7 @@ QUERIES = {
     )
 }
 SIGN_SQL = "SELECT district, sha256('last=' || max(t) || '|n=' || count(*)) AS signature FROM scams"
-ILLICIT_SQL = """il AS (SELECT account_id FROM members WHERE is_illicit), it AS (SELECT * FROM p2p WHERE amount >= 12000 AND source IN (SELECT account_id FROM il) AND target IN (SELECT account_id FROM il)),
+ILLICIT_SQL = """il AS (SELECT account_id FROM wallets WHERE is_illicit), it AS (SELECT * FROM wallet_tx WHERE source IN (SELECT account_id FROM il) AND target IN (SELECT account_id FROM il)),
 isy AS (SELECT source AS x, target AS y FROM it WHERE source <> target UNION SELECT target, source FROM it WHERE source <> target),
 ir(x, y) AS (SELECT x, x FROM isy UNION SELECT ir.x, isy.y FROM ir JOIN isy ON ir.y = isy.x), ic AS (SELECT x AS account_id, min(y) AS ring_id FROM ir GROUP BY 1),
 iz AS (SELECT ring_id, count(*) AS size FROM ic GROUP BY 1 HAVING count(*) BETWEEN 5 AND 10), intra AS (SELECT ring_id, it.* FROM it JOIN ic ON source = account_id JOIN iz USING (ring_id))"""
@@ -244,7 +236,7 @@ ORACLES = {
         SELECT district, district || ': ' || scams || ' flagged scams, ' || notes || ' fake notes, ' || illicit || ' of ' || accounts || ' accounts illicit' AS summary, array_to_string(l[1:6], '; ') AS actions FROM a""", "scams", "notes", "members"),
     "u09_changed": oracle(f"WITH a AS ({SIGN_SQL} GROUP BY 1), b AS ({SIGN_SQL} WHERE t % 3 > 0 GROUP BY 1) SELECT a.district, a.signature, b.signature IS NULL OR a.signature <> b.signature AS changed FROM a LEFT JOIN b USING (district)", "scams"),
     "k13_illicit_component": oracle(f"""WITH {ILLICIT_SQL}, {CYCLES_SQL}, ed AS (SELECT ring_id, count(DISTINCT source || '>' || target) AS edges FROM intra WHERE source <> target GROUP BY 1)
-        SELECT ring_id AS component, size, edges, round(edges / size::DOUBLE + CASE WHEN ring_id IN (SELECT ring_id FROM cy) THEN 2 ELSE 0 END, 6) AS score FROM iz JOIN ed USING (ring_id) ORDER BY score DESC, ring_id LIMIT 1""", "p2p", "members", recursive=True),
+        SELECT ring_id AS component, size, edges, round(edges / size::DOUBLE + CASE WHEN ring_id IN (SELECT ring_id FROM cy) THEN 2 ELSE 0 END, 6) AS score FROM iz JOIN ed USING (ring_id) ORDER BY score DESC, ring_id LIMIT 1""", "wallet_tx", "wallets", recursive=True),
     "m15_retraining": oracle("""WITH b AS (SELECT account_id, district, is_illicit, 0 AS at_, 'base' AS origin FROM members WHERE NOT is_illicit UNION ALL SELECT account_id, district, true, 1, 'new' FROM members WHERE score >= 0.5)
         SELECT account_id, district, is_illicit, origin FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY at_ DESC) AS r FROM b) WHERE r = 1""", "members"),
     "m15_transactions": oracle("SELECT tx_id, source, target, CASE WHEN tx_id % 3 < 2 THEN 'base' ELSE 'new' END AS origin FROM p2p WHERE tx_id % 3 < 2 OR tx_id % 2 = 0", "p2p"),

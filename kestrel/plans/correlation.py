@@ -123,17 +123,23 @@ pr AS (SELECT a.denomination, a.id AS a, b.id AS b, len(list_intersect(a.f, b.f)
 
 
 def e02_plate_families(spark, sf):
-    made = E.plate_families(view(spark, sf, "notes"), FEATURES)
-    return made.select("family", "notes", "denomination", "districts", "first_seen", "last_seen", "common", F.round("span_km", 3).alias("span_km"))
+    return E.plate_families(view(spark, sf, "notes"), FEATURES).withColumn("span_km", F.round("span_km", 3))
 
 
-FAMILIES_SQL = f"""ed AS (SELECT a AS x, b AS y FROM pr WHERE shared > 0 AND shared / all_::DOUBLE >= 0.5), sy AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed UNION SELECT id, id FROM cl),
+def e02_family_notes(spark, sf):
+    made = E.plate_members(view(spark, sf, "notes"), FEATURES)
+    return made.select("family", "event_id", "denomination", F.array_join("f", ",").alias("defects"), "district", "t")
+
+
+FAMILIES_SQL = f"""ed AS (SELECT a AS x, b AS y FROM pr WHERE shared > 0), sy AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed UNION SELECT id, id FROM cl),
 reach(x, y) AS (SELECT x, y FROM sy UNION SELECT reach.x, sy.y FROM reach JOIN sy ON reach.y = sy.x), lb AS (SELECT x AS id, min(y) AS family FROM reach GROUP BY 1),
 mb AS (SELECT st.*, family FROM st JOIN cl USING (denomination, f) JOIN lb USING (id)),
-sz AS (SELECT family, count(*) AS notes, min(denomination) AS denomination, count(DISTINCT district) AS districts, min(t) AS first_seen, max(t) AS last_seen FROM mb GROUP BY 1 HAVING count(*) >= 2),
+sz AS (SELECT family, count(*) AS notes, min(denomination) AS denomination, count(DISTINCT district) AS districts, string_agg(DISTINCT district, ',' ORDER BY district) AS places, min(t) AS first_seen, max(t) AS last_seen FROM mb GROUP BY 1 HAVING count(*) >= 2),
 cm AS (SELECT family, string_agg(x, ',' ORDER BY x) AS common FROM (SELECT family, x, count(*) AS n FROM (SELECT family, unnest(f) AS x FROM mb) GROUP BY 1, 2) JOIN sz USING (family) WHERE n = notes GROUP BY 1),
-pp AS (SELECT DISTINCT family, lat, lon FROM mb), sp AS (SELECT a.family, max({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS span_km FROM pp a JOIN pp b ON a.family = b.family GROUP BY 1)
-SELECT sz.*, coalesce(common, '') AS common, round(span_km, 3) AS span_km FROM sz LEFT JOIN cm USING (family) LEFT JOIN sp USING (family)"""
+pp AS (SELECT DISTINCT family, lat, lon FROM mb), sp AS (SELECT a.family, max({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS span_km FROM pp a JOIN pp b ON a.family = b.family GROUP BY 1),
+te AS (SELECT a, CASE WHEN shared / all_::DOUBLE >= 0.5 THEN 1 ELSE 2 END AS r FROM pr WHERE shared > 0 UNION ALL SELECT id, 0 FROM cl WHERE notes > 1),
+tf AS (SELECT family, ['high', 'probable', 'possible'][min(r) + 1] AS tier, count(*) AS links FROM te JOIN lb ON lb.id = te.a GROUP BY 1)
+SELECT sz.*, tier, links, coalesce(common, '') AS common, round(span_km, 3) AS span_km FROM sz JOIN tf USING (family) LEFT JOIN cm USING (family) LEFT JOIN sp USING (family)"""
 
 
 def e03_family_summary(spark, sf):
@@ -157,17 +163,40 @@ jr AS (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) + max(b.n) - count(*)):
 jj AS (SELECT a, b, jaccard FROM jr JOIN cs p ON p.id = a JOIN cs q ON q.id = b WHERE jaccard >= 0.5 OR len(list_intersect(p.g, q.g)) >= 3)"""
 
 
+def told(spark, sf):
+    return view(spark, sf, "reports").where("verdict <> 'legit'")
+
+
 def e05_campaigns(spark, sf):
-    links = E.script_links(scripts(spark, sf)).where("jaccard >= 0.5")
-    found = components(links, "a", "b")
-    return found.groupBy(F.col("component").alias("campaign")).agg(F.count("*").alias("scripts"), F.array_join(F.array_sort(F.collect_list("node")).cast("array<string>"), ",").alias("events"))
+    return E.campaigns(told(spark, sf))[0]
+
+
+def e05_campaign_events(spark, sf):
+    return E.campaigns(told(spark, sf))[1]
+
+
+CAMPAIGNS_SQL = """ev AS (SELECT *, regexp_extract_all(lower(text), '([a-z]{3,})', 1) AS v FROM reports WHERE verdict <> 'legit'),
+sc AS (SELECT event_id, phone, list_sort(list_distinct(v)) AS w, list_sort(list_distinct(list_transform(generate_series(1, len(v) - 1), lambda i: v[i] || ' ' || v[i + 1]))) AS g FROM ev),
+cs AS (SELECT w, g, min(event_id) AS id, count(*) AS copies FROM sc WHERE len(w) > 0 GROUP BY 1, 2), ex AS (SELECT id, len(w) AS n, unnest(w) AS x FROM cs),
+jr AS (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE AS jaccard FROM ex a JOIN ex b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / (max(a.n) + max(b.n) - count(*))::DOUBLE >= 0.3),
+jj AS (SELECT a, b, jaccard FROM jr JOIN cs p ON p.id = a JOIN cs q ON q.id = b WHERE jaccard >= 0.5 OR len(list_intersect(p.g, q.g)) >= 3),
+pl AS (SELECT sc.event_id, sc.phone, coalesce(cs.id, sc.event_id) AS id FROM sc LEFT JOIN cs ON sc.w = cs.w AND sc.g = cs.g WHERE len(sc.w) > 0 OR phone IS NOT NULL),
+ph AS (SELECT phone, min(id) AS least FROM pl WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) > 1), di AS (SELECT DISTINCT id, least FROM pl JOIN ph USING (phone)),
+sy AS (SELECT a AS x, b AS y FROM jj UNION SELECT b, a FROM jj UNION SELECT id, least FROM di UNION SELECT least, id FROM di UNION SELECT id, id FROM cs WHERE copies > 1),
+reach(x, y) AS (SELECT x, x FROM sy UNION SELECT reach.x, sy.y FROM reach JOIN sy ON reach.y = sy.x), lb AS (SELECT x AS id, min(y) AS campaign FROM reach GROUP BY 1),
+mb AS (SELECT campaign, ev.event_id, ev.district, ev.t, ev.phone, ev.scam_type, left(ev.text, 180) AS text FROM pl JOIN lb USING (id) JOIN ev USING (event_id)),
+tw AS (SELECT a AS id, CASE WHEN jaccard >= 0.7 THEN 0 WHEN jaccard >= 0.5 THEN 1 ELSE 2 END AS r, 1 AS w FROM jj UNION ALL SELECT id, 0, 0 FROM cs WHERE copies > 1 UNION ALL SELECT id, 0, 0 FROM di),
+tr AS (SELECT campaign, ['high', 'probable', 'possible'][min(r) + 1] AS tier, CAST(sum(w) AS BIGINT) AS word_links FROM tw JOIN lb USING (id) GROUP BY 1),
+sp AS (SELECT campaign, string_agg(district, '>' ORDER BY t, event_id) AS district_spread FROM (SELECT campaign, district, t, event_id, row_number() OVER (PARTITION BY campaign, district ORDER BY t, event_id) AS r FROM mb WHERE district IS NOT NULL) WHERE r = 1 GROUP BY 1),
+kd AS (SELECT campaign, scam_type, row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, scam_type) AS r FROM mb WHERE scam_type IS NOT NULL GROUP BY 1, 2),
+wh AS (SELECT campaign, count(*) AS n_events, min(t) AS first_seen, max(t) AS last_seen, arg_min(text, (t, event_id)) AS sample_text, coalesce(string_agg(DISTINCT phone, ',' ORDER BY phone), '') AS phones FROM mb GROUP BY 1)"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         j02_money_trails, j03_scam_rings, j04_scam_notes, j05_note_rings, j06_distances, j07_j09_threat, j10_map_points, j11_input_hash,
-        h01_hubs, h04_hub_summary, h05_near_places, e01_plate_links, e02_plate_families, e03_family_summary, e04_script_links, e05_campaigns,
+        h01_hubs, h04_hub_summary, h05_near_places, e01_plate_links, e02_plate_families, e02_family_notes, e03_family_summary, e04_script_links, e05_campaigns, e05_campaign_events,
     )
 }
 RING_D = "(SELECT DISTINCT ring_id, district FROM rm JOIN members USING (account_id))"
@@ -197,7 +226,7 @@ ORACLES = {
     "e02_plate_families": oracle(f"WITH {CLASSES_SQL}, {FAMILIES_SQL}", "notes", recursive=True),
     "e03_family_summary": oracle(f"WITH {CLASSES_SQL}, fam AS (WITH {FAMILIES_SQL}) SELECT count(*) AS families, CAST(sum(notes) AS BIGINT) AS linked_notes, CAST(sum((districts > 1)::INT) AS BIGINT) AS multi_district FROM fam".replace("fam AS (WITH ed", "fam AS (WITH RECURSIVE ed"), "notes", recursive=True),
     "e04_script_links": oracle(f"WITH {SCRIPTS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.7 THEN 'high' WHEN jaccard >= 0.5 THEN 'probable' ELSE 'possible' END AS tier FROM jj", "messages"),
-    "e05_campaigns": oracle(f"""WITH {SCRIPTS_SQL}, sy AS (SELECT a AS x, b AS y FROM jj WHERE jaccard >= 0.5 UNION SELECT b, a FROM jj WHERE jaccard >= 0.5),
-        reach(x, y) AS (SELECT x, x FROM sy UNION SELECT reach.x, sy.y FROM reach JOIN sy ON reach.y = sy.x), lb AS (SELECT x, min(y) AS campaign FROM reach GROUP BY 1)
-        SELECT campaign, count(*) AS scripts, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS events FROM lb GROUP BY 1""", "messages", recursive=True),
+    "e02_family_notes": oracle(f"WITH {CLASSES_SQL}, fam AS (WITH {FAMILIES_SQL.replace('SELECT sz.*', 'SELECT mb.event_id, sz.*').replace('FROM sz JOIN tf', 'FROM sz JOIN mb USING (family) JOIN tf')}) SELECT fam.family, st.event_id, st.denomination, array_to_string(f, ',') AS defects, st.district, st.t FROM fam JOIN st USING (event_id)".replace("fam AS (WITH ed", "fam AS (WITH RECURSIVE ed"), "notes", recursive=True),
+    "e05_campaigns": oracle(f"WITH {CAMPAIGNS_SQL} SELECT wh.*, tier, word_links, district_spread, coalesce(scam_type, 'other') AS scam_type FROM wh JOIN tr USING (campaign) LEFT JOIN sp USING (campaign) LEFT JOIN kd ON kd.campaign = wh.campaign AND kd.r = 1", "reports", recursive=True),
+    "e05_campaign_events": oracle(f"WITH {CAMPAIGNS_SQL} SELECT campaign, event_id, district, t, phone FROM mb", "reports", recursive=True),
 }

@@ -157,8 +157,9 @@ def u01_snapshot(spark, sf):
 
 
 def u02_shared_districts(spark, sf):
-    seen = view(spark, sf, "scams").where("verdict = 'scam'").select("district").union(view(spark, sf, "notes").where("k > 60").select("district"))
-    return seen.intersect(view(spark, sf, "members").where("score >= 0.5").select("district"))
+    seen = view(spark, sf, "scams").where("verdict = 'scam'").select("district").union(view(spark, sf, "notes").where("verdict = 'fake'").select("district"))
+    _, scores, rings = parts(spark, sf)
+    return seen.intersect(rings.join(scores, "account_id").select("district"))
 
 
 def u04_dossiers(spark, sf):
@@ -248,7 +249,7 @@ ORACLES = {
         CASE WHEN risk_score >= 0.7 THEN 'high' WHEN risk_score >= 0.4 THEN 'medium' ELSE 'low' END AS band, CASE WHEN risk_score >= 0.7 THEN 'block' WHEN risk_score >= 0.4 THEN 'review' ELSE 'monitor' END AS decision,
         CASE WHEN risk_score >= 0.6 THEN 'fake' WHEN risk_score <= 0.2 THEN 'genuine' ELSE 'uncertain' END AS note, CASE WHEN k BETWEEN 40 AND 235 THEN 'pass' ELSE 'unscannable' END AS triage FROM scams""", "scams"),
     "u01_snapshot": oracle("SELECT scam_type, count(*) AS n, count(*) FILTER (WHERE verdict <> 'legit') AS flagged, count(DISTINCT district) AS districts, round(max(risk_score), 3) AS max_risk, round(avg(risk_score), 3) AS avg_risk FROM scams GROUP BY 1", "scams"),
-    "u02_shared_districts": oracle("(SELECT district FROM scams WHERE verdict = 'scam' UNION SELECT district FROM notes WHERE k > 60) INTERSECT SELECT district FROM members WHERE score >= 0.5", "scams", "notes", "members"),
+    "u02_shared_districts": ringed("(SELECT district FROM scams WHERE verdict = 'scam' UNION SELECT district FROM notes WHERE verdict = 'fake') INTERSECT SELECT district FROM rm JOIN members USING (account_id)", "scams", "notes"),
     "u04_dossiers": oracle("""WITH s AS (SELECT district, count(*) FILTER (WHERE verdict <> 'legit') AS scams, round(max(risk_score), 4) AS worst FROM scams GROUP BY 1), n AS (SELECT district, count(*) AS notes, max(t) AS last_note FROM notes WHERE verdict = 'fake' GROUP BY 1),
         r AS (SELECT district, count(*) AS accounts, count(*) FILTER (WHERE is_illicit) AS illicit FROM members GROUP BY 1)
         SELECT district, accounts, illicit, coalesce(scams, 0) AS scams, worst, coalesce(notes, 0) AS notes, last_note FROM r LEFT JOIN s USING (district) LEFT JOIN n USING (district)""", "scams", "notes", "members"),

@@ -10,9 +10,12 @@ from kestrel.operators import features as G
 from kestrel.operators import rings as K
 from kestrel.operators.components import components
 from kestrel.plans.features import SIDES_SQL
+from kestrel.session import materialise
 from kestrel.sources.bindings import oracle, view
 
 LEAST = 0.9
+#: Communities split what is one component from here on.
+LOW = 0.5
 RINGS_SQL = """hi AS (SELECT account_id FROM members WHERE score >= 0.9),
 he AS (SELECT p.* FROM p2p p WHERE source IN (SELECT account_id FROM hi) AND target IN (SELECT account_id FROM hi)),
 sym AS (SELECT source AS x, target AS y FROM he WHERE source <> target UNION SELECT target, source FROM he WHERE source <> target),
@@ -55,6 +58,18 @@ def k04_ring_members(spark, sf):
     return parts(spark, sf)[2]
 
 
+def k04_community_rings(spark, sf):
+    return K.community_rings(view(spark, sf, "p2p"), view(spark, sf, "members"), LOW)
+
+
+def k05_community_rings(spark, sf):
+    """K5 to K8 over the rings that communities give."""
+    tx, scores = view(spark, sf, "p2p"), view(spark, sf, "members")
+    rings = materialise(K.community_rings(tx, scores, LOW))
+    made = K.summarise(tx, scores, rings).join(K.topology(tx, rings), "ring_id")
+    return made.select("ring_id", "size", F.round("risk", 6).alias("risk"), "account_ids", "total_amount", "district", "label")
+
+
 def k05_rings(spark, sf):
     tx, scores, rings = parts(spark, sf)
     made = K.summarise(tx, scores, rings)
@@ -133,7 +148,7 @@ def j01_ring_inflows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        k01_induced_edges, k02_components, k03_communities, k04_ring_members, k05_rings, k06_ring_degrees, k07_cyclic_rings, k08_topology,
+        k01_induced_edges, k02_components, k03_communities, k04_ring_members, k04_community_rings, k05_rings, k05_community_rings, k06_ring_degrees, k07_cyclic_rings, k08_topology,
         k09_account_rings, k10_export_edges, k11_ringed_accounts, k12_ring_recovery, k14_submitted_hits, k15_ring_view, k16_new_rings, j01_ring_inflows,
     )
 }

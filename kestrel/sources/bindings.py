@@ -25,6 +25,15 @@ VIEWS = {
                'U' || CAST((user_id * 31 + event_id * 7) % (SELECT max(user_id) + 1 FROM events) AS STRING) AS target,
                CAST(round(value * 100, 2) AS DECIMAL(18,2)) AS amount, {sec ts} AS t
         FROM events""",
+    "wallet_tx": """
+        SELECT l_orderkey * 8 + l_linenumber AS tx_id,
+               CASE WHEN l_returnflag = 'R' THEN 'P' || CAST(l_partkey AS STRING) ELSE 'C' || CAST(o_custkey AS STRING) END AS source,
+               CASE WHEN l_returnflag = 'R' THEN 'C' || CAST(o_custkey AS STRING) ELSE 'P' || CAST(l_partkey AS STRING) END AS target,
+               CAST(l_extendedprice AS DECIMAL(18,2)) AS amount
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "wallets": """
+        SELECT 'C' || CAST(c_custkey AS STRING) AS account_id, c_acctbal < 0 AS is_illicit FROM customer
+        UNION ALL SELECT 'P' || CAST(p_partkey AS STRING), p_size = 1 FROM part""",
     "members": """
         SELECT DISTINCT 'U' || CAST(user_id AS STRING) AS account_id, n_name AS district, (user_id * 37 % 100) / 100.0e0 AS score,
                user_id % 11 = 0 AS is_illicit
@@ -61,6 +70,11 @@ VIEWS = {
           WHEN 5 THEN ' Visit http://paytn.com/login and share your OTP right now.'
           WHEN 6 THEN ' See you at dinner tomorrow.' ELSE '' END AS text
         FROM documents""",
+    "reports": """
+        SELECT points.event_id, messages.text, points.t, points.district, nullif(regexp_extract(messages.text, '([6-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9])', 1), '') AS phone,
+               CASE points.k % 4 WHEN 0 THEN 'digital_arrest' WHEN 1 THEN 'phishing' WHEN 2 THEN 'lottery' ELSE 'kyc' END AS scam_type,
+               CASE WHEN messages.doc_id % 8 >= 6 THEN 'legit' ELSE 'scam' END AS verdict
+        FROM messages JOIN points ON points.event_id = messages.doc_id""",
     "labelled": """
         SELECT labels.doc_id, quality AS label, ((n_chars * 7 + labels.doc_id * 13) % 1000) / 1000.0e0 AS score, source
         FROM labels JOIN documents ON labels.doc_id = documents.doc_id""",
@@ -71,7 +85,7 @@ VIEWS = {
         FROM embeddings""",
 }
 SECONDS = re.compile(r"\{sec (\w+)\}")
-NEEDS = {"scams": ["points"], "notes": ["points"]}
+NEEDS = {"scams": ["points"], "notes": ["points"], "reports": ["points", "messages"]}
 
 
 def needed(names: tuple[str, ...]) -> list[str]:
@@ -83,7 +97,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table over the given Parquet files; Catalyst pushes what a query needs down to their scans."""
     reachable(spark)
     body = SECONDS.sub(r"unix_timestamp(CAST(\1 AS TIMESTAMP))", VIEWS[name])
-    tables = set(re.findall(r"\b(lineitem|orders|customer|supplier|nation|events|documents|labels|embeddings)\b", body))
+    tables = set(re.findall(r"\b(lineitem|orders|customer|supplier|part|nation|events|documents|labels|embeddings)\b", body))
     inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     inputs |= {v: view(spark, sf_dir, v) for v in NEEDS.get(name, ())}
     for t in inputs:
