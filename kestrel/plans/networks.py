@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrel.functions.geo import grid_join
 from kestrel.operators import banks as B
+from kestrel.operators import routes as R
 from kestrel.operators import spectral as P
 from kestrel.operators import trail as T
 from kestrel.plans.correlation import hav
+from kestrel.session import materialise
 from kestrel.sources.bindings import oracle, view
 
 
@@ -71,6 +74,58 @@ def w13_cheapest(spark, sf):
     return T.cheapest(T.network(n, 200), start).select("start", "node", F.round("cost", 3).alias("cost"), F.round("km", 3).alias("km"), F.array_join("path", ">").alias("path"))
 
 
+def stops(spark, sf):
+    """The corridors' nodes with their modes; every hub also has a stop of the next corridor a few kilometres off."""
+    from pyspark.sql import Window as W
+
+    n = nodes(spark, sf).drop("idx")
+    mode = F.array(*map(F.lit, CORRIDOR_MODES))[F.col("corridor")]
+    second = n.where("hub").select(((F.col("corridor") + 1) % 5).alias("corridor"), F.concat("name", F.lit(" yard")).alias("name"), (F.col("lat") + 0.03).alias("lat"), (F.col("lon") + 0.02).alias("lon"), F.lit(False).alias("hub"))
+    both = n.unionByName(second).withColumn("mode", mode)
+    return both.withColumn("idx", F.row_number().over(W.partitionBy("corridor").orderBy("lat", "name")))
+
+
+CORRIDOR_MODES = ["rail", "ship", "air", "rail", "road"]
+
+
+def w11_cities(spark, sf):
+    cities, _ = R.merged_network(stops(spark, sf), transfer_km=200)
+    return cities.select("city", "name", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.array_join("modes", ",").alias("modes"), "hub", "stops")
+
+
+def w11_merged(spark, sf):
+    return R.merged_network(stops(spark, sf), transfer_km=200)[1].withColumn("km", F.round("km", 3))
+
+
+def by_mode(spark, sf):
+    cities, edges = R.merged_network(stops(spark, sf), transfer_km=200)
+    best, legs = R.cheapest_by_mode(materialise(edges), cities.select(F.col("city").alias("id")))
+    near = grid_join(reports(spark, sf), cities, 80).select(F.col("r.city").alias("at"), "l.event_id").distinct()
+    return cities, best, materialise(legs), near
+
+
+def w13_by_mode(spark, sf):
+    _, best, legs, _ = by_mode(spark, sf)
+    path = legs.groupBy("prefer", "start", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("p"), "src"))), lambda x: x["src"]), ">").alias("path"))
+    return best.join(path, ["prefer", "start", "node"]).select("prefer", "start", "node", F.round("cost", 3).alias("cost"), F.concat("path", F.lit(">"), "node").alias("path"))
+
+
+def chosen(spark, sf):
+    cities, _, legs, near = by_mode(spark, sf)
+    return cities, R.alternatives(R.told(legs, near))
+
+
+def w15_alternatives(spark, sf):
+    return chosen(spark, sf)[1].select("start", "node", "place", "signature", F.round("km", 3).alias("km"), "legs", "fir", "plausibility")
+
+
+def w16_entry_routes(spark, sf):
+    cities, routes = chosen(spark, sf)
+    tagged = view(spark, sf, "points").where("event_type = 'view' AND k = 13").select(F.col("district").alias("name")).distinct()
+    presses = cities.join(tagged, "name", "left_semi").select(F.col("city").alias("start"))
+    return R.entry_routes(routes, presses, cities).select("node", "place", "start", "signature", "plausibility")
+
+
 def places(spark, sf):
     p = view(spark, sf, "points").select("district", "lat", "lon").distinct()
     return p.groupBy("district").agg(F.min(F.struct("lat", "lon")).alias("p")).select(F.col("district").alias("place"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
@@ -160,6 +215,14 @@ def p06_wavelets(spark, sf):
     return P.wavelets(P.laplacian(P.community_edges(tx, lab), lab), signal).select("i", *[F.round(f"t{k}", 8).alias(f"t{k}") for k in range(4)])
 
 
+def p06_bands(spark, sf):
+    lab, tx = labels(spark, sf), view(spark, sf, "p2p")
+    into = tx.groupBy(F.col("target").alias("account_id")).agg((F.sum("amount").cast("double") / 1000).alias("paid"), F.count("*").cast("double").alias("times"))
+    signals = lab.join(into, "account_id", "left").select(F.col("account_id").alias("i"), F.array("paid", "times").alias("x"))
+    made = P.band_filters(P.laplacian(P.community_edges(tx, lab), lab), signals)
+    return made.select("i", *[(F.round(F.col("bands")[b][s], 6) + 0.0).alias(f"b{b}_{s}") for b in range(4) for s in range(2)])
+
+
 def owners(spark, sf):
     sizes = labels(spark, sf).groupBy("community").agg(F.count("*").alias("size"))
     return labels(spark, sf).join(B.assign(sizes, 4), "community").select("account_id", "bank_id")
@@ -211,7 +274,7 @@ def b11_b12_privacy(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w11_network, w12_access, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets,
+        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w11_network, w12_access, w11_cities, w11_merged, w13_by_mode, w15_alternatives, w16_entry_routes, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets, p06_bands,
         b01_banks, b02_b03_cut, b04_local_features, b05_embeddings, b07_pair_scores, b08_matches, b09_match_quality, b11_b12_privacy,
     )
 }
@@ -230,11 +293,42 @@ tc AS (SELECT *, least(0.35 * least(0.2 + (n - 1) * 0.2, 0.85) + 0.25 * CASE WHE
 NET_SQL = f"""ni AS (SELECT *, corridor || ':' || idx AS id FROM nd), e1 AS (SELECT a.id AS src, b.id AS dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, 'rail' AS mode FROM ni a JOIN ni b ON a.corridor = b.corridor AND b.idx = a.idx + 1
   UNION ALL SELECT a.id, b.id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 'road' FROM ni a JOIN ni b ON a.corridor < b.corridor AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200),
 ne AS (SELECT src, dst, km, mode FROM e1 UNION ALL SELECT dst, src, km, mode FROM e1)"""
+CITY_SQL = f"""sp0 AS (SELECT corridor, name, lat, lon, hub FROM nd UNION ALL SELECT (corridor + 1) % 5, name || ' yard', lat + 0.03e0, lon + 0.02e0, false FROM nd WHERE hub),
+sp AS (SELECT *, corridor || ':' || row_number() OVER (PARTITION BY corridor ORDER BY lat, name) AS id, row_number() OVER (PARTITION BY corridor ORDER BY lat, name) AS idx, ['rail', 'ship', 'air', 'rail', 'road'][corridor + 1] AS mode FROM sp0),
+mn AS (SELECT a.id AS x, b.id AS y FROM sp a JOIN sp b ON {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 8), mr(x, y) AS (SELECT x, y FROM mn UNION SELECT mr.x, mn.y FROM mr JOIN mn ON mr.y = mn.x),
+mc AS (SELECT sp.*, city FROM sp JOIN (SELECT x AS id, min(y) AS city FROM mr GROUP BY 1) USING (id)), cg AS (SELECT city, list_sort(list(DISTINCT mode)) AS modes, bool_or(hub) AS hub, count(*) AS stops FROM mc GROUP BY 1),
+ct_ AS (SELECT cg.*, name, lat, lon FROM cg JOIN sp ON sp.id = city), hs AS (SELECT city AS src, lead(city) OVER (PARTITION BY corridor ORDER BY idx) AS dst, mode FROM mc),
+g1 AS (SELECT src, dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, mode, 'haul' AS kind FROM hs JOIN ct_ a ON a.city = src JOIN ct_ b ON b.city = dst WHERE src <> dst
+  UNION ALL SELECT a.city, b.city, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 'road', 'transfer' FROM ct_ a JOIN ct_ b ON a.city < b.city AND a.modes <> b.modes AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200),
+mg AS (SELECT src, dst, km, mode, kind FROM g1 UNION SELECT dst, src, km, mode, kind FROM g1)"""
+MODES_SQL = """ek AS (SELECT prefer, mg.*, km * rk AS own, km * rk * CASE WHEN prefer <> 'any' AND mode <> prefer AND kind = 'haul' THEN 4 ELSE 1 END AS c, rk FROM (SELECT *, CASE mode WHEN 'rail' THEN 1.0e0 WHEN 'ship' THEN 0.9e0 WHEN 'road' THEN 1.3e0 ELSE 2.6e0 END AS rk FROM mg) mg, (VALUES ('any'), ('rail'), ('ship'), ('air'), ('road')) pf(prefer)),
+bf(h, prefer, start, node, cost) AS (SELECT 0, prefer, city, city, 0.0e0 FROM ct_, (VALUES ('any'), ('rail'), ('ship'), ('air'), ('road')) pf(prefer) UNION ALL SELECT h + 1, bf.prefer, start, dst, min(cost + c) FROM bf JOIN ek ON ek.prefer = bf.prefer AND src = node WHERE h < 40 GROUP BY 1, 2, 3, 4),
+bs AS (SELECT prefer, start, node, min(cost) AS cost FROM bf GROUP BY 1, 2, 3),
+pd AS (SELECT * FROM (SELECT b.prefer, b.start, b.node, ek.src, ek.mode, ek.kind, ek.km, ek.own, ek.rk, row_number() OVER (PARTITION BY b.prefer, b.start, b.node ORDER BY ek.src, ek.mode, ek.kind) AS r FROM bs b JOIN ek ON ek.prefer = b.prefer AND ek.dst = b.node JOIN bs a ON a.prefer = b.prefer AND a.start = b.start AND a.node = ek.src WHERE b.node <> b.start AND a.cost + ek.c <= b.cost + 1e-9) WHERE r = 1),
+lg(prefer, start, node, back, src, dst, mode, kind, km, own, rk) AS (SELECT prefer, start, node, 0, src, node, mode, kind, km, own, rk FROM pd UNION ALL SELECT lg.prefer, lg.start, lg.node, back + 1, pd.src, pd.node, pd.mode, pd.kind, pd.km, pd.own, pd.rk FROM lg JOIN pd ON pd.prefer = lg.prefer AND pd.start = lg.start AND pd.node = lg.src)"""
+CHOICE_SQL = f"""nc AS (SELECT DISTINCT city AS at_, event_id FROM points p JOIN ct_ ON event_type = 'click' AND {hav('p.lat', 'p.lon', 'ct_.lat', 'ct_.lon')} <= 80),
+fc AS (SELECT prefer, start, node, count(DISTINCT event_id) AS fir FROM (SELECT prefer, start, node, src AS at_ FROM lg UNION SELECT prefer, start, node, dst FROM lg) JOIN nc USING (at_) GROUP BY 1, 2, 3),
+sr AS (SELECT prefer, start, node, string_agg(mode, '>' ORDER BY back DESC) AS signature FROM (SELECT *, lag(mode) OVER (PARTITION BY prefer, start, node ORDER BY back DESC) AS prev FROM lg WHERE kind = 'haul') WHERE prev IS NULL OR prev <> mode GROUP BY 1, 2, 3),
+rs AS (SELECT prefer, start, node, sum(km) AS km, sum(own) AS own, count(*) AS legs, avg(rk) FILTER (WHERE kind = 'haul') AS rk FROM lg GROUP BY 1, 2, 3),
+rr_ AS (SELECT rs.*, coalesce(signature, 'road') AS signature, coalesce(fir, 0) AS fir, round(least(0.9e0, 0.45e0 / (1 + km / 600) + 0.35e0 * CASE WHEN rk IS NULL THEN 0.4e0 ELSE greatest(0, least(1, (2.9e0 - rk) / 2)) END + 0.2e0 * least(1.0e0, coalesce(fir, 0) / 4.0e0)), 6) AS plausibility
+  FROM rs LEFT JOIN sr USING (prefer, start, node) LEFT JOIN fc USING (prefer, start, node)),
+r1_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node, signature ORDER BY round(own, 6), prefer) AS r FROM rr_) WHERE r = 1),
+al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY plausibility DESC, signature) AS place FROM r1_) WHERE place <= 4)"""
 OWNERS_SQL = """co AS (SELECT district AS community, count(*) AS size FROM members GROUP BY 1), sq AS (SELECT *, row_number() OVER (ORDER BY size DESC, community) - 1 AS n FROM co),
 bk AS (SELECT community, size, CAST(CASE WHEN n // 4 % 2 = 0 THEN n % 4 ELSE 3 - n % 4 END AS INT) AS bank_id FROM sq), ow AS (SELECT account_id, bank_id FROM members JOIN bk ON district = community),
 cu AS (SELECT p.*, a.bank_id AS bank_s, b.bank_id AS bank_t, a.bank_id <> b.bank_id AS cross_ FROM p2p p JOIN ow a ON source = a.account_id JOIN ow b ON target = b.account_id)"""
 COS = "list_dot_product(o.embedding::DOUBLE[], i.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(o.embedding::DOUBLE[], o.embedding::DOUBLE[]) * list_dot_product(i.embedding::DOUBLE[], i.embedding::DOUBLE[])), 1e-12)"
 _T = "SELECT n.i, {c}coalesce(sum(m * x.t{p}), 0){m} AS t{k} FROM w{p} n LEFT JOIN lb ON lb.i = n.i LEFT JOIN (SELECT i AS j, t{p} FROM w{p}) x ON x.j = lb.j GROUP BY n.i"
+#: The bands' coefficients from their definition, and the recursion term by term for two signals.
+BANDS_SQL = """zs AS (SELECT cos(pi() * (2 * n + 1) / 128) AS z FROM range(64) t(n)), hb AS (SELECT band, z, pow((z + 1) / 2, 1 + 2.0e0 * band) * pow(1 - (z + 1) / 2, 7 - 2.0e0 * band) AS h FROM zs, range(4) t(band)),
+hn AS (SELECT band, z, h / max(h) OVER (PARTITION BY band) AS h FROM hb), cf AS (SELECT band, k, sum(h * cos(k * acos(z))) * CASE k WHEN 0 THEN 1 ELSE 2 END / 64 AS c FROM hn, range(9) t(k) GROUP BY band, k),
+ob AS (SELECT a, b, -w / sqrt(e.d * f.d) AS m FROM ce JOIN dg e ON a = e.x JOIN dg f ON b = f.x), lb AS (SELECT a AS i, b AS j, m FROM ob UNION ALL SELECT b, a, m FROM ob),
+ip AS (SELECT target AS account_id, CAST(sum(amount) AS DOUBLE) / 1000 AS paid, count(*)::DOUBLE AS times FROM p2p GROUP BY 1),
+y0 AS (SELECT account_id AS i, coalesce(paid, 0) AS u, coalesce(times, 0) AS v FROM members LEFT JOIN ip USING (account_id)), """ + ", ".join(
+    f"z{k} AS (SELECT n.i, coalesce(sum(m * x.u), 0) AS u, coalesce(sum(m * x.v), 0) AS v FROM y{k - 1} n LEFT JOIN lb ON lb.i = n.i LEFT JOIN (SELECT i AS j, u, v FROM y{k - 1}) x ON x.j = lb.j GROUP BY n.i), "
+    + (f"y{k} AS (SELECT * FROM z{k})" if k == 1 else f"y{k} AS (SELECT i, 2 * z.u - p.u AS u, 2 * z.v - p.v AS v FROM z{k} z JOIN y{k - 2} p USING (i))")
+    for k in range(1, 9)
+) + ", ya AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM y{k}" for k in range(9)) + ")"
 LOCAL_SQL = """lc AS (SELECT * FROM cu WHERE NOT cross_), li AS (SELECT bank_t AS bank_id, target AS account_id, CAST(sum(amount) AS DOUBLE) AS ti, count(*) AS ni, count(DISTINCT source) AS us FROM lc GROUP BY 1, 2),
 lo AS (SELECT bank_s AS bank_id, source AS account_id, CAST(sum(amount) AS DOUBLE) AS ot, count(*) AS no_ FROM lc GROUP BY 1, 2),
 lf AS (SELECT bank_id, account_id, coalesce(ti, 0) AS ti, coalesce(ni, 0) AS ni, coalesce(us, 0) AS us, coalesce(ot, 0) AS ot, coalesce(no_, 0) AS no_ FROM li FULL JOIN lo USING (bank_id, account_id)),
@@ -252,6 +346,13 @@ ro AS (SELECT start, node, km, len(path) AS stops, CASE WHEN list_contains(modes
 ENTRY_SQL = """ps AS (SELECT DISTINCT id FROM ni JOIN points ON district = name WHERE event_type = 'view' AND k = 13),
 en AS (SELECT * FROM (SELECT ro.*, row_number() OVER (PARTITION BY node ORDER BY round(plausibility, 6) DESC, start) AS place FROM ro WHERE start IN (SELECT id FROM ps)) WHERE place <= 3)"""
 ORACLES = {
+    "w11_cities": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT city, name, round(lat, 4) AS lat, round(lon, 4) AS lon, array_to_string(modes, ',') AS modes, hub, stops FROM ct_", "points", recursive=True),
+    "w11_merged": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT src, dst, round(km, 3) AS km, mode, kind FROM mg", "points", recursive=True),
+    "w13_by_mode": oracle(f"WITH {NODES_SQL}, {CITY_SQL}, {MODES_SQL} SELECT prefer, start, node, round(cost, 3) AS cost, path || '>' || node AS path FROM bs JOIN (SELECT prefer, start, node, string_agg(src, '>' ORDER BY back DESC) AS path FROM lg GROUP BY 1, 2, 3) USING (prefer, start, node)", "points", recursive=True),
+    "w15_alternatives": oracle(f"WITH {NODES_SQL}, {CITY_SQL}, {MODES_SQL}, {CHOICE_SQL} SELECT start, node, CAST(place AS INT) AS place, signature, round(km, 3) AS km, legs, fir, plausibility FROM al", "points", recursive=True),
+    "w16_entry_routes": oracle(f"""WITH {NODES_SQL}, {CITY_SQL}, {MODES_SQL}, {CHOICE_SQL}, pr_ AS (SELECT DISTINCT city FROM ct_ JOIN points ON district = name WHERE event_type = 'view' AND k = 13)
+        SELECT node, CAST(place AS INT) AS place, start, signature, plausibility FROM (SELECT al.* EXCLUDE (place), row_number() OVER (PARTITION BY node ORDER BY plausibility DESC, start, signature) AS place FROM al JOIN ct_ a ON a.city = start JOIN ct_ b ON b.city = node
+        WHERE start IN (SELECT city FROM pr_) AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} >= 5) WHERE place <= 4""", "points", recursive=True),
     "w12_access": oracle(f"""WITH {NODES_SQL}, ni AS (SELECT *, corridor || ':' || idx AS id FROM nd), pl AS (SELECT district AS place, min(struct_pack(a := lat, b := lon)) AS p FROM points GROUP BY 1),
         ds AS (SELECT place, id AS node, {hav('p.a', 'p.b', 'lat', 'lon')} AS km FROM pl, ni) SELECT place, node, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, node) AS r, min(km) OVER (PARTITION BY place) AS least_ FROM ds)
         WHERE km <= 5 OR (least_ > 5 AND r = 1)""", "points"),
@@ -286,6 +387,7 @@ ORACLES = {
         w0 AS (SELECT account_id AS i, (CAST(substr(account_id, 2) AS BIGINT) % 7)::DOUBLE AS t0 FROM members), w1 AS ({_T.format(c='', p=0, m='', k=1)}), w2s AS ({_T.format(c='2 * ', p=1, m='', k=2)}), w2 AS (SELECT i, t2 - t0 AS t2 FROM w2s JOIN w0 USING (i)),
         w3s AS ({_T.format(c='2 * ', p=2, m='', k=3)}), w3 AS (SELECT i, t3 - t1 AS t3 FROM w3s JOIN w1 USING (i))
         SELECT i, round(t0, 8) AS t0, round(t1, 8) AS t1, round(t2, 8) AS t2, round(t3, 8) AS t3 FROM w0 JOIN w1 USING (i) JOIN w2 USING (i) JOIN w3 USING (i)""", "p2p", "members"),
+    "p06_bands": oracle(f"WITH {EDGES_SQL}, {BANDS_SQL} SELECT i, " + ", ".join(f"round(sum(c * {x}) FILTER (WHERE band = {b}), 6) + 0.0e0 AS b{b}_{n}" for b in range(4) for n, x in enumerate("uv")) + " FROM ya JOIN cf USING (k) GROUP BY i", "p2p", "members"),
     "b01_banks": oracle(f"WITH {OWNERS_SQL} SELECT community, size, bank_id FROM bk", "p2p", "members"),
     "b02_b03_cut": oracle(f"WITH {OWNERS_SQL} SELECT bank_s, bank_t, cross_ AS \"cross\", count(*) AS transfers, count(DISTINCT source || '>' || target) AS pairs FROM cu GROUP BY 1, 2, 3", "p2p", "members"),
     "b07_pair_scores": oracle(f"""SELECT o.vec_id AS out_id, i.vec_id AS in_id, round(0.2 * {COS} + 0.4 * greatest(0, 1 - 0.3 * abs(o.amount_cents - i.amount_cents)) + 0.4 * greatest(0, 1 - 0.1 * abs(o.time_sec - i.time_sec)), 6) AS score
