@@ -45,16 +45,19 @@ def origins(snapped: DataFrame, nodes: DataFrame, far: float = 150) -> DataFrame
     return ranked.where("_r = 1").select("corridor", F.col("name").alias("origin"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("walked").alias("walked_km"))
 
 
-def trails(seizures: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row a corridor: seizures, radius, origin, reports near the corridor and near the origin, confidence and band."""
-    s = materialise(snap(seizures, nodes))
+def shaped(s: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """Per corridor of snapped seizures: their number, centre and radius, the origin and the reports within 80 km of it."""
     centre = s.groupBy("corridor").agg(F.count("*").alias("n"), F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
     radius = s.join(centre, "corridor").groupBy("corridor").agg(F.max(haversine("lat", "lon", "c_lat", "c_lon")).alias("r"))
     origin = origins(s, nodes)
-    hits = grid_join(reports, nodes, 80).select("r.corridor", "l.event_id").distinct().groupBy("corridor").agg(F.count("*").alias("fir"))
     at = origin.select("corridor", F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))
     near = grid_join(reports, at, 80).select("r.corridor", "l.event_id").distinct().groupBy("corridor").agg(F.count("*").alias("fir_origin"))
-    t = centre.join(radius, "corridor").join(origin, "corridor", "left").join(hits, "corridor", "left").join(near, "corridor", "left").na.fill(0, ["fir", "fir_origin"])
+    return centre.join(radius, "corridor").join(origin, "corridor", "left").join(near, "corridor", "left")
+
+
+def scored(t: DataFrame) -> DataFrame:
+    """radius_km, confidence and band of corridors with n, r, origin, fir and fir_origin."""
+    t = t.na.fill(0, ["fir", "fir_origin"])
     rad = F.when(F.col("n") > 1, F.col("r")).otherwise(0.0)
     tight = F.when(F.col("n") < 2, 0.0).when(rad > 0, F.greatest(F.lit(0.0), 1 - rad / 150)).otherwise(1.0)
     place = F.when(F.col("fir_origin") > 0, 1.0).when(F.col("origin").isNotNull(), 0.3).otherwise(0.0)
@@ -63,6 +66,13 @@ def trails(seizures: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFra
     return out.withColumn("band", F.when(F.col("confidence") >= 0.6, "high").when(F.col("confidence") >= 0.35, "medium").otherwise("low"))
 
 
+def trails(seizures: DataFrame, nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row a corridor: seizures, radius, origin, reports near the corridor and near the origin, confidence and band."""
+    s = materialise(snap(seizures, nodes))
+    hits = grid_join(reports, nodes, 80).select("r.corridor", "l.event_id").distinct().groupBy("corridor").agg(F.count("*").alias("fir"))
+    return scored(shaped(s, nodes, reports).join(hits, "corridor", "left"))
+
+
 def flow(snapped: DataFrame, nodes: DataFrame, least: float = 5.0) -> DataFrame:
     """Least squares of the distance along a corridor against the day: slope, R2 and direction."""
     placed = snapped.join(cumulative(nodes).select("corridor", "idx", "cum"), ["corridor", "idx"]).withColumn("day", F.col("t") / 86400)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from kestrel.functions.geo import grid_join
 from kestrel.operators import banks as B
+from kestrel.operators import provenance as V
 from kestrel.operators import routes as R
 from kestrel.operators import spectral as P
 from kestrel.operators import trail as T
@@ -64,6 +67,41 @@ def w08_best_trail(spark, sf):
     return t.orderBy(F.desc("confidence"), "corridor").limit(1).select("corridor", F.round("confidence", 4).alias("confidence"), "band")
 
 
+def scoped(spark, sf):
+    """(snapped, nodes of tracks, trails) of all scopes."""
+    seized = view(spark, sf, "notes").where("verdict = 'fake'").select("event_id", "lat", "lon", "t", "district")
+    s, own = V.tracks(seized, nodes(spark, sf))
+    return s, own, materialise(V.scoped_trails(s, own, nodes(spark, sf), reports(spark, sf)))
+
+
+def modes(spark, sf):
+    return stops(spark, sf).select(F.col("corridor").alias("base"), "mode").distinct()
+
+
+def w07_forecast(spark, sf):
+    s, own, trails = scoped(spark, sf)
+    made = V.forecast(s, own, trails.where("origin IS NOT NULL"))
+    return made.select("corridor", F.round("km_per_day", 3).alias("km_per_day"), F.round("r2", 5).alias("r2"), "n", "toward", "next_hub", *[F.round(c, 3).alias(c) for c in ("away_km", "days_min", "days_max")], "origin_behind")
+
+
+def w08_by_mode(spark, sf):
+    best = V.best_trails(scoped(spark, sf)[2], modes(spark, sf))
+    return best.select("scope", "asked", "place", "base", "n", "origin", F.round("confidence", 4).alias("confidence"), "band")
+
+
+def w09_evidence(spark, sf):
+    s, own, trails = scoped(spark, sf)
+    near = grid_join(reports(spark, sf), nodes(spark, sf), 80).select(F.col("r.corridor").alias("base"), "l.event_id")
+    made = V.evidence(trails, V.forecast(s, own, trails.where("origin IS NOT NULL")), near)
+    return made.select("corridor", F.posexplode("items").alias("place", "i")).select("corridor", "place", "i.*")
+
+
+def w10_scoped(spark, sf):
+    districts = view(spark, sf, "points").select("district")
+    best = materialise(V.best_trails(scoped(spark, sf)[2], modes(spark, sf)))
+    return V.with_fallback(best, districts).withColumn("confidence", F.round("confidence", 4))
+
+
 def w11_network(spark, sf):
     return T.network(nodes(spark, sf), 200).select("src", "dst", F.round("km", 3).alias("km"), "mode")
 
@@ -274,7 +312,7 @@ def b11_b12_privacy(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w11_network, w12_access, w11_cities, w11_merged, w13_by_mode, w15_alternatives, w16_entry_routes, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets, p06_bands,
+        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w07_forecast, w08_by_mode, w09_evidence, w10_scoped, w11_network, w12_access, w11_cities, w11_merged, w13_by_mode, w15_alternatives, w16_entry_routes, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets, p06_bands,
         b01_banks, b02_b03_cut, b04_local_features, b05_embeddings, b07_pair_scores, b08_matches, b09_match_quality, b11_b12_privacy,
     )
 }
@@ -290,6 +328,18 @@ fo AS (SELECT corridor, count(DISTINCT event_id) AS fir_origin FROM fr JOIN og O
 tz AS (SELECT corridor, n, CASE WHEN n > 1 THEN r ELSE 0 END AS radius_km, origin, walked AS walked_km, coalesce(fir, 0) AS fir, coalesce(fir_origin, 0) AS fir_origin FROM ct JOIN rd USING (corridor) LEFT JOIN og USING (corridor) LEFT JOIN fh USING (corridor) LEFT JOIN fo USING (corridor)),
 tc AS (SELECT *, least(0.35 * least(0.2 + (n - 1) * 0.2, 0.85) + 0.25 * CASE WHEN n < 2 THEN 0 WHEN radius_km > 0 THEN greatest(0, 1 - radius_km / 150) ELSE 1 END + 0.25 * least(fir * 0.5, 1.0)
   + 0.15 * CASE WHEN fir_origin > 0 THEN 1.0 WHEN origin IS NOT NULL THEN 0.3 ELSE 0 END, 0.85) AS cf FROM tz)"""
+_SCOPED = re.sub(r"\b(sn|cm|ct|rd|en|wk|og|fh|fo|tz|tc)\b(?!\()", r"\g<1>_2", TRAIL_SQL)
+SCOPED_SQL = f"""sn_2 AS (SELECT scope || '|' || corridor AS corridor, corridor AS base, scope, event_id, idx, lat, lon, t FROM (SELECT sn.*, unnest(['', district]) AS scope FROM sn JOIN (SELECT event_id, district FROM notes) USING (event_id))),
+tk AS (SELECT DISTINCT corridor, base, scope FROM sn_2), cm_2 AS (SELECT tk.corridor, cm.* EXCLUDE (corridor) FROM tk JOIN cm ON cm.corridor = base), fa AS (SELECT DISTINCT corridor AS base, event_id FROM fr JOIN nd ON {hav('fr.lat', 'fr.lon', 'nd.lat', 'nd.lon')} <= 80),
+{re.sub(r"fh_2 AS [^\n]*", "fh_2 AS (SELECT tk.corridor, count(*) AS fir FROM tk JOIN fa USING (base) GROUP BY 1),", _SCOPED)},
+md_ AS (SELECT tk.*, tc_2.* EXCLUDE (corridor), ['rail', 'ship', 'air', 'rail', 'road'][base + 1] AS mode FROM tc_2 JOIN tk USING (corridor)),
+bt AS (SELECT *, row_number() OVER (PARTITION BY scope, asked = 'any' ORDER BY round(cf, 9) DESC, asked) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scope, asked ORDER BY round(cf, 9) DESC, base) AS r FROM (SELECT *, unnest(['any', mode]) AS asked FROM md_)) WHERE r = 1),
+ft AS (SELECT corridor, regr_slope(cum, t / 86400.0e0) AS slope, regr_r2(cum, t / 86400.0e0) AS r2, count(t) AS n, min(idx) AS lo, max(idx) AS hi, min(cum) < max(cum) AND min(t) < max(t) AS ok FROM sn_2 JOIN cm_2 USING (corridor, idx) GROUP BY 1),
+fm AS (SELECT ft.*, CASE WHEN slope > 0 THEN 1 ELSE -1 END AS sg, CASE WHEN slope > 0 THEN hi ELSE lo END AS edge, CASE WHEN slope > 0 THEN l ELSE f END AS end_ FROM ft JOIN en_2 USING (corridor) WHERE ok AND n >= 2 AND abs(slope) >= 5),
+fn AS (SELECT fm.*, e.cum AS ec, z.name AS toward FROM fm JOIN cm_2 e ON e.corridor = fm.corridor AND e.idx = edge JOIN cm_2 z ON z.corridor = fm.corridor AND z.idx = end_),
+nh AS (SELECT fn.corridor, c.name, abs(c.cum - ec) AS away, row_number() OVER (PARTITION BY fn.corridor ORDER BY (c.idx - edge) * sg) AS r FROM fn JOIN cm_2 c ON c.corridor = fn.corridor WHERE (c.idx - edge) * sg > 0 AND (c.hub OR c.idx = end_)),
+fc_ AS (SELECT fn.corridor, slope, r2, n, toward, CASE WHEN away > 1 THEN nh.name END AS next_hub, CASE WHEN away > 1 THEN away END AS away, CASE WHEN away > 1 THEN away / abs(slope) END AS due, (o.cum - ec) * sg <= 0 AS behind
+  FROM fn LEFT JOIN nh ON nh.corridor = fn.corridor AND nh.r = 1 LEFT JOIN (SELECT og_2.corridor, min(cum) AS cum FROM og_2 JOIN cm_2 ON cm_2.corridor = og_2.corridor AND name = origin GROUP BY 1) o ON o.corridor = fn.corridor)"""
 NET_SQL = f"""ni AS (SELECT *, corridor || ':' || idx AS id FROM nd), e1 AS (SELECT a.id AS src, b.id AS dst, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, 'rail' AS mode FROM ni a JOIN ni b ON a.corridor = b.corridor AND b.idx = a.idx + 1
   UNION ALL SELECT a.id, b.id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 'road' FROM ni a JOIN ni b ON a.corridor < b.corridor AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200),
 ne AS (SELECT src, dst, km, mode FROM e1 UNION ALL SELECT dst, src, km, mode FROM e1)"""
@@ -346,6 +396,17 @@ ro AS (SELECT start, node, km, len(path) AS stops, CASE WHEN list_contains(modes
 ENTRY_SQL = """ps AS (SELECT DISTINCT id FROM ni JOIN points ON district = name WHERE event_type = 'view' AND k = 13),
 en AS (SELECT * FROM (SELECT ro.*, row_number() OVER (PARTITION BY node ORDER BY round(plausibility, 6) DESC, start) AS place FROM ro WHERE start IN (SELECT id FROM ps)) WHERE place <= 3)"""
 ORACLES = {
+    "w07_forecast": oracle(f"WITH {NODES_SQL}, {SNAP_SQL}, {SCOPED_SQL} SELECT corridor, round(slope, 3) AS km_per_day, round(r2, 5) AS r2, n, toward, next_hub, round(away, 3) AS away_km, round(due * 0.7e0, 3) AS days_min, round(due * 1.5e0, 3) AS days_max, behind AS origin_behind FROM fc_", "notes"),
+    "w08_by_mode": oracle(f"WITH {NODES_SQL}, {SNAP_SQL}, {SCOPED_SQL} SELECT scope, asked, CAST(place AS INT) AS place, base, n, origin, round(cf, 4) AS confidence, CASE WHEN cf >= 0.6 THEN 'high' WHEN cf >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM bt", "notes"),
+    "w09_evidence": oracle(f"""WITH {NODES_SQL}, {SNAP_SQL}, {SCOPED_SQL}, ei AS (SELECT corridor, 0 AS o, 'corridor_snap' AS type, n || ' seizures lie on the corridor' AS detail, 0.35e0 AS weight FROM md_
+        UNION ALL SELECT corridor, 1, 'seizure_cluster', n || ' seizures within ' || CAST(round(radius_km, 0) AS BIGINT) || ' km', 0.25e0 FROM md_ WHERE n >= 2 UNION ALL SELECT corridor, 2, 'corridor_terminus', 'none seized towards ' || origin, 0.15e0 FROM md_ WHERE origin IS NOT NULL
+        UNION ALL SELECT corridor, 3, 'temporal_flow', 'moves towards ' || toward || ' by ' || CAST(round(abs(slope), 0) AS BIGINT) || ' km a day', 0.15e0 FROM fc_ WHERE r2 >= 0.5
+        UNION ALL SELECT corridor, 3 + q, 'fir_mention', 'report ' || event_id, round(0.25e0 / fir, 4) FROM md_ JOIN (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS q FROM fa) USING (base) WHERE q <= 3)
+        SELECT corridor, CAST(row_number() OVER (PARTITION BY corridor ORDER BY o) - 1 AS INT) AS place, type, detail, weight FROM ei""", "notes"),
+    "w10_scoped": oracle(f"""WITH {NODES_SQL}, {SNAP_SQL}, {SCOPED_SQL}, wt AS (SELECT DISTINCT district, asked AS mode FROM points, bt WHERE asked <> 'any'),
+        lv AS (SELECT wt.*, v.turn, v.level, CASE WHEN turn < 2 THEN district ELSE '' END AS scope, CASE WHEN turn % 2 = 0 THEN mode ELSE 'any' END AS asked FROM wt, (VALUES (0, 'district'), (1, 'district any mode'), (2, 'all'), (3, 'all any mode')) v(turn, level)),
+        f1 AS (SELECT lv.district, lv.mode, level, bt.base, n, origin, cf, row_number() OVER (PARTITION BY lv.district, lv.mode ORDER BY turn) AS r FROM lv JOIN bt USING (scope, asked) WHERE origin IS NOT NULL)
+        SELECT district, mode, level, base, n, origin, round(cf, 4) AS confidence, CASE WHEN cf >= 0.6 THEN 'high' WHEN cf >= 0.35 THEN 'medium' WHEN cf IS NOT NULL THEN 'low' END AS band FROM wt LEFT JOIN (SELECT * FROM f1 WHERE r = 1) USING (district, mode)""", "notes"),
     "w11_cities": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT city, name, round(lat, 4) AS lat, round(lon, 4) AS lon, array_to_string(modes, ',') AS modes, hub, stops FROM ct_", "points", recursive=True),
     "w11_merged": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT src, dst, round(km, 3) AS km, mode, kind FROM mg", "points", recursive=True),
     "w13_by_mode": oracle(f"WITH {NODES_SQL}, {CITY_SQL}, {MODES_SQL} SELECT prefer, start, node, round(cost, 3) AS cost, path || '>' || node AS path FROM bs JOIN (SELECT prefer, start, node, string_agg(src, '>' ORDER BY back DESC) AS path FROM lg GROUP BY 1, 2, 3) USING (prefer, start, node)", "points", recursive=True),
