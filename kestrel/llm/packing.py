@@ -23,6 +23,8 @@ from kestrel.session import materialise
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fraction of a repeat from which it counts as a whole one.
 ROUND_UP = 0.8
+#: Pairs leave at most one part in so many of a sequence, triples so many tokens; cost of a gap of a whole sequence, in highest counts.
+PAIR_GAP, TRIPLE_GAP, GAP_COST = 8, 1, 0.3
 #: Rows that one task numbers at a time when pieces of one length are ranked.
 PART_ROWS = 1000
 
@@ -100,23 +102,36 @@ def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, size: int, end_
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
-    """All pairs and triples of lengths in use that fill a sequence exactly; a pair has 0 as its third."""
+    """Pairs and triples of lengths in use that nearly fill a sequence: pairs leave at most an eighth of it, triples TRIPLE_GAP; a pair has 0 as
+    its third."""
     size = len(counts) - 1
     used = np.flatnonzero(counts[:size] > 0)
     used = used[used > 0]
     a, b = (x.ravel() for x in np.meshgrid(used, used, indexing="ij"))
     keep = a >= b
     a, b = a[keep], b[keep]
-    c = size - a - b
-    keep = (c == 0) | ((c > 0) & (c <= b) & (counts[np.clip(c, 0, size)] > 0))
-    return np.stack([a[keep], b[keep], c[keep]], 1)
+    rest = size - a - b
+    two = (rest >= 0) & (rest <= size // PAIR_GAP)
+    found = [np.stack([a[two], b[two], np.zeros_like(a[two])], 1)]
+    for gap in range(TRIPLE_GAP + 1):
+        c = rest - gap
+        three = (c > 0) & (c <= b) & (counts[np.clip(c, 0, size)] > 0)
+        found.append(np.stack([a[three], b[three], c[three]], 1))
+    return np.concatenate(found)
+
+
+def gap_costs(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What one repeat of each pattern costs in the fit: its gap as a share of the sequence, in terms of the highest count."""
+    size = len(counts) - 1
+    return GAP_COST * max(1, counts.max()) * (size - rows.sum(1)) / size
 
 
-def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 3e-3) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative least squares of pattern repeats against the histogram: (pattern numbers, repeats), to its optimality conditions.
 
-    An active-set method. Each round admits the patterns of the largest gradients that share no length and solves on those held;
-    patterns that would repeat a negative number of times are dropped at once, or, where that does not lower the objective,
+    Half the weighted squares of what is short or over in each length, plus the cost of the gaps, is least. An active-set method:
+    each round admits the patterns of the largest gradients that share no length and solves on those held; patterns
+    that would repeat a negative number of times are dropped at once, or, where that does not lower the objective,
     one at a time on the way to the solution, which always does. It ends when no pattern outside has a gradient over
     ``tolerance`` of the highest count. The solution has at most as many patterns as there are lengths. Longer lengths weigh
     more: short pieces fill gaps anyway.
@@ -124,30 +139,37 @@ def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 1e-3) -> tuple[
     size = len(counts) - 1
     weight = 0.2 + np.arange(size + 1) / size
     weight[0] = 0.0
-    root = np.sqrt(weight)
+    cost, least = gap_costs(rows, counts), tolerance * max(1, counts.max())
+
+    def products(held):
+        """Of every two held patterns, the weights of the lengths that they share."""
+        own = rows[held]
+        return sum((own[:, i, None] == own[None, :, j]) * weight[own[:, i], None] for i in range(3) for j in range(3))
 
-    def solved(held):
-        a = np.zeros((size + 1, len(held)))
-        for i in range(3):
-            np.add.at(a, (rows[held, i], np.arange(len(held))), root[rows[held, i]])
-        return np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(held)), a.T @ (root * counts))
+    def solved(table, target):
+        return np.linalg.solve(table + 1e-9 * np.eye(len(target)), target)
 
     def short(held, value):
         return counts - np.bincount(rows[held].ravel(), np.repeat(value, 3), size + 1)
 
-    def dropped_at_once(held):
+    def objective(held, value):
+        return (weight * short(held, value) ** 2).sum() / 2 + (cost[held] * value).sum()
+
+    def dropped_at_once(table, target):
+        at = np.arange(len(target))
         while True:
-            value = solved(held)
+            value = solved(table[np.ix_(at, at)], target[at])
             if (value > 0).all():
-                return held, value
-            held = held[value > 0]
+                return at, value
+            at = at[value > 0]
 
-    def dropped_singly(held, value):
+    def dropped_singly(table, target, value):
+        at = np.arange(len(target))
         while True:
-            to = solved(held)
+            to = solved(table[np.ix_(at, at)], target[at])
             bad = to <= 0
             if not bad.any():
-                return held, to
+                return at, to
             fresh = bad & (value == 0)
             if fresh.any():
                 keep = ~fresh
@@ -155,13 +177,13 @@ def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 1e-3) -> tuple[
                 way = (value[bad] / (value[bad] - to[bad])).min()
                 value = np.maximum(value + way * (to - value), 0)
                 keep = value > 1e-9
-            held, value = held[keep], value[keep]
+            at, value = at[keep], value[keep]
 
     held, value, lowest = np.zeros(0, int), np.zeros(0), math.inf
     while True:
-        gain = (short(held, value) * weight)[rows].sum(1)
+        gain = (short(held, value) * weight)[rows].sum(1) - cost
         gain[held] = 0
-        good = np.flatnonzero(gain > tolerance * max(1, counts.max()))
+        good = np.flatnonzero(gain > least)
         if not len(good):
             return held, value
         taken, new = np.zeros(size + 1, bool), []
@@ -171,21 +193,24 @@ def fit(rows: np.ndarray, counts: np.ndarray, tolerance: float = 1e-3) -> tuple[
                 taken[own] = True
                 new.append(p)
         wider = np.concatenate([held, np.array(new, int)])
-        found = dropped_at_once(wider)
-        objective = (weight * short(*found) ** 2).sum()
-        if objective >= lowest * (1 - 1e-9):
-            found = dropped_singly(wider, np.concatenate([value, np.zeros(len(new))]))
-            objective = (weight * short(*found) ** 2).sum()
-            if objective >= lowest * (1 - 1e-12):
+        table, target = products(wider), (weight * counts)[rows[wider]].sum(1) - cost[wider]
+        at, found = dropped_at_once(table, target)
+        now = objective(wider[at], found)
+        if now >= lowest - 1e-9 * abs(lowest):
+            at, found = dropped_singly(table, target, np.concatenate([value, np.zeros(len(new))]))
+            now = objective(wider[at], found)
+            if now >= lowest - 1e-12 * abs(lowest):
                 return held, value  # as far as the arithmetic goes
-        held, value, lowest = *found, objective
+        held, value, lowest = wider[at], found, now
 
 
-def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing over a histogram: whole classes of equal sequences at a time, so the work depends on the
-    number of lengths and not on the number of pieces."""
+def best_fit(counts: np.ndarray, opened: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over a histogram, beginning with the sequences ``opened``: whole classes of equal sequences at a time, so the work
+    depends on the number of lengths and not on the number of pieces."""
     size = len(counts) - 1
     room: dict[int, list[list]] = {}  # capacity left -> [pattern, sequences]
+    for pattern, n in opened:
+        room.setdefault(size - sum(pattern), []).append([pattern, n])
     for length in range(size, 0, -1):
         left = int(counts[length])
         for capacity in sorted(c for c in room if c >= length):
@@ -229,17 +254,13 @@ def fitted(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.nd
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) for a histogram of piece lengths: rounded repeats of fitted patterns, then the residual packed best-fit.
-    Patterns fill a sequence exactly, so where long pieces outnumber what fits beside them the fit can strand these; if plain
-    best-fit needs fewer sequences, it is taken."""
+    """(pattern, repeats) for a histogram of piece lengths: rounded repeats of fitted patterns, then the residual packed best-fit into
+    what they leave and into sequences of its own."""
     size = len(counts) - 1
     rest = counts.copy()
     rest[size] = 0
-    alone = [((size,), int(counts[size]))] if counts[size] else []
     made, left = fitted(rest)
-    made += best_fit(left)
-    plain = best_fit(rest)
-    return alone + (plain if sum(n for _, n in plain) < sum(n for _, n in made) else made)
+    return ([((size,), int(counts[size]))] if counts[size] else []) + best_fit(left, made)
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
