@@ -220,6 +220,63 @@ SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS canonical_sha256, known.l
 FROM d LEFT JOIN known USING (c) LEFT JOIN stated USING (doc_id)
 """
 
+#: CRC-32 byte by byte: ``crc`` over the list of a text's UTF-8 bytes, with the table ``t`` beside it.
+CRC_SQL = """crc_t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    byte = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_PART_SQL = "coalesce(strlen({0}) || ':' || {0}, '-')"
+
+
+def _leaf_sql(more: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST(n_chars + {more} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(_PART_SQL.format(f) for f in fields) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql('0')} AS leaf, CASE WHEN {_crc_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf_sql('1')} END AS changed FROM documents, crc_t),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+lv(tree, level, pos, h, n) AS (SELECT tree, 0, pos, leaf, n FROM p
+  UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM lv WHERE n > 1 GROUP BY tree, level, pos // 2),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+tp(level, pos, h, n) AS (SELECT 0, pos, subroot, n FROM sub
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM tp WHERE n > 1 GROUP BY level, pos // 2),
+-- The trees of the groups, and the one above them as tree 'top'.
+nd AS (SELECT * FROM lv UNION ALL SELECT 'top', * FROM tp),
+up(tree, own, level, pos, proof, f) AS (SELECT tree, pos, 0, pos, '', coalesce(changed, leaf) FROM p
+  UNION ALL SELECT up.tree, own, up.level + 1, up.pos // 2, proof || coalesce(b.h, ''), sha256(CASE WHEN up.pos % 2 = 0 THEN f || coalesce(b.h, '') ELSE b.h || f END)
+  FROM up JOIN nd a ON a.tree = up.tree AND a.level = up.level AND a.pos = up.pos AND a.n > 1 LEFT JOIN nd b ON b.tree = up.tree AND b.level = up.level AND b.pos = xor(up.pos, 1)),
+mid AS (SELECT up.* FROM up JOIN nd a ON a.tree = up.tree AND a.level = up.level AND a.pos = up.pos AND a.n = 1),
+ov(tree, own, level, pos, proof, f) AS (SELECT mid.tree, own, 0, sub.pos, proof, f FROM mid JOIN sub USING (tree)
+  UNION ALL SELECT ov.tree, own, ov.level + 1, ov.pos // 2, proof || coalesce(b.h, ''), sha256(CASE WHEN ov.pos % 2 = 0 THEN f || coalesce(b.h, '') ELSE b.h || f END)
+  FROM ov JOIN nd a ON a.tree = 'top' AND a.level = ov.level AND a.pos = ov.pos AND a.n > 1 LEFT JOIN nd b ON b.tree = 'top' AND b.level = ov.level AND b.pos = xor(ov.pos, 1)),
+rt AS (SELECT h AS root, level AS depth FROM tp WHERE n = 1)
+SELECT p.doc_id, p.leaf, sub.subroot, root, sha256(ov.proof) AS proof_sha256, ov.f AS folded_root, ov.f = root AS verified
+FROM p JOIN sub USING (tree) JOIN ov ON ov.tree = p.tree AND ov.own = p.pos JOIN rt ON ov.level = depth
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc_sql("(id || ':' || run)")} AS h FROM u, crc_t),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+-- Near words share a text with a letter left out at the same place, or one is the other with a letter left out.
+k AS (SELECT word, n, length(word) AS l, i, left(word, i) || '*' || substr(word, i + 2) AS k, left(word, i) || substr(word, i + 2) AS o FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n AS n_other FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.o UNION SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = k.o),
+m AS (SELECT word, count(*) AS n_near, min(struct_pack(a := -n_other, b := other)) AS b FROM e GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.a >= 10 * w.n THEN b.b END AS form, CASE WHEN -b.a >= 10 * w.n THEN -b.a END AS form_n FROM w LEFT JOIN m USING (word)),
+g(word, at_) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at_ WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.at_ AS root, f.n, f.n_near, f.form_n FROM f JOIN g USING (word) JOIN f z ON z.word = g.at_ WHERE z.form IS NULL
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
@@ -235,4 +292,4 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_licence_scan": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_spelling_variants": OP13_SQL}
