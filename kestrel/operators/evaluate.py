@@ -3,13 +3,18 @@ windows run over distinct scores and not over rows."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kestrel.session import materialise
+
 
-#: Ranges of scores between 0 and 1.
-RANGES = 4096
+#: Ranges that scores are cut into, of about as many distinct scores each.
+RANGES = 1024
 
 
 def by_score(df: DataFrame) -> DataFrame:
@@ -17,10 +22,14 @@ def by_score(df: DataFrame) -> DataFrame:
 
 
 def cumulated(t: DataFrame, columns: list[str], down: bool) -> DataFrame:
-    """Append the running sum of each column (as name_c) over the scores from the highest down or the lowest up. Scores are cut into
-    ranges; sums run inside a range and are shifted by a prefix sum over the ranges, so no task sees all scores. Scores are taken to
-    lie about 0 to 1, which bounds the ranges."""
-    parted = t.withColumn("_p", F.floor(F.col("score") * RANGES))
+    """Append the running sum of each column (as name_c) over the distinct scores of ``t`` from the highest down or the lowest up. Scores are cut
+    into ranges at approximate quantiles of themselves, so that nearly equal scores fill no range either; sums run inside a range and
+    are shifted by a prefix sum over the ranges, so no task sees all scores. The cuts are at most RANGES numbers. Null scores have no row."""
+    t = materialise(t.where("score IS NOT NULL"))
+    score = F.col("score").cast("double")
+    cuts = t.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    splits = [-math.inf, *sorted({c for c in cuts if not math.isnan(c)} or {0.0}), math.inf]
+    parted = Bucketizer(splits=splits, inputCol="_x", outputCol="_p", handleInvalid="keep").transform(t.withColumn("_x", score)).drop("_x")
     sums = parted.groupBy("_p").agg(*[F.sum(c).alias(c) for c in columns])
     order = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
     before = W.orderBy(order("_p")).rowsBetween(W.unboundedPreceding, -1)  # one row a range
