@@ -1,4 +1,4 @@
-"""Trails of every scope with a forecast and their evidence (W7-W10). A scope is a district, or "" for all seizures."""
+"""Trails of every scope with a forecast, their evidence and the routes behind them (W7-W10, W18). A scope is a district, or "" for all seizures."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.functions.geo import grid_join
-from kestrel.operators.trail import cumulative, origins, scored, shaped, snap
+from kestrel.operators.routes import MODE_RISK, alternatives, told
+from kestrel.operators.trail import attach, cumulative, scored, shaped, snap
 from kestrel.session import materialise
 
 ALL = ""
@@ -96,3 +97,31 @@ def evidence(trails: DataFrame, flows: DataFrame, near: DataFrame, most: int = 3
     )
     told = F.transform(F.coalesce("cited", F.array().cast("array<bigint>")), lambda e: item("fir_mention", F.concat(F.lit("report "), e.cast("string")), 0.25 / F.greatest(F.col("fir"), F.lit(1))))
     return t.select("corridor", F.concat(F.filter(fixed, lambda x: x.isNotNull()), told).alias("items"))
+
+
+def provenance(best: DataFrame, cities: DataFrame, found: tuple[DataFrame, DataFrame], reports: DataFrame, reach: float = 70, most: int = 4) -> DataFrame:
+    """For each scope's best trail (scope, origin, o_lat, o_lon, c_lat, c_lon) the ``most`` likeliest routes from its origin to the middle of its seizures.
+
+    ``found`` is (best, legs) of cheapest_by_mode. The origin is its nearest city; the middle is reached by road from the cities within ``reach``, or the
+    nearest one. As nothing leads on from it, its cheapest route is the least over those cities, so no search is run again. Rows: scope, place,
+    signature, km, legs, fir, plausibility, and in place 1 a line that sums the scope up.
+    """
+    costs_, legs = found
+    known = materialise(best.where("origin IS NOT NULL").select("scope", "origin", "o_lat", "o_lon", "c_lat", "c_lon"))
+    placed = cities.select(F.col("city").alias("id"), "lat", "lon")
+    spot = lambda a, b: known.select(F.col("scope").alias("place"), F.col(a).alias("lat"), F.col(b).alias("lon"))
+    near_origin = attach(spot("o_lat", "o_lon"), placed, 8).groupBy("place").agg(F.min(F.struct("km", "node")).alias("m"))
+    start = materialise(near_origin.select(F.col("place").alias("scope"), F.col("m.node").alias("start")))
+    access = materialise(attach(spot("c_lat", "c_lon"), placed, reach).select(F.col("place").alias("scope"), "node", F.col("km").alias("last")))
+    offered = start.join(access, "scope").join(costs_, ["start", "node"]).withColumn("total", F.round(F.col("cost") + F.col("last") * MODE_RISK["road"], 9))
+    via = materialise(offered.groupBy("scope", "start", "prefer").agg(F.min(F.struct("total", "node", "last")).alias("v")).select("scope", "start", "prefer", F.col("v.node").alias("node"), F.col("v.last").alias("last")))
+    end = F.concat(F.lit("*"), "scope")
+    before = via.join(legs, ["prefer", "start", "node"]).select("prefer", "start", end.alias("node"), (F.col("back") + 1).alias("back"), "src", "dst", "mode", "kind", "km", "own")
+    last = via.select("prefer", "start", end.alias("node"), F.lit(0).alias("back"), F.col("node").alias("src"), end.alias("dst"), F.lit("road").alias("mode"), F.lit("access").alias("kind"), F.col("last").alias("km"), (F.col("last") * MODE_RISK["road"]).alias("own"))
+    points = placed.unionByName(known.select(end.alias("id"), F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon")))
+    near = grid_join(reports, points, 80).select(F.col("r.id").alias("at"), "l.event_id").distinct()
+    chosen = alternatives(told(before.unionByName(last), near), most).withColumn("scope", F.expr("substr(node, 2)")).join(known.select("scope", "origin"), "scope")
+    others = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 1, F.struct("place", "signature"))).over(W.partitionBy("scope"))), lambda x: x["signature"]), "; ")
+    line = F.concat(F.lit("likeliest from "), "origin", F.lit(" by "), "signature", F.lit(", "), F.round("km", 0).cast("long").cast("string"), F.lit(" km"), F.when(F.col("fir") > 0, F.concat(F.lit(", "), F.col("fir").cast("string"), F.lit(" reports on the way"))).otherwise(""))
+    whole = chosen.withColumn("others", others).withColumn("line", F.when(F.col("place") == 1, F.when(F.col("others") != "", F.concat(line, F.lit("; else "), "others")).otherwise(line)))
+    return whole.select("scope", "place", "origin", "signature", "km", "legs", "fir", "plausibility", "line")

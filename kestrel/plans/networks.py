@@ -102,6 +102,12 @@ def w10_scoped(spark, sf):
     return V.with_fallback(best, districts).withColumn("confidence", F.round("confidence", 4))
 
 
+def w18_provenance(spark, sf):
+    cities, best, legs, _ = by_mode(spark, sf)
+    top = V.best_trails(scoped(spark, sf)[2], modes(spark, sf)).where("asked = 'any'")
+    return V.provenance(top, cities, (best, legs), reports(spark, sf)).withColumn("km", F.round("km", 3))
+
+
 def w11_network(spark, sf):
     return T.network(nodes(spark, sf), 200).select("src", "dst", F.round("km", 3).alias("km"), "mode")
 
@@ -312,7 +318,7 @@ def b11_b12_privacy(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w07_forecast, w08_by_mode, w09_evidence, w10_scoped, w11_network, w12_access, w11_cities, w11_merged, w13_by_mode, w15_alternatives, w16_entry_routes, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets, p06_bands,
+        w01_snapped, w03_cumulative, w02_w06_trails, w07_flow, w08_best_trail, w07_forecast, w08_by_mode, w09_evidence, w10_scoped, w18_provenance, w11_network, w12_access, w11_cities, w11_merged, w13_by_mode, w15_alternatives, w16_entry_routes, w13_cheapest, w14_routes, w15_plausibility, w16_entries, w17_route_facts, p01_laplacian, p02_rayleigh, p03_report, p04_spectrum, p05_matched_shift, p06_wavelets, p06_bands,
         b01_banks, b02_b03_cut, b04_local_features, b05_embeddings, b07_pair_scores, b08_matches, b09_match_quality, b11_b12_privacy,
     )
 }
@@ -407,6 +413,20 @@ ORACLES = {
         lv AS (SELECT wt.*, v.turn, v.level, CASE WHEN turn < 2 THEN district ELSE '' END AS scope, CASE WHEN turn % 2 = 0 THEN mode ELSE 'any' END AS asked FROM wt, (VALUES (0, 'district'), (1, 'district any mode'), (2, 'all'), (3, 'all any mode')) v(turn, level)),
         f1 AS (SELECT lv.district, lv.mode, level, bt.base, n, origin, cf, row_number() OVER (PARTITION BY lv.district, lv.mode ORDER BY turn) AS r FROM lv JOIN bt USING (scope, asked) WHERE origin IS NOT NULL)
         SELECT district, mode, level, base, n, origin, round(cf, 4) AS confidence, CASE WHEN cf >= 0.6 THEN 'high' WHEN cf >= 0.35 THEN 'medium' WHEN cf IS NOT NULL THEN 'low' END AS band FROM wt LEFT JOIN (SELECT * FROM f1 WHERE r = 1) USING (district, mode)""", "notes"),
+    "w18_provenance": oracle(f"""WITH {NODES_SQL}, {SNAP_SQL}, {SCOPED_SQL}, {CITY_SQL}, {MODES_SQL}, bw AS (SELECT bt.scope, bt.origin, o_lat, o_lon, c_lat, c_lon FROM bt JOIN og_2 USING (corridor) JOIN ct_2 USING (corridor) WHERE asked = 'any'),
+        fs AS (SELECT scope, arg_min(city, ({hav('o_lat', 'o_lon', 'lat', 'lon')}, city)) AS start FROM bw, ct_ GROUP BY 1), ak AS (SELECT scope, city, {hav('c_lat', 'c_lon', 'lat', 'lon')} AS km FROM bw, ct_),
+        ac AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY km, city) AS r FROM ak) WHERE km <= 70 OR r = 1),
+        cd AS (SELECT * FROM (SELECT prefer, scope, bs.start, city, km, row_number() OVER (PARTITION BY prefer, scope ORDER BY round(cost + km * 1.3e0, 9), city) AS q FROM fs JOIN ac USING (scope) JOIN bs ON bs.start = fs.start AND bs.node = city) WHERE q = 1),
+        l2 AS (SELECT lg.prefer, scope, back + 1 AS back, src, dst, mode, kind, lg.km, own, rk FROM cd JOIN lg ON lg.prefer = cd.prefer AND lg.start = cd.start AND lg.node = city UNION ALL SELECT prefer, scope, 0, city, '*' || scope, 'road', 'access', km, km * 1.3e0, 1.3e0 FROM cd),
+        pt AS (SELECT city AS id, lat, lon FROM ct_ UNION ALL SELECT '*' || scope, c_lat, c_lon FROM bw), nc AS (SELECT DISTINCT id AS at_, event_id FROM fr JOIN pt ON {hav('fr.lat', 'fr.lon', 'pt.lat', 'pt.lon')} <= 80),
+        fc AS (SELECT prefer, scope, count(DISTINCT event_id) AS fir FROM (SELECT prefer, scope, src AS at_ FROM l2 UNION SELECT prefer, scope, dst FROM l2) JOIN nc USING (at_) GROUP BY 1, 2),
+        sr AS (SELECT prefer, scope, string_agg(mode, '>' ORDER BY back DESC) AS signature FROM (SELECT *, lag(mode) OVER (PARTITION BY prefer, scope ORDER BY back DESC) AS prev FROM l2 WHERE kind = 'haul') WHERE prev IS NULL OR prev <> mode GROUP BY 1, 2),
+        rs AS (SELECT prefer, scope, sum(km) AS km, sum(own) AS own, count(*) AS legs, avg(rk) FILTER (WHERE kind = 'haul') AS rk FROM l2 GROUP BY 1, 2),
+        rr_ AS (SELECT rs.*, coalesce(signature, 'road') AS signature, coalesce(fir, 0) AS fir, round(least(0.9e0, 0.45e0 / (1 + km / 600) + 0.35e0 * CASE WHEN rk IS NULL THEN 0.4e0 ELSE greatest(0, least(1, (2.9e0 - rk) / 2)) END + 0.2e0 * least(1.0e0, coalesce(fir, 0) / 4.0e0)), 6) AS plausibility FROM rs LEFT JOIN sr USING (prefer, scope) LEFT JOIN fc USING (prefer, scope)),
+        r1_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, signature ORDER BY round(own, 6), prefer) AS r FROM rr_) WHERE r = 1), al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY plausibility DESC, signature) AS place FROM r1_) WHERE place <= 4),
+        ot AS (SELECT scope, string_agg(signature, '; ' ORDER BY place) AS others FROM al WHERE place > 1 GROUP BY 1)
+        SELECT scope, CAST(place AS INT) AS place, origin, signature, round(km, 3) AS km, legs, fir, plausibility, CASE WHEN place = 1 THEN 'likeliest from ' || origin || ' by ' || signature || ', ' || CAST(round(km, 0) AS BIGINT) || ' km' || CASE WHEN fir > 0 THEN ', ' || fir || ' reports on the way' ELSE '' END || coalesce('; else ' || others, '') END AS line
+        FROM al JOIN bw USING (scope) LEFT JOIN ot USING (scope)""", "notes", recursive=True),
     "w11_cities": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT city, name, round(lat, 4) AS lat, round(lon, 4) AS lon, array_to_string(modes, ',') AS modes, hub, stops FROM ct_", "points", recursive=True),
     "w11_merged": oracle(f"WITH {NODES_SQL}, {CITY_SQL} SELECT src, dst, round(km, 3) AS km, mode, kind FROM mg", "points", recursive=True),
     "w13_by_mode": oracle(f"WITH {NODES_SQL}, {CITY_SQL}, {MODES_SQL} SELECT prefer, start, node, round(cost, 3) AS cost, path || '>' || node AS path FROM bs JOIN (SELECT prefer, start, node, string_agg(src, '>' ORDER BY back DESC) AS path FROM lg GROUP BY 1, 2, 3) USING (prefer, start, node)", "points", recursive=True),
