@@ -61,3 +61,25 @@ def test_fallback_to_the_finest_group_with_an_origin(spark):
         ("P", "rail"): ("district", "k"), ("P", "ship"): ("district any mode", "k"), ("Q", "rail"): ("all", "k"), ("Q", "ship"): ("all any mode", "k"),
         ("R", "rail"): ("all", "k"), ("R", "ship"): ("all any mode", "k"),
     }
+
+
+def test_routes_from_the_origin_to_the_middle_of_the_seizures(spark):
+    from kestrel.operators import routes as R
+
+    rows = [("s", "m", 300.0, "rail", "haul"), ("m", "t", 300.0, "rail", "haul"), ("s", "u", 500.0, "air", "haul")]
+    edges = spark.createDataFrame(rows + [(b, a, *r) for a, b, *r in rows], "src string, dst string, km double, mode string, kind string")
+    cities = spark.createDataFrame([("s", 10.0, 80.0), ("m", 12.0, 80.0), ("t", 14.0, 80.0), ("u", 14.0, 80.5)], "city string, lat double, lon double")
+    best = spark.createDataFrame(
+        [("", "Start", 10.01, 80.0, 14.0, 80.2), ("P", "Start", 10.0, 80.0, 30.0, 80.5), ("Q", None, None, None, 14.0, 80.2)],
+        "scope string, origin string, o_lat double, o_lon double, c_lat double, c_lon double",
+    )
+    reports = spark.createDataFrame([(1, 12.1, 80.0), (2, 29.9, 80.4), (3, 0.0, 0.0)], "event_id long, lat double, lon double")
+    got = {}
+    for r in V.provenance(best, cities, R.cheapest_by_mode(edges, cities.selectExpr("city AS id")), reports).collect():
+        got.setdefault(r.scope, {})[r.place] = r
+    assert set(got) == {"", "P"}  # without an origin there is no route
+    # Both cities are within reach of the middle; rail is likelier, air comes by its own preference.
+    assert [(p, r.signature, r.legs, r.fir) for p, r in sorted(got[""].items())] == [(1, "rail", 3, 1), (2, "air", 2, 0)]
+    assert got[""][1].km == pytest.approx(600 + 21.58, abs=0.1) and got[""][1].line.startswith("likeliest from Start by rail, 622 km, 1 reports on the way; else air")
+    # None is within reach of the other middle: it hangs on its nearest city alone.
+    assert {r.signature for r in got["P"].values()} == {"air"} and got["P"][1].fir == 1 and got["P"][1].line.endswith("1 reports on the way")
