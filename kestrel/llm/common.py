@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -50,7 +53,23 @@ def with_columns_in_arrow(
             columns += [pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(releasing(run), schema)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with what its task has freed handed back to the system at its end. Spark keeps a task's worker for later tasks and, idle,
+    beside the workers of later stages, and the allocators would keep the memory of its largest batch."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return whole
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

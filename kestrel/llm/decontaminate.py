@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -12,9 +13,8 @@ from pyspark.sql import types as T
 
 from kestrel.llm.common import with_columns_in_arrow
 
-#: Bytes of benchmark text that one automaton may hold. A node a window's word, an automaton takes up to 160 times its text
-#: (measured: 646 MB for 4 MB of random words, far less where items share words), so this bounds a worker to about 1 GB. Test
-#: sets are smaller and do not grow with the corpus.
+#: Bytes of benchmark text that one automaton may hold. It takes up to 90 times its text (measured: 85 for 2 MB of random words, far
+#: less where items share words), so this bounds a worker to about 540 MB. Test sets are smaller and do not grow with the corpus.
 AUTOMATON_BYTES = 6 << 20
 #: Words over UTF-8 bytes once A-Z are lower: digits, a-z and every byte outside ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -25,28 +25,45 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build(items: list[tuple[object, str]], window: int):
-    """(automaton over word numbers, word -> number, item ids in string order of the id). Each pattern is a window
-    with the items it occurs in."""
+    """(automaton over word numbers, word -> number, item ids in string order of the id, windows). A pattern's value is its place in
+    windows, which hold (length, numbers of the items it occurs in); windows of the same items share one list."""
     import ahocorasick
 
     items = sorted(((str(i), t) for i, t in items if i is not None), key=lambda x: x[0])
     numbers: dict[bytes, int] = {}
-    patterns: dict[tuple[int, ...], set[int]] = {}
     names = sorted({i for i, _ in items})
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    windows: list[tuple[int, tuple[int, ...]]] = []
+    shared: dict[tuple, tuple] = {}
     for i, text in items:
         own = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words_of(text))
         n = bisect.bisect_left(names, i)
         for k in range(max(1, len(own) - window + 1) if own else 0):
-            patterns.setdefault(own[k : k + window], set()).add(n)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p, found in patterns.items():
-        machine.add_word(p, (len(p), tuple(sorted(found))))
-    if patterns:
+            pattern = own[k : k + window]
+            at = machine.get(pattern, -1)
+            if at < 0:
+                machine.add_word(pattern, len(windows))
+                windows.append(shared.setdefault((len(pattern), (n,)), (len(pattern), (n,))))
+            elif windows[at][1][-1] != n:  # items come in order of their numbers
+                longer = (len(pattern), (*windows[at][1], n))
+                windows[at] = shared.setdefault(longer, longer)
+    if windows:
         machine.make_automaton()
-    return machine if patterns else None, numbers, names
+    return machine if windows else None, numbers, names, windows
 
 
-def scan(machine, numbers: dict[bytes, int], text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+#: The automaton that this worker built last, by the name of its block: later tasks of the stage take it as it is.
+_BUILT: dict[str, tuple] = {}
+
+
+def built(name: str, sent, window: int):
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build(sent.value, window)
+    return _BUILT[name]
+
+
+def scan(machine, numbers: dict[bytes, int], windows: list[tuple[int, tuple[int, ...]]], text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
     """(words, merged hit word ranges, items found) of one text, in one pass over it."""
     words = words_of(text)
     spans: list[tuple[int, int]] = []
@@ -59,7 +76,8 @@ def scan(machine, numbers: dict[bytes, int], text: str | None) -> tuple[int, lis
     for known, run in groupby(ids, bool):
         run = tuple(run)
         if known:
-            for end, (length, items) in machine.iter(run):
+            for end, which in machine.iter(run):
+                length, items = windows[which]
                 first, last = at + end - length + 1, at + end + 1
                 found.update(items)
                 while spans and spans[-1][1] >= first:
@@ -122,13 +140,13 @@ def decontaminate(
         sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
         earlier = ["hit_words", "items"] if block else []
 
-        def start(sent=sent, earlier=bool(earlier)):
-            machine, numbers, names = build(sent.value, window)
+        def start(name=uuid.uuid4().hex, sent=sent, earlier=bool(earlier)):
+            machine, numbers, names, windows = built(name, sent, window)
 
             def step(texts, words_before=None, items_before=None):
                 made = [[] for _ in fields]
                 for k, t in enumerate(texts):
-                    n, spans, found = scan(machine, numbers, t)
+                    n, spans, found = scan(machine, numbers, windows, t)
                     items = [names[i] for i in sorted(found)]
                     if earlier:
                         items = sorted({*items, *items_before[k]})

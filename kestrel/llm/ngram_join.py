@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.llm.common import members_of, with_columns_in_arrow
+from kestrel.llm.common import members_of, releasing, with_columns_in_arrow
 from kestrel.operators.components import components
 from kestrel.session import materialise
 
@@ -241,7 +241,7 @@ def repeated_listings(sig: DataFrame) -> DataFrame:
             keep = set_in(sent.value, ((s.view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), batch.column(0).take(pa.array(row[keep]))], names=["s", "id"])
 
-    listed = materialise(sig.select("r", "prefix").mapInArrow(kept, "s long, id long"))
+    listed = materialise(sig.select("r", "prefix").mapInArrow(releasing(kept), "s long, id long"))
     sent.destroy()  # what is written is not computed again
     return listed
 
@@ -322,7 +322,7 @@ def spanning(cells: DataFrame, percent: int, verify: bool) -> DataFrame:
                             b.append(ids[q])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cells.select("members").mapInArrow(run, "a long, b long")
+    return cells.select("members").mapInArrow(releasing(run), "a long, b long")
 
 
 def searched(groups: DataFrame, payload: DataFrame, percent: int, verify: bool, labels: DataFrame | None = None) -> DataFrame:
@@ -364,7 +364,7 @@ def verified(near: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, wid
                     made[1].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.binary()) for m in made], names=["id", "x"])
 
-    sets = body.mapInArrow(shingled, "fp binary, x binary").join(held.select("fp", "id", "n", "copies"), "fp")
+    sets = body.mapInArrow(releasing(shingled), "fp binary, x binary").join(held.select("fp", "id", "n", "copies"), "fp")
     # Only texts of several rows can have been read more than once.
     once = sets.where("copies IS NULL").select("id", "n", "x")
     sets = materialise(once.unionByName(sets.where("copies > 1").groupBy("id", "n").agg(F.first("x").alias("x"))))

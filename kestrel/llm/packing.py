@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kestrel.llm.common import without
+from kestrel.llm.common import releasing, without
 from kestrel.session import materialise
 
 #: Fixed value: the split pattern of public byte-level vocabularies, which a file names by its ByteLevel pre-tokenizer.
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, size: int, end_
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, arrow)], schema=arrow)
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(releasing(run), schema)
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
@@ -335,4 +335,4 @@ def pack(
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema=arrow)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(releasing(place), schema)
