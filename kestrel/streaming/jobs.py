@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kestrel.operators import contracts
 from kestrel.operators.records import serial_status
 from kestrel.session import reachable, shared_folder
 
@@ -44,6 +45,20 @@ def ingest(events: DataFrame) -> DataFrame:
     return events.select("event_id", "event_type", F.array_join(F.filter(failed, lambda e: e.isNotNull()), ",").alias("errors"))
 
 
+def ingest_documents(stream: DataFrame, contract: contracts.Rule, path: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """X1 on JSON documents: run the stream to the end of its input into two tables under ``path``, documents that keep the contract
+    and those in quarantine with what they break. A batch names its folders, so one that runs again replaces itself."""
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        for name, rows in zip(("valid", "quarantine"), contracts.split(contracts.checked(batch, contract, body).drop("document"))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    kept = contracts.checked(spark.createDataFrame([], stream.schema), contract, body).drop("document").schema.add("epoch", "long")
+    return tuple(spark.read.schema(kept).parquet(f"{path}/{name}") for name in ("valid", "quarantine"))
+
+
 def version(spark: SparkSession, path: str, epoch: int, schema) -> DataFrame:
     """The table as the batch ``epoch`` left it; empty before the first one. A failed read is an error and never an empty table."""
     return spark.read.schema(schema).parquet(f"{path}/v{epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
