@@ -81,7 +81,10 @@ def t15_other_scripts(spark, sf):
 
 
 def calls(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return with_phrases(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def with_phrases(turns):
     phrase = F.when(F.col("turn") == 1, " This is Inspector Rao calling from CBI.").when(F.col("turn") == 2, " An FIR has been registered against you.").when(F.col("turn") == 3, " Stay on the call and transfer the security deposit now.").otherwise("")
     return turns.withColumn("text", F.concat("text", phrase))
 

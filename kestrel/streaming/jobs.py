@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kestrel.operators import contracts
+from kestrel.operators.messages import detect
 from kestrel.operators.records import serial_status
 from kestrel.session import reachable, shared_folder
 
@@ -101,32 +102,78 @@ def bursts(events: DataFrame, gap_s: int = 3600) -> DataFrame:
     return events.groupBy("account_id").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
 
 
-def running_calls(turns: DataFrame) -> DataFrame:
-    """Turns of conversations as they come, with all text so far; state is that text."""
+def _ends(state: GroupState, last: int, silence_s: int) -> None:
+    """Let the state end when the watermark has passed ``last`` by ``silence_s``."""
+    state.setTimeoutTimestamp(max((last + silence_s) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def _timed(df: DataFrame, silence_s: int | None, late: str) -> tuple[DataFrame, str]:
+    if silence_s is None:
+        return df, GroupStateTimeout.NoTimeout
+    return df.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late), GroupStateTimeout.EventTimeTimeout
+
+
+def running_calls(turns: DataFrame, silence_s: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """Turns of conversations as they come, with all text so far; state is that text.
+
+    With ``silence_s`` turns need a time ``t`` in seconds. A turn more than ``silence_s`` after the one before begins the call anew,
+    whenever the state is dropped, which is when the watermark (``late`` behind the newest turn) has passed that time, so state holds
+    calls that go on. Turns behind the watermark are left out. Without it state never ends, and turns need no time.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        said = state.get[0] if state.exists else ""
-        rows = sorted((int(t), x or "") for f in frames for t, x in zip(f.turn, f.text))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        said, last = state.get if state.exists else ("", None)
         made = []
-        for turn, text in rows:
-            said = f"{said} {text}".strip() if said else text
+        for t, turn, text in sorted((int(t), int(n), x or "") for f in frames for t, n, x in zip(f.t, f.turn, f.text)):
+            if silence_s is not None and last is not None and t - last > silence_s:
+                said = ""
+            said, last = f"{said} {text}".strip() if said else text, t
             made.append((key[0], turn, said))
-        state.update((said,))
+        state.update((said, last))
+        if silence_s is not None:
+            _ends(state, last, silence_s)
         yield pd.DataFrame(made, columns=["conv_id", "turn", "text"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, text string", "said string", "append", GroupStateTimeout.NoTimeout)
+    timed, ends = _timed(turns if "t" in turns.columns else turns.withColumn("t", F.lit(0)), silence_s, late)
+    return timed.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, text string", "said string, last long", "append", ends)
 
 
-def serial_sightings(events: DataFrame) -> DataFrame:
-    """Sightings (serial, event_id, t) with the number of earlier ones; state is a counter."""
+def running_stages(turns: DataFrame, silence_s: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """X3 with the verdict of every turn: the markers in all text so far, and the stage they mean."""
+    found = detect(running_calls(turns, silence_s, late))
+    n = F.size("markers")
+    stage = F.when(n >= 3, "scam_detected").when(n >= 1, "warning").otherwise("monitoring")
+    return found.select("conv_id", "turn", F.array_join("markers", ",").alias("markers"), stage.alias("stage"))
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = sorted((int(t), int(e)) for f in frames for t, e in zip(f.t, f.event_id))
-        yield pd.DataFrame({"serial": [key[0]] * len(rows), "event_id": [e for _, e in rows], "prior": range(n, n + len(rows))})
-        state.update((n + len(rows),))
 
-    seen = events.groupBy("serial").applyInPandasWithState(step, "serial string, event_id long, prior long", "n long", "append", GroupStateTimeout.NoTimeout)
+def serial_sightings(events: DataFrame, keep_s: int | None = None, late: str = "1 hour") -> DataFrame:
+    """Sightings (serial, event_id, t) with the number of earlier ones; state is a counter and the last time.
+
+    With ``keep_s`` a serial that was not seen for longer counts as new, whenever its state is dropped, which is when the watermark
+    (``late`` behind the newest sighting) has passed that time; sightings behind the watermark are left out. Without it state never ends.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, None)
+        made = []
+        for t, e in sorted((int(t), int(e)) for f in frames for t, e in zip(f.t, f.event_id)):
+            if keep_s is not None and last is not None and t - last > keep_s:
+                n = 0
+            made.append((key[0], e, n))
+            n, last = n + 1, t
+        state.update((n, last))
+        if keep_s is not None:
+            _ends(state, last, keep_s)
+        yield pd.DataFrame(made, columns=["serial", "event_id", "prior"])
+
+    timed, ends = _timed(events, keep_s, late)
+    seen = timed.groupBy("serial").applyInPandasWithState(step, "serial string, event_id long, prior long", "n long, last long", "append", ends)
     status = serial_status(F.col("serial"))
     return seen.withColumn("status", F.when((status != "nonsense") & (F.col("prior") > 0), "duplicate").otherwise(status))
 
