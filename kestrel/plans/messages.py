@@ -23,9 +23,11 @@ def t02_first_evidence(spark, sf):
 
 
 def t03_marker_features(spark, sf):
-    found = M.detect(messages(spark, sf))
-    flags = [F.array_contains("markers", m).cast("int").alias(m) for m in V.MARKERS]
-    return found.select("doc_id", *flags, F.round(F.least(F.size("markers"), F.lit(5)) / 5, 6).alias("share"))
+    found = M.marker_features(messages(spark, sf))
+    value = lambda k: F.col("marker_features")[k]
+    n = len(V.MARKERS)
+    flags = [value(k).cast("int").alias(m) for k, m in enumerate(V.MARKERS)]
+    return found.select("doc_id", *flags, F.round(value(n), 6).alias("share"), F.round(value(n + 1), 6).alias("completeness"), value(n + 2).cast("int").alias("in_order"))
 
 
 def t04_scripts(spark, sf):
@@ -218,7 +220,7 @@ ORACLES = {
         SELECT doc_id, count(*) AS entities, count(note) AS suspicious, coalesce(array_to_string(list_sort(list_distinct(list(note) FILTER (WHERE note IS NOT NULL)))[1:3], '; '), '') AS highlights FROM nt GROUP BY 1""", "messages"),
     "t01_markers": oracle(f"WITH {markers_sql()} SELECT doc_id, markers, n_markers FROM mk", "messages"),
     "t02_first_evidence": oracle(EVIDENCE_SQL, "messages"),
-    "t03_marker_features": oracle(f"WITH {markers_sql()} SELECT doc_id, {', '.join(f'{m}::INT AS {m}' for m in V.MARKERS)}, round(least(n_markers, 5) / 5.0e0, 6) AS share FROM mk", "messages"),
+    "t03_marker_features": oracle(f"WITH {markers_sql()}, s AS ({SCRIPT_SQL}) SELECT mk.doc_id, {', '.join(f'{m}::INT AS {m}' for m in V.MARKERS)}, round(least(n_markers, 5) / 5.0e0, 6) AS share, coalesce(completeness, 0e0) AS completeness, coalesce(in_order::INT, 0) AS in_order FROM mk LEFT JOIN s ON s.doc_id = mk.doc_id", "messages"),
     "t04_scripts": oracle(SCRIPT_SQL, "messages"),
     "t06_scam_types": oracle(f"WITH {markers_sql()} SELECT doc_id, {TYPE_SQL} AS scam_type FROM mk", "messages"),
     "t11_branch_codes": oracle(f"SELECT event_id, code, regexp_full_match(code, '[A-Z]{{4}}0[A-Z0-9]{{6}}') AS well_formed, CASE WHEN regexp_full_match(code, '[A-Z]{{4}}0[A-Z0-9]{{6}}') THEN CASE substr(code, 1, 4) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in V.BANKS.items())} END END AS bank FROM ({CODE_SQL})", "points"),
