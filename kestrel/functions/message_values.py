@@ -116,6 +116,37 @@ SCRIPTS = [
     ),
 ]
 
+#: Words (a trailing * stands for any end) of which a text with a match of any pattern of a marker, or of a stage's or type's own, holds at
+#: least one; a text without them need not be searched. Of several words of a pattern the rarest.
+WORDS = {
+    "authority_impersonation": (
+        "cbi ed nia rbi trai ncb customs cyber* income* enforcement inspector constable commissioner subinspector dcp acp ips officer agent police crime* calling"
+    ),
+    "fake_fir_or_case": "fir registered filed lodged warrant laundering trafficking hawala narcotics crime* illegal fraud drugs taken initiated started",
+    "urgency_pressure": (
+        "immediately now within urgent* once warning notice chance reminder blocked suspended deactivated frozen disconnected today failure delay ignore expire*"
+    ),
+    "crypto_or_giftcard_demand": (
+        "usdt bitcoin btc crypto* tether gift* google amazon itunes verification security refundable clearance settlement rtgs neft imps upi account move"
+    ),
+    "video_call_isolation": "call disconnect hang cut leave skype whatsapp zoom tell inform contact arrest custody surveillance investigation camera",
+    "personal_data_request": "otp password* pin cvv aadhaar aadhar pan details number credentials netbanking banking debit kyc",
+    "suspicious_link": "bit tinyurl co goo cutt rb gd shorturl http* download install www*",
+    "spoofed_number": "official government helpline police bank landline website portal truecaller",
+    "threaten_service_loss": "kyc",
+    "bait": "lottery lucky jackpot prize winner won loan",
+    "collect": "fee charge",
+    "lottery": "lottery lucky jackpot prize winner won claim",
+    "loan": "loan zero",
+    "kyc": "kyc blocked suspended deactivated",
+}
+#: Letters and digits with which a match of any of a marker's, or a stage's own, patterns begins.
+FIRST = {
+    "authority_impersonation": "acdeinprst", "fake_fir_or_case": "acdfhlmnpwy", "urgency_pressure": "acdefilnprsuvw", "crypto_or_giftcard_demand": "abcdgimnprstu",
+    "video_call_isolation": "dkorsvwyz", "personal_data_request": "abcdiknpsuv", "suspicious_link": "bcdghiorstvw", "spoofed_number": "cdlotv",
+    "threaten_service_loss": "k", "bait": "jlpsw", "collect": "fipr",
+}
+
 #: Entities: links, payment handles, branch codes, phone numbers.
 URL = r"\b((?:https?://)?(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}(?:/[^\s]*)?)"
 HANDLE = r"\b([a-z0-9._-]{2,256}@[a-z]{2,64})\b"
