@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kestrel.operators import contracts
+from kestrel.operators import correlate as J
 from kestrel.operators.messages import detect
 from kestrel.operators.records import serial_status
 from kestrel.session import reachable, shared_folder
@@ -194,6 +195,34 @@ def trails(scams: DataFrame, edges: DataFrame, share: float = 0.01, late: str =
     return left.join(right, near).where(F.abs(F.col("amount") - F.col("paid")) <= share * F.col("paid")).drop("_a", "_b")
 
 
+def trail_counts(scams: DataFrame, edges: DataFrame, path: str, share: float = 0.01, before_h: int = 2, after_h: int = 96, keep_s: int = 60 * 86400) -> DataFrame:
+    """X5 without its pairs: run payments (event_id, paid, scam_at) and transfers (tx_id, amount, edge_at) to the end of their input. Every
+    batch adds, for each payment that meets transfers by it, a row (event_id, first, second, n): the two earliest (t, tx_id), t in
+    microseconds, and how many there are. Numbers add up over batches, and the earliest of all is among those of the batches.
+
+    A batch asks its payments of all transfers so far and the earlier payments of its transfers. Rows stand in a version of the table
+    under ``path`` until they are older than the newest by ``keep_s`` and the window. A batch that runs again replaces itself.
+    """
+    spark, micros = scams.sparkSession, 3_600_000_000
+    row = lambda asks, key, amount, at: (F.lit(asks).alias("asks"), F.col(key).cast("long").alias("id"), J.hundredths(F.col(amount)).alias("x"), F.unix_micros(at).alias("t"))
+    both = scams.select(*row(True, "event_id", "paid", "scam_at")).unionByName(edges.select(*row(False, "tx_id", "amount", "edge_at")))
+    ask = lambda df: df.where("asks").select("id", "x", (F.col("t") - before_h * micros).alias("since"), (F.col("t") + after_h * micros).alias("until"))
+    edge = lambda df: df.where("NOT asks").select("x", "t", F.col("id").alias("tx_id"))
+    meet = lambda a, b: J.first_in_bands(ask(a), edge(b), ["tx_id"], share, 8 * (before_h + after_h) * micros, count=True).withColumnRenamed("id", "event_id")
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        held = version(spark, path, epoch - 1, both.schema)
+        every = held.unionByName(batch)
+        newest = every.agg(F.max("t").alias("newest"))
+        late = (keep_s * 1_000_000) + (before_h + after_h) * micros
+        every.join(F.broadcast(newest)).where(F.col("t") >= F.col("newest") - late).drop("newest").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        meet(batch, every).unionByName(meet(held, batch)).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    both.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    kind = "struct<t:bigint,tx_id:bigint>"
+    return spark.read.schema(f"event_id long, first {kind}, second {kind}, n long, epoch long").parquet(f"{path}/out")
+
+
 def action_queue(batch: DataFrame, epoch: int, path: str, derive: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     """One micro-batch of the action queue for foreachBatch: derive, merge with the last version, write the next one. A
     batch that is run again reads the same version and writes the same one."""
