@@ -97,6 +97,15 @@ def cheapest_by_mode(edges: DataFrame, sources: DataFrame, preferences: Sequence
     return best, legs.select(*keys, "back", "leg.src", F.col("at").alias("dst"), "leg.mode", "leg.kind", "leg.km", "leg.own")
 
 
+def reported(cities: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, fir): distinct reports of near(at, event_id) at any of a route's cities(*keys, at). Reports near the same cities are counted
+    once and for all, so a route meets sets of cities and not reports."""
+    seen = near.where("event_id IS NOT NULL").groupBy("event_id").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    sets = materialise(seen.groupBy("ats").agg(F.count("*").alias("n")))
+    one = sets.select("ats", "n", F.explode("ats").alias("at"))
+    return cities.join(one, "at").select(*keys, "ats", "n").distinct().groupBy(*keys).agg(F.sum("n").alias("fir"))
+
+
 def told(legs: DataFrame, near: DataFrame) -> DataFrame:
     """W14, W15 before the choice: a row a route (prefer, start, node): km, own (cost without preference), legs, signature (haul modes in order,
     repeats collapsed, road without hauls), fir (reports of near(at, event_id) at any of its cities), plausibility."""
@@ -107,7 +116,7 @@ def told(legs: DataFrame, near: DataFrame) -> DataFrame:
         F.sum("km").alias("km"), F.sum("own").alias("own"), F.count("*").alias("legs"), modes.alias("modes"), F.avg(F.when(F.col("kind") == "haul", risk(other=1.3))).alias("risk")
     )
     cities = legs.select(*keys, F.col("src").alias("at")).unionByName(legs.select(*keys, F.col("dst").alias("at"))).distinct()
-    met = cities.join(near, "at").groupBy(*keys).agg(F.countDistinct("event_id").alias("fir"))
+    met = reported(cities, near, keys)
     kept = F.filter(F.transform("modes", lambda m, i: F.when((i == 0) | (m != F.get("modes", i - 1)), m)), lambda m: m.isNotNull())
     out = own.join(met, keys, "left").withColumn("fir", F.coalesce("fir", F.lit(0)))
     score = F.when(F.col("risk").isNull(), 0.4).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2.9 - F.col("risk")) / 2)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.functions.geo import grid_join, haversine
+from kestrel.operators.routes import reported
 from kestrel.session import materialise
 
 
@@ -136,7 +137,7 @@ def routes(paths: DataFrame, edges: DataFrame, nodes: DataFrame, reports: DataFr
     haul = F.filter("modes", lambda m: m != "road")
     kept = F.filter(F.transform(haul, lambda m, i: F.when((i == 0) | (m != F.get(haul, i - 1)), m)), lambda m: m.isNotNull())
     near = materialise(grid_join(reports, nodes, km).select(F.col("r.id").alias("at"), "l.event_id").distinct())
-    met = paths.where(F.size("path") > 1).select("start", "node", F.explode("path").alias("at")).join(near, "at").groupBy("start", "node").agg(F.countDistinct("event_id").alias("fir"))
+    met = reported(paths.where(F.size("path") > 1).select("start", "node", F.explode("path").alias("at")).distinct(), near, ["start", "node"])
     signature = F.when(F.size(kept) > 0, F.array_join(kept, ">")).otherwise("road")
     out = paths.where(F.size("path") > 1).select("start", "node", "cost", "km", "path").join(own, ["start", "node"]).join(met, ["start", "node"], "left")
     return out.select(

@@ -46,3 +46,13 @@ def test_trails_are_found_without_forming_pairs(spark):
     held = into.select(J.hundredths(F.col("amount")).alias("x"), "t", "tx_id")
     numbers = {r.id: r.n for r in J.first_in_bands(asked, held, ["tx_id"], 0.01, 100_000, count=True).collect()}
     assert numbers == {e: n for e, p, t, _ in scams if (n := sum(t is not None and p > 0 < a and abs(a - p) * 100 <= p and -7200 <= u - t <= 345600 for _, _, _, a, u in edges))}
+
+
+def test_reports_of_routes_are_counted_by_sets_of_cities(spark):
+    from kestrel.operators import routes as R
+
+    near = spark.createDataFrame([(a, e) for e in range(500) for a in (["x", "y"] if e % 2 else ["y"])] * 2, "at string, event_id long")
+    cities = spark.createDataFrame([("r1", "x"), ("r1", "y"), ("r2", "x"), ("r3", "z")], "route string, at string")
+    made = R.reported(cities, near, ["route"])
+    assert {r.route: r.fir for r in made.collect()} == {"r1": 500, "r2": 250}
+    assert R.reported(cities, near.withColumn("event_id", F.lit(None).cast("long")), ["route"]).count() == 0
