@@ -56,3 +56,18 @@ def test_reports_of_routes_are_counted_by_sets_of_cities(spark):
     made = R.reported(cities, near, ["route"])
     assert {r.route: r.fir for r in made.collect()} == {"r1": 500, "r2": 250}
     assert R.reported(cities, near.withColumn("event_id", F.lit(None).cast("long")), ["route"]).count() == 0
+
+
+def test_open_wedges_are_never_rows(spark):
+    import itertools
+
+    from kestrel.operators import features as G
+
+    pairs = [(x, y) for x, y in itertools.combinations(range(9), 2) if (x * y) % 4 != 3] + [("h", k) for k in range(20)]
+    tx = spark.createDataFrame([(str(a), str(b), 1.0, k) for k, (a, b) in enumerate([*pairs, (1, 1), (5, 2)])], "source string, target string, amount double, t long")
+    known = {frozenset(map(str, p)) for p in pairs}
+    names = sorted({n for p in known for n in p})
+    closed = [c for c in itertools.combinations(names, 3) if all(frozenset(p) in known for p in itertools.combinations(c, 2))]
+    made = G.triangles(tx)
+    assert {r.account_id: r.triangles for r in made.collect()} == {n: sum(n in c for c in closed) for n in names}
+    assert "array_intersect" in made._jdf.queryExecution().optimizedPlan().toString()
