@@ -29,7 +29,12 @@ class Rule:
 
 
 def broken(value: Column, rule: Rule, at: str = "") -> Column:
-    """The rules that a variant breaks, as ``what:path`` (missing, unknown, type, value, range, time); a null column is a missing value."""
+    """The rules that a variant breaks, as ``what:path`` (missing, unknown, type, value, range, time); a null column is a missing value.
+    The value is bound to a name first, so that however many checks ask for it, it is taken out of its document once."""
+    return F.transform(F.array(value), lambda v: _broken(v, rule, at))[0]
+
+
+def _broken(value: Column, rule: Rule, at: str) -> Column:
     none = F.array().cast("array<string>")
     where = at or "document"
 

@@ -71,3 +71,17 @@ def test_open_wedges_are_never_rows(spark):
     made = G.triangles(tx)
     assert {r.account_id: r.triangles for r in made.collect()} == {n: sum(n in c for c in closed) for n in names}
     assert "array_intersect" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_judged_once_and_values_taken_out_once(spark, tmp_path):
+    from kestrel.operators import contracts as C
+    from kestrel.streaming import jobs as X
+
+    df = spark.createDataFrame([(k, '{"event_id": "n"}' if k % 2 else "[]") for k in range(20)], "k int, body string")
+    plan = C.checked(df, C.NOTE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") <= 150, plan.count("variant_get(")
+    df.write.parquet(str(tmp_path / "in.parquet"))
+    read, text = spark.sparkContext.accumulator(0), F.udf(lambda b: read.add(1) or b).asNondeterministic()
+    stream = X.source(spark, str(tmp_path / "in.parquet"), 100).withColumn("body", text("body"))
+    valid, quarantined = X.ingest_documents(stream, C.NOTE, str(tmp_path / "out"))
+    assert valid.count() == 0 and quarantined.count() == 20 and read.value == 20
