@@ -85,3 +85,32 @@ def test_documents_are_judged_once_and_values_taken_out_once(spark, tmp_path):
     stream = X.source(spark, str(tmp_path / "in.parquet"), 100).withColumn("body", text("body"))
     valid, quarantined = X.ingest_documents(stream, C.NOTE, str(tmp_path / "out"))
     assert valid.count() == 0 and quarantined.count() == 20 and read.value == 20
+
+
+def test_ranks_of_two_sides_settle_in_few_rounds(spark):
+    from kestrel.operators import features as G
+
+    pairs = [(f"c{k}", f"s{(k * m) % 5}") for k in range(40) for m in (1, 2, 3)]
+    both = [p for a, b in pairs for p in ((a, b), (b, a))]
+    names = sorted({n for p in pairs for n in p} | {"d", "alone"})
+    # What leaves for good, or to an account that pays nobody, ebbs as slowly as alpha lets it; what only goes to and fro does not.
+    for rows, alpha in ((both, 0.85), (both + [("c0", "out"), ("away", "c1"), ("c2", "d")], 0.3)):
+        tx, accounts = spark.createDataFrame(rows, "source string, target string"), spark.createDataFrame([(n,) for n in names], "account_id string")
+        made = {r.account_id: r.pagerank for r in G.pagerank(tx, accounts, alpha, most=40).collect()}
+        ends, n = {a: {y for x, y in rows if x == a} for a in names}, len(names)
+        rank = dict.fromkeys(names, 1 / n)
+        for _ in range(200):
+            loose = sum(rank[a] for a in names if not ends[a])
+            rank = {b: (1 - alpha) / n + alpha * (sum(rank[a] / len(ends[a]) for a in names if b in ends[a]) + loose / n) for b in names}
+        assert made.keys() == rank.keys() and max(abs(made[a] - rank[a]) for a in names) < 1e-8
+
+
+def test_cores_from_counted_values_and_bounded_arrays(spark, monkeypatch):
+    from kestrel.operators import features as G
+
+    monkeypatch.setattr(G, "ENDS", 3)
+    rows = [(f"k{a}", f"k{b}", 1.0, 0) for a in range(6) for b in range(a)] + [("k0", f"p{k}", 1.0, 0) for k in range(30)] + [("p0", "p1", 1.0, 0), ("p1", "p0", 1.0, 0), ("k1", "k1", 1.0, 0)]
+    tx = spark.createDataFrame(rows, "source string, target string, amount double, t long")
+    wanted = {f"k{a}": 5 for a in range(6)} | {f"p{k}": 1 + (k < 2) for k in range(30)}
+    assert {r.account_id: r.core_number for r in G.core_numbers(tx).collect()} == wanted
+    assert G.ended(spark.range(10).selectExpr("0L AS i", "id AS j")).agg(F.max(F.size("ends"))).first()[0] == 3
