@@ -114,3 +114,29 @@ def test_cores_from_counted_values_and_bounded_arrays(spark, monkeypatch):
     wanted = {f"k{a}": 5 for a in range(6)} | {f"p{k}": 1 + (k < 2) for k in range(30)}
     assert {r.account_id: r.core_number for r in G.core_numbers(tx).collect()} == wanted
     assert G.ended(spark.range(10).selectExpr("0L AS i", "id AS j")).agg(F.max(F.size("ends"))).first()[0] == 3
+
+
+def test_texts_are_counted_once_and_as_spark_does(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
+
+    from kestrel.operators import learn as L
+
+    texts = ["Pay NOW, pay now! 12 times", "", "ab", "Zahlen Sie Gebühr für Ärger_und über-all", "a  b\nc aaaaaa", "日本語 テキスト", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    grams = [("words", 1), ("words", 2), ("letters", 3), ("letters", 4), ("letters", 5)]
+    stages = [
+        RegexTokenizer(inputCol="text", outputCol="words", pattern="[^\\p{L}\\p{N}]+", toLowercase=True),
+        RegexTokenizer(inputCol="text", outputCol="letters", pattern="", toLowercase=True, minTokenLength=0),
+        *[NGram(n=n, inputCol=c, outputCol=f"g{k}") for k, (c, n) in enumerate(grams)],
+        *[HashingTF(inputCol=f"g{k}", outputCol=f"tf{k}", numFeatures=1 << 16) for k in range(5)],
+        VectorAssembler(inputCols=[f"tf{k}" for k in range(5)], outputCol="counts"),
+    ]
+    plain = df.na.fill("")
+    wanted = {r.doc_id: r.counts for r in Pipeline(stages=stages).fit(plain).transform(plain).select("doc_id", "counts").collect()}
+    made = L.with_features(df)
+    terms = lambda v: {i: x for i, x in zip(v.indices.tolist(), v.values.tolist()) if i < 5 << 16}
+    assert all(terms(r.counts) == terms(wanted[r.doc_id]) for r in made.collect()) and made.count() == len(texts)
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
+    model = L.message_model(made.withColumn("label", (F.col("doc_id") == 0).cast("int")))
+    assert len(str(L.probabilities(model, made).schema["features"].metadata)) < 1000 and len(model.stages) == 2
