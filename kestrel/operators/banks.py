@@ -46,22 +46,26 @@ def neighbour_means(edges: DataFrame, features: DataFrame, columns: list[str], r
     return out
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.greatest(F.sqrt(dot(a, a) * dot(b, b)), F.lit(1e-12))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def pair_scores(boundary: DataFrame, cents: int = 3, seconds: int = 9) -> DataFrame:
+def pair_scores(boundary: DataFrame, cents: int = 3, seconds: int = 9, embeddings: tuple[str, ...] = ("embedding",)) -> DataFrame:
     """Outgoing and incoming boundary records of different banks within ``cents`` and ``seconds``, with their score. A
-    band join: both axes are cut into cells as wide as the band, and a record asks the 3 x 3 cells around it."""
+    band join: both axes are cut into cells as wide as the band, and a record asks the 3 x 3 cells around it. Records meet once for
+    all columns of ``embeddings``: more than one gives an array of scores in their order. Squares of lengths are summed once a record."""
     cell = lambda c, w: F.floor(F.col(c) / (w + 1))
-    out = boundary.where("direction = 'out'").select(F.struct("*").alias("o"), F.explode(F.sequence(cell("amount_cents", cents) - 1, cell("amount_cents", cents) + 1)).alias("_a"), cell("time_sec", seconds).alias("_t0"))
+    known = boundary.withColumns({f"_n{k}": dot(F.col(c), F.col(c)) for k, c in enumerate(embeddings)})
+    kept = F.struct("vec_id", "bank_id", "amount_cents", "time_sec", *embeddings, *[f"_n{k}" for k in range(len(embeddings))])
+    out = known.where("direction = 'out'").select(kept.alias("o"), F.explode(F.sequence(cell("amount_cents", cents) - 1, cell("amount_cents", cents) + 1)).alias("_a"), cell("time_sec", seconds).alias("_t0"))
     out = out.withColumn("_t", F.explode(F.sequence(F.col("_t0") - 1, F.col("_t0") + 1)))
-    into = boundary.where("direction = 'in'").select(F.struct("*").alias("i"), cell("amount_cents", cents).alias("_a"), cell("time_sec", seconds).alias("_t"))
+    into = known.where("direction = 'in'").select(kept.alias("i"), cell("amount_cents", cents).alias("_a"), cell("time_sec", seconds).alias("_t"))
     d_c, d_t = F.abs(F.col("o.amount_cents") - F.col("i.amount_cents")), F.abs(F.col("o.time_sec") - F.col("i.time_sec"))
     met = out.join(into, ["_a", "_t"]).where((F.col("o.bank_id") != F.col("i.bank_id")) & (d_c <= cents) & (d_t <= seconds))
-    score = 0.2 * cosine(F.col("o.embedding"), F.col("i.embedding")) + 0.4 * F.greatest(F.lit(0.0), 1 - 0.3 * d_c) + 0.4 * F.greatest(F.lit(0.0), 1 - 0.1 * d_t)
-    return met.select(F.col("o.vec_id").alias("out_id"), F.col("i.vec_id").alias("in_id"), score.alias("score"))
+    cosine = lambda k, c: dot(F.col(f"o.{c}"), F.col(f"i.{c}")) / F.greatest(F.sqrt(F.col(f"o._n{k}") * F.col(f"i._n{k}")), F.lit(1e-12))
+    near = 0.4 * F.greatest(F.lit(0.0), 1 - 0.3 * d_c), 0.4 * F.greatest(F.lit(0.0), 1 - 0.1 * d_t)
+    scores = [0.2 * cosine(k, c) + near[0] + near[1] for k, c in enumerate(embeddings)]
+    return met.select(F.col("o.vec_id").alias("out_id"), F.col("i.vec_id").alias("in_id"), (scores[0] if len(scores) == 1 else F.array(*scores)).alias("score"))
 
 
 def one_to_one(pairs: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,11 +81,15 @@ def one_to_one(pairs: DataFrame, least: float, by: tuple[str, ...] = ()) -> Data
     return taken
 
 
-def noisy(boundary: DataFrame, key: str, epsilon: float, delta: float = 1e-5, seed: int = 7) -> DataFrame:
-    """Gaussian noise of the (epsilon, delta) mechanism on embeddings clipped to unit length. The noise of a component follows
+def noise(key: str, epsilon: float, delta: float = 1e-5, seed: int = 7) -> Column:
+    """The embedding clipped to unit length with Gaussian noise of the (epsilon, delta) mechanism. The noise of a component follows
     from the row's key, its place and the seed, so a task that runs again adds the same."""
     sigma = 2 * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
     even = lambda d, k: (F.shiftrightunsigned(F.xxhash64(F.col(key), d, F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53)
     normal = lambda d: F.sqrt(-2 * F.log(even(d, 0))) * F.cos(2 * math.pi * even(d, 1))
-    return boundary.withColumn("embedding", F.transform("embedding", lambda e, d: e.cast("double") / F.greatest(length, F.lit(1.0)) + sigma * normal(d)))
+    return F.transform("embedding", lambda e, d: e.cast("double") / F.greatest(length, F.lit(1.0)) + sigma * normal(d))
+
+
+def noisy(boundary: DataFrame, key: str, epsilon: float, delta: float = 1e-5, seed: int = 7) -> DataFrame:
+    return boundary.withColumn("embedding", noise(key, epsilon, delta, seed))

@@ -307,9 +307,11 @@ def b09_match_quality(spark, sf):
 def b11_b12_privacy(spark, sf):
     """Matches and their loss of quality against those without noise, for each epsilon of the sweep."""
     boundary = view(spark, sf, "boundary")
-    pairs = B.pair_scores(boundary).withColumn("epsilon", F.lit(0.0))
-    for eps in (0.1, 0.5, 1.0, 2.0, 5.0, 10.0):
-        pairs = pairs.unionByName(B.pair_scores(B.noisy(boundary, "vec_id", eps)).withColumn("epsilon", F.lit(eps)))
+    sweep = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
+    made = boundary.withColumns({f"e{k}": B.noise("vec_id", eps) for k, eps in enumerate(sweep)})
+    met = B.pair_scores(made, embeddings=("embedding", *(f"e{k}" for k in range(len(sweep)))))
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(eps) for eps in (0.0, *sweep)]).alias("epsilon"), F.col("score")))
+    pairs = met.select("out_id", "in_id", each.alias("x")).select("out_id", "in_id", F.col("x.score").alias("score"), F.col("x.epsilon").alias("epsilon"))
     taken = B.one_to_one(pairs, 0.2, ("epsilon",))
     plain = taken.where("epsilon = 0").select("out_id", "in_id", F.lit(1).alias("same"))
     return taken.where("epsilon > 0").join(plain, ["out_id", "in_id"], "left").groupBy("epsilon").agg(F.count("*").alias("matched"), F.round(F.avg(F.coalesce("same", F.lit(0)).cast("double")), 6).alias("kept"))

@@ -109,6 +109,16 @@ def test_matching_by_group(spark):
     assert sorted((r.epsilon, r.out_id, r.in_id) for r in got) == [(e, *p) for e in (0.5, 1.0) for p in ((1, 10), (2, 11))]
 
 
+def test_records_meet_once_for_all_embeddings(spark):
+    rows = [(k, k % 4, ("out", "in")[k // 4 % 2], 100 + k * 7 % 5, k * 3 % 20, [1.0, float(k % 5), 0.5]) for k in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, bank_id long, direction string, amount_cents long, time_sec long, embedding array<double>")
+    both = B.pair_scores(df.withColumn("e0", B.noise("vec_id", 0.5)), embeddings=("embedding", "e0"))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    got = {(r.out_id, r.in_id): tuple(r.score) for r in both.collect()}
+    one, two = ({(r.out_id, r.in_id): r.score for r in B.pair_scores(d).collect()} for d in (df, B.noisy(df, "vec_id", 0.5)))
+    assert got == {k: (one[k], two[k]) for k in one} and len(one) > 50
+
+
 def test_access_edges(spark):
     nodes = spark.createDataFrame([("a", 10.0, 70.0), ("b", 10.2, 70.0), ("c", 30.0, 90.0)], "id string, lat double, lon double")
     places = spark.createDataFrame([("near", 10.1, 70.0), ("far", 20.0, 80.0), ("unknown", None, 1.0)], "place string, lat double, lon double")
