@@ -156,6 +156,28 @@ def test_spectrum_of_large_communities(spark):
     assert tuple(got["y"])[1:] == (2, pytest.approx(2), pytest.approx(2), pytest.approx(1)) and tuple(got["z"])[1:] == (1, 1.0, 0.0, 1.0)
 
 
+def test_spectrum_solves_components_not_communities(spark, monkeypatch):
+    import numpy as np
+
+    edges = [("x", f"a{k:03d}", f"a{k + 1:03d}", 1.0 + k % 2) for k in range(0, 120, 3)] + [("x", f"a{k + 1:03d}", f"a{k + 2:03d}", 2.0) for k in range(0, 120, 3)]
+    names = [("x", f"a{k:03d}") for k in range(123)]
+    lap = P.laplacian(spark.createDataFrame(edges, "community string, a string, b string, w double"), spark.createDataFrame(names, "community string, account_id string"))
+    m = np.zeros((123, 123))
+    for r in lap.collect():
+        m[int(r.i[1:]), int(r.j[1:])] = r.value
+    e = np.linalg.eigvalsh(m)
+
+    def bounded(m, solve=np.linalg.eigvalsh):
+        if len(m) > 3:
+            raise ValueError("a whole community in a task")
+        return solve(m)
+
+    made = P.spectrum.__globals__
+    monkeypatch.setitem(made, "np", type("np", (), {"eye": np.eye, "linalg": type("linalg", (), {"eigvalsh": staticmethod(bounded)})}))
+    got = P.spectrum(lap).first()
+    assert tuple(got)[1:] == (123, pytest.approx(e[-1]), pytest.approx(e[1] - e[0], abs=1e-9), pytest.approx(e[61:].sum() / e.sum()))
+
+
 def test_matching_runs_until_stable(spark):
     import random
 
