@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from kestrel.llm.common import members_of, releasing, with_columns_in_arrow
 from kestrel.operators.components import components
-from kestrel.session import materialise
+from kestrel.session import materialise, tidied
 
 #: Least number of groups; a set of n has the power of two from n / 4 on, which is what keeps sets without a common text apart.
 #: Vectors of two sizes meet at the smaller one.
@@ -205,7 +205,9 @@ def bitmap(places: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["bucket", "bits"])
 
     whole = np.zeros(size // 8, np.uint8)
-    for r in maps.mapInArrow(packed, "bucket long, bits binary").collect():
+    with tidied(places.sparkSession):
+        rows = maps.mapInArrow(packed, "bucket long, bits binary").collect()
+    for r in rows:
         whole[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return whole
 
