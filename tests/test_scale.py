@@ -140,3 +140,30 @@ def test_texts_are_counted_once_and_as_spark_does(spark):
     assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
     model = L.message_model(made.withColumn("label", (F.col("doc_id") == 0).cast("int")))
     assert len(str(L.probabilities(model, made).schema["features"].metadata)) < 1000 and len(model.stages) == 2
+
+
+def test_terms_are_counted_in_bounded_parts_and_stored_in_small_groups(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from kestrel.operators import learn as L
+
+    texts = ["pay now, pay now", "", "ä ß日本語x", "a", "_", "one_two  three\n" + "x" * 300, "🙂🙂 ok🙂"]
+    flags = np.array([[k % 2, 0.4 * (k == 3)] for k in range(len(texts))], float)
+    whole = L.counted(texts, flags).to_pylist()
+    monkeypatch.setattr(L, "CHARACTERS", 7)
+    assert L.counted(texts, flags).to_pylist() == whole
+    for t, f, v in zip(texts, flags, whole):
+        words = L.re.findall(r"[^\W_]+", t)
+        n = len(words) + max(len(words) - 1, 0) + sum(max(len(t) - k + 1, 0) for k in (3, 4, 5))
+        assert sum(x for i, x in zip(v["indices"], v["values"]) if i < 5 * L.PLACES) == n and v["size"] == 5 * L.PLACES + 2
+        assert v["indices"] == sorted(set(v["indices"])) and [x for i, x in zip(v["indices"], v["values"]) if i >= 5 * L.PLACES] == [x for x in f if x]
+    assert Counter(whole[0]["values"])[2.0] > 0
+    deal = random.Random(1)
+    rows = [(k, "".join(deal.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000))) for k in range(120)]
+    made = L.with_features(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    assert max(m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)) < 60 and made.count() == 120
