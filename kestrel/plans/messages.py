@@ -42,9 +42,9 @@ def t06_scam_types(spark, sf):
 
 def t08_events(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    rows = L.with_features(messages(spark, sf))
-    model = L.message_model(rows.join(labels, "doc_id"))
-    scored = L.probabilities(model, rows).select("doc_id", "text", F.round("score", 6).alias("score"))
+    told = messages(spark, sf)
+    model = L.message_model(L.with_features(told.join(labels, "doc_id")))
+    scored = L.scored(model, told).withColumn("score", F.round("score", 6))
     return M.analysed(scored, "score").select("doc_id", "score", "verdict", "type", "explanation")
 
 

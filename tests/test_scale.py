@@ -167,3 +167,19 @@ def test_terms_are_counted_in_bounded_parts_and_stored_in_small_groups(spark, mo
     made = L.with_features(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1))
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
     assert max(m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)) < 60 and made.count() == 120
+
+
+def test_messages_are_scored_without_their_vectors(spark):
+    from kestrel.operators import learn as L
+
+    rows = [(k, t, int(k % len(SAID) < 6)) for k, t in enumerate(SAID * 3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    features = L.with_features(df)
+    model = L.message_model(features)
+    wanted = {r.doc_id: r.score for r in L.probabilities(model, features).select("doc_id", "score").collect()}
+    made = L.scored(model, df.drop("label"))
+    got = {r.doc_id: r for r in made.collect()}
+    assert got.keys() == wanted.keys() and max(abs(got[k].score - s) for k, s in wanted.items()) < 1e-9 and len({round(s, 6) for s in wanted.values()}) > 5
+    assert {k: r.markers for k, r in got.items()} == {r.doc_id: r.markers for r in M.detect(df).collect()}
+    plan = M.analysed(made, "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "counts#" not in plan and plan.lower().count("rlike") < 40 + len(V.MARKERS)
