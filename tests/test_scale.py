@@ -183,3 +183,21 @@ def test_messages_are_scored_without_their_vectors(spark):
     assert {k: r.markers for k, r in got.items()} == {r.doc_id: r.markers for r in M.detect(df).collect()}
     plan = M.analysed(made, "score")._jdf.queryExecution().optimizedPlan().toString()
     assert "counts#" not in plan and plan.lower().count("rlike") < 40 + len(V.MARKERS)
+
+
+def test_a_driver_over_half_of_its_heap_hands_it_back(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from kestrel import session as S
+
+    calls, held = [], [10]
+    heap = N(totalMemory=lambda: held[0], maxMemory=lambda: 100)
+    lang = N(Runtime=N(getRuntime=lambda: heap), System=N(gc=lambda: calls.append(1)))
+    spark = N(sparkContext=N(_jvm=N(java=N(lang=lang))))
+    monkeypatch.setattr(S, "_collected", float("-inf"))
+    S.hand_back(spark)
+    assert not calls
+    held[0] = 60
+    S.hand_back(spark)
+    S.hand_back(spark, 100)  # not again so soon
+    assert len(calls) == 1
